@@ -38,8 +38,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    stored = rows.select("page_id", "digest", "payload").join(first, "digest").filter("page_id <=> first_id")
-    stored.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # payloads of one digest are equal, so the largest is the payload; copies merge before the shuffle
+    rows.groupBy("digest").agg(F.max("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
     small = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("b32")).join(first, "digest")
     revisit = (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
