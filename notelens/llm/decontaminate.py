@@ -18,6 +18,7 @@ each get their own rows; null ids are kept as null; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,8 +177,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
         yield block
 
 
-def _indexed(broadcast, q: int, rate: float, cache: dict = {}) -> Index:  # noqa: B006  one index is kept in each worker
-    key = (broadcast.id, q, rate)
+def _indexed(broadcast, token: str, q: int, rate: float, cache: dict = {}) -> Index:  # noqa: B006  one index is kept in each worker
+    key = (token, q, rate)
     if key not in cache:
         cache.clear()
         cache[key] = Index(broadcast.value, q, rate)
@@ -189,10 +190,10 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     pruned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in blocks(benchmark, item_col, "text", block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _indexed(sent, q, rate)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, token=token) -> Iterator[pa.RecordBatch]:
+            index = _indexed(sent, token, q, rate)
             for batch in batches:
                 rows = [(d, index.ids[i], s, e, edits) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, s, e, edits in index.matches(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.int32()) for j in range(5)], ["doc_id", "item_id", "start", "end", "edits"])
@@ -207,12 +208,14 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows of docs in which no item occurs, with all their columns; one pass, without shuffle, for each block."""
     for block in blocks(benchmark, item_col, "text", block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        docs = docs.filter(_clean(spark.sparkContext.broadcast(block), uuid.uuid4().hex, q, rate)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(text: pd.Series, sent=sent) -> pd.Series:
-            index = _indexed(sent, q, rate)
-            return text.map(lambda t: not (t and index.matches(t)))
 
-        docs = docs.filter(clean(F.col(text_col)))
-    return docs
+def _clean(sent, token: str, q: int, rate: float):
+    @F.pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        index = _indexed(sent, token, q, rate)
+        return text.map(lambda t: not (t and index.matches(t)))
+
+    return clean

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat_format, exact_dedup, warc
+from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, quality, sentencepiece_codec, warc
 from notelens.sources.tables import shared_dir, table
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+QUALITY_FLOOR = 0.3
+
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
@@ -15,10 +18,34 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that occurs in it: the span and its edits."""
+    return decontaminate.find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, model).withColumn("held_out", quality.held_out())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_FLOOR).cast("int").alias("predicted"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
+    """Ids of every whole text, and whether they decode to the very text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.encode(spark, docs, model_file, decoded=True)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -68,7 +95,7 @@ FROM esc GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op6_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op8_html, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

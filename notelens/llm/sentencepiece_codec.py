@@ -18,6 +18,7 @@ last piece; rows are independent, so repeated rows repeat; other columns are kep
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections import deque
 from collections.abc import Iterator
@@ -161,14 +162,14 @@ class Codec:
         return b"".join([surface[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(broadcast) -> Codec:
-    if broadcast.id not in _CODECS:
+def _codec(broadcast, token: str) -> Codec:
+    if token not in _CODECS:
         _CODECS.clear()
-        _CODECS[broadcast.id] = Codec(*broadcast.value)
-    return _CODECS[broadcast.id]
+        _CODECS[token] = Codec(*broadcast.value)
+    return _CODECS[token]
 
 
 def encode(spark: SparkSession, docs: DataFrame, model_file: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -176,14 +177,14 @@ def encode(spark: SparkSession, docs: DataFrame, model_file: str, text_col: str
 
     The vocabulary is broadcast: its size is that of the model file, whatever the input.
     """
-    vocabulary = spark.sparkContext.broadcast(load_pieces(model_file))
+    vocabulary, token = spark.sparkContext.broadcast(load_pieces(model_file)), uuid.uuid4().hex
     added = ["ids", "n_tokens"] + ["decoded"] * decoded
     kept = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decoded)
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(vocabulary, token)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -201,11 +202,11 @@ def encode(spark: SparkSession, docs: DataFrame, model_file: str, text_col: str
 
 def decode(spark: SparkSession, encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded: the text of each row's ids; null ids give the empty text."""
-    vocabulary = spark.sparkContext.broadcast(load_pieces(model_file))
+    vocabulary, token = spark.sparkContext.broadcast(load_pieces(model_file)), uuid.uuid4().hex
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(vocabulary)
+        codec = _codec(vocabulary, token)
         for batch in batches:
             texts = pa.array([codec.decode(ids or []) for ids in batch.column(ids_col).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
