@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, quality, sentencepiece_codec, warc
+from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, quality, sentencepiece_codec, warc
 from notelens.sources.tables import shared_dir, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -46,6 +46,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -94,8 +98,14 @@ FROM esc GROUP BY conv_id
 }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op8_html, op10_chat_format)}
+    return {f.__name__: f for f in (op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op8_html, op9_jaccard_join, op10_chat_format, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
