@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, quality, sentencepiece_codec, warc
+from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, warc
 from notelens.sources.tables import shared_dir, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,6 +42,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and license template whose wording it holds."""
+    return licenses.scan_licenses(spark, table(spark, sf_dir, "documents")).select("doc_id", "license", "share", "first_word")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -105,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op8_html, op9_jaccard_join, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
