@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, warc
+from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, substring_dedup, warc
 from notelens.sources.tables import shared_dir, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 QUALITY_FLOOR = 0.3
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -110,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
