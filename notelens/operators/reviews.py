@@ -18,7 +18,7 @@ def project_queue(projects: DataFrame, tasks: DataFrame, as_of: str, stale_days:
     """
     day = F.lit(as_of).cast("date")
     opened = tasks.groupBy("path").agg(
-        F.count_if("not checked").alias("open_tasks"), F.count_if("not checked and in_next_actions").alias("scoped"), F.bool_or("in_next_actions").alias("has_section"),
+        F.count_if(F.expr("not checked")).alias("open_tasks"), F.count_if(F.expr("not checked and in_next_actions")).alias("scoped"), F.bool_or("in_next_actions").alias("has_section"),
         F.min(F.when(~F.col("checked"), F.struct("line", "text"))).alias("any_first"), F.min(F.when(~F.col("checked") & F.col("in_next_actions"), F.struct("line", "text"))).alias("scoped_first"),
     )
     activity = F.coalesce("updated", "date")

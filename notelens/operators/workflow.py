@@ -82,7 +82,7 @@ def board_fold(events: DataFrame) -> DataFrame:
     code = F.when((F.col("action") == "capture") & before.isin("capture", "reschedule"), "duplicate").when((F.col("action") != "capture") & (F.coalesce(captures, F.lit(0)) == 0), "no-match").otherwise("ok")
     judged = events.withColumn("code", code)
     return judged.groupBy("board", "item").agg(
-        F.max(F.struct("at", "seq", "action")).alias("last"), F.count_if("code = 'duplicate'").alias("duplicates"), F.count_if("code = 'no-match'").alias("no_match"),
+        F.max(F.struct("at", "seq", "action")).alias("last"), F.count_if(F.expr("code = 'duplicate'")).alias("duplicates"), F.count_if(F.expr("code = 'no-match'")).alias("no_match"),
     ).select("board", "item", F.col("last.action").alias("last_action"), F.when(F.col("last.action") == "tick", "done").when(F.col("last.action") == "cancel", "cancelled").otherwise("open").alias("state"), "duplicates", "no_match")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notelens.plans import search_queries
+from notelens.plans import search_queries, table_queries
 
-MODULES = (search_queries,)
+MODULES = (search_queries, table_queries)
 
 
 def queries() -> dict:
