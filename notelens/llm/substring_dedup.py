@@ -15,7 +15,8 @@ id, or earlier in the same document) is removed; strings are judged on the texts
    ``length`` bytes are equal windows, of which the earliest stays.
 4. Removal. Intervals are gathered for each document and cut from its text.
 
-Shards take whole anchors up to a stated size. Texts travel compressed. Anchor and context hashes have
+Shards take whole anchors up to a stated size; an anchor with more contexts than that is not gathered:
+its windows are compared by 128-bit digests, in a grouped aggregation and a join. Texts travel compressed. Anchor and context hashes have
 64 bits each and count only together.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; a null id is smaller
@@ -40,6 +41,8 @@ from notelens.sources.tables import staged
 U = np.uint64
 LENGTH, GRAM = 100, 24
 SHARD_BYTES = 2_000_000
+SHARD_CONTEXTS = 20_000  # of one anchor; with more of them windows are compared by digest
+NULL_ID = -(1 << 63)  # stands for a null id
 PIECE = 1 << 22  # anchors of longer texts are found piece by piece
 BASE = 0x9E3779B97F4A7C15
 
@@ -89,9 +92,11 @@ def context(at: int, n: int, length: int = LENGTH, q: int = GRAM) -> tuple[int,
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with their context hashes. Of equal contexts in one batch all but the first are copies already;
+    they need no other row, so they are dealt out by a key of their own and cannot crowd an anchor's partition."""
     for whole in batches:
-        for first in range(0, whole.num_rows, 100):
-            batch = whole.slice(first, 100)
+        for first in range(0, whole.num_rows, 1000):
+            batch = whole.slice(first, 1000)
             ids, found = [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = data or b""
@@ -101,17 +106,27 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     starts, ends = np.maximum(0, at - (LENGTH - GRAM)).tolist(), np.minimum(n, at + LENGTH).tolist()
                     digest = b"".join([hashlib.blake2b(data[s:e], digest_size=8).digest() for s, e in zip(starts, ends, strict=True)])
                     found.append((h.view(np.int64), np.frombuffer(digest, np.int64), at.astype(np.int32)))
-                    ids += [i] * len(at)
-            join = lambda j, kind: np.concatenate([*(f[j] for f in found), np.zeros(0, kind)])
-            yield pa.RecordBatch.from_arrays([pa.array(join(0, np.int64)), pa.array(join(1, np.int64)), pa.array(ids, pa.int64()), pa.array(join(2, np.int32))], ["anchor", "ctx", "doc_id", "at"])
+                    ids.append(np.full(len(at), NULL_ID if i is None else i, np.int64))
+            anchor, ctx, at = (np.concatenate([*(f[j] for f in found), np.zeros(0, kind)]) for j, kind in enumerate((np.int64, np.int64, np.int32)))
+            doc = np.concatenate([*ids, np.zeros(0, np.int64)])
+            order = np.lexsort((at, doc, ctx, anchor))
+            anchor, ctx, doc, at = anchor[order], ctx[order], doc[order], at[order]
+            copy = np.concatenate([np.zeros(min(1, len(at)), bool), (anchor[1:] == anchor[:-1]) & (ctx[1:] == ctx[:-1])])
+            dealt = np.where(copy, doc * 0x2545F491 + at, anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, ctx, doc, at, copy, dealt)], ["anchor", "ctx", "doc_id", "at", "copy", "dealt"])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, context, document and place: copies of a context (copy), and the first row
-    of each context of an anchor that has several. Holds one batch and one row."""
+    of each context of an anchor that has several. Rows known as copies stand in front and pass as they are.
+    Holds one batch and one row."""
     held = None  # first row of the last context, while its anchor has no other
     last = None  # (anchor, ctx) of the last row
-    for batch in batches:
+    for mixed in batches:
+        known = mixed.filter(mixed.column(4))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column(c) for c in ("anchor", "doc_id", "at", "copy")], ["anchor", "doc_id", "at", "copy"])
+        batch = mixed.slice(known.num_rows)
         if not batch.num_rows:
             continue
         anchor, ctx = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -188,6 +203,26 @@ def repeated_windows(parts: list[tuple[int, int, bytes]], length: int = LENGTH)
     return [(int(names[a >> 36]), a & (1 << 36) - 1, (b & (1 << 36) - 1) + length) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for first in range(0, whole.num_rows, 50):
+            batch, out = whole.slice(first, 50), []
+            for i, packed, places in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                data = zstandard.decompress(packed)
+                starts = {w for p in places for s, e in [context(p["at"], len(data))] for w in range(s, e - LENGTH + 1)}
+                out += [(hashlib.blake2b(data[w : w + LENGTH], digest_size=16).digest(), i, w) for w in starts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.binary(), pa.int64(), pa.int32()))], ["digest", "doc_id", "s"])
+
+
+def _by_digest(wanted: DataFrame) -> DataFrame:
+    """Repeated windows of the contexts of very frequent anchors, without gathering an anchor anywhere: the
+    earliest place of each window's 128-bit digest, and every later one. Sums merge before the shuffle, and
+    adaptive execution splits the join."""
+    windows = staged(wanted.sparkSession, wanted.mapInArrow(_windows, "digest binary, doc_id long, s int"), "repeats-windows")
+    first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "s")).alias("first"))
+    return windows.join(first, "digest").filter(F.struct("doc_id", "s") > F.col("first")).select("doc_id", "s", (F.col("s") + LENGTH).alias("e"))
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[tuple[int, int, bytes]] = []
     size, last = 0, None
@@ -202,15 +237,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done()
                 parts.clear()
                 size = 0
-            parts.append((NULL_ID if i is None else i, start, data))
+            parts.append((i, start, data))
             size, last = size + len(data), anchor
     if parts:
         yield done()
 
 
-NULL_ID = -(1 << 63)
-
-
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal removed runs)."""
     merged: list[list[int]] = []
@@ -244,20 +276,26 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left); a row for each row."""
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
-    rows = data.mapInArrow(_anchor_rows, "anchor long, ctx long, doc_id long, at int")
-    placed = rows.repartition("anchor").sortWithinPartitions("anchor", "ctx", "doc_id", "at")
+    rows = data.mapInArrow(_anchor_rows, "anchor long, ctx long, doc_id long, at int, copy boolean, dealt long")
+    placed = rows.repartition("dealt").sortWithinPartitions(F.col("copy").desc(), "anchor", "ctx", "doc_id", "at")
     marks = staged(spark, placed.mapInArrow(_marks, "anchor long, doc_id long, at int, copy boolean"), "repeats-marks")
-    texts = data.mapInArrow(_compressed, "doc_id long, packed binary")
+    texts = data.mapInArrow(_compressed, "doc_id long, packed binary").withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
+    several = marks.filter("not copy").select("anchor", F.col("doc_id").alias("key"), "at")
+
+    def with_texts(places: DataFrame) -> DataFrame:
+        """One document's places are bounded by its length."""
+        return texts.join(places.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("places")), "key").select(F.col("key").alias("doc_id"), "packed", "places")
 
-    # one document's places are bounded by its length; joins match null ids through a stand-in
-    key = F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")
-    several = marks.filter("not copy").groupBy(key).agg(F.collect_list(F.struct("anchor", "at")).alias("places"))
-    wanted = texts.withColumn("key", key).join(several, "key").select("doc_id", "packed", "places")
-    pieces = wanted.mapInArrow(_contexts, "anchor long, doc_id long, start int, bytes binary")
+    frequent = staged(spark, several.groupBy("anchor").count().filter(F.col("count") > SHARD_CONTEXTS).select("anchor"), "repeats-frequent")
+    some_frequent = not frequent.isEmpty()
+    usual = several.join(frequent, "anchor", "left_anti") if some_frequent else several
+    pieces = with_texts(usual).mapInArrow(_contexts, "anchor long, doc_id long, start int, bytes binary")
     shards = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
     found = staged(spark, shards, "repeats-found")
+    if some_frequent:
+        found = found.unionByName(_by_digest(with_texts(several.join(frequent, "anchor", "left_semi"))))
 
-    copies = marks.filter("copy").select(key, F.greatest(F.col("at") - (LENGTH - GRAM), F.lit(0)).alias("s"), (F.col("at") + LENGTH).alias("e"))
+    copies = marks.filter("copy").select(F.col("doc_id").alias("key"), F.greatest(F.col("at") - (LENGTH - GRAM), F.lit(0)).alias("s"), (F.col("at") + LENGTH).alias("e"))
     spans = copies.unionByName(found.select(F.col("doc_id").alias("key"), "s", "e")).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    whole = texts.withColumn("key", key).join(spans, "key", "left").select("doc_id", "packed", "spans")
+    whole = texts.join(spans, "key", "left").select("doc_id", "packed", "spans")
     return whole.mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
