@@ -72,7 +72,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, state["linked"], state["boiler"] > 0, state["main"] > 0))
+            out.append((text, state["linked"], state["boiler"] > 0, state["main"] > 0 and not state["boiler"]))
         parts.clear()
         state["linked"] = 0
 
@@ -151,8 +151,8 @@ def first_pass(block: tuple[str, int, bool, bool]) -> int:
 
 def second_pass(labels: list[int], mains: list[bool]) -> list[bool]:
     """Ambiguous blocks inherit from the nearest decided blocks on either side; where these differ, the
-    nearer one counts. A block in an article looks at decided blocks in articles only, and is kept
-    where there are none, or where both are equally near."""
+    nearer one counts. A block in an article looks at decided blocks in articles only, and goes only
+    where all it finds are boilerplate."""
     n = len(labels)
 
     def nearest(order: range, wanted: bool) -> list[tuple[int, int] | None]:
@@ -169,13 +169,13 @@ def second_pass(labels: list[int], mains: list[bool]) -> list[bool]:
     for i, label in enumerate(labels):
         if label == SHORT:
             near = [x for x in (sides[mains[i]][0][i], sides[mains[i]][1][i]) if x]
-            if len({x[1] for x in near}) == 1:
-                label = near[0][1] if mains[i] or len(near) == 2 else BAD
-            elif near:
+            if mains[i]:
+                label = BAD if near and all(x[1] == BAD for x in near) else GOOD
+            elif len(near) == 2 and near[0][1] != near[1][1]:
                 first, second = sorted(near, key=lambda x: abs(x[0] - i))
-                label = (GOOD if mains[i] else BAD) if abs(first[0] - i) == abs(second[0] - i) else first[1]
+                label = BAD if abs(first[0] - i) == abs(second[0] - i) else first[1]
             else:
-                label = GOOD if mains[i] else BAD
+                label = near[0][1] if len(near) == 2 else BAD
         keep.append(label == GOOD)
     return keep
 
