@@ -91,9 +91,8 @@ def name_exact_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_fuzzy_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles near to a query by the matcher's ratio: four times the ratio from 0.72 on."""
-    names = _parts(spark, sf_dir).select("title").distinct()
-    ratio = corpus.sequence_ratio(F.lit(" ".join(search.query_tokens("smal rings"))), normal_name(F.col("title")))
-    return names.withColumn("ratio", ratio).filter(F.col("ratio") >= search.FUZZY_FLOOR).select("title", F.round(search.FUZZY_BOOST * F.col("ratio"), 6).alias("boost"))
+    names = _parts(spark, sf_dir).select("title", normal_name(F.col("title")).alias("name"), F.lit(" ".join(search.query_tokens("smal rings"))).alias("query")).distinct()
+    return names.withColumn("ratio", corpus.sequence_ratio("query", "name")).filter(F.col("ratio") >= search.FUZZY_FLOOR).select("title", F.round(search.FUZZY_BOOST * F.col("ratio"), 6).alias("boost"))
 
 
 def tag_normalise_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
