@@ -14,9 +14,12 @@ gives each document its set size and the smallest id that links reach from it.
    the hub with which it shares most, which folds large groups of near copies into connected groups
    at a linear cost; a group larger than ``group_docs`` is stored in chunks.
 4. Token-group matrix. Only documents whose signature also stands in another component are left. For
-   these the union of shingles of each group is stored. For a query document and a group the overlap
-   |q & union| bounds the similarity with every member, so only groups with
-   100 |q & union| >= 90 max(|q|, smallest member) are opened, and their members verified.
+   these the union of shingles of each group is stored, and in coarse form the most shingles that any
+   member has in each of 64 hash bins. For a query document and a group the overlap |q & union| bounds
+   the similarity with every member, so only groups with
+   100 |q & union| >= 90 max(|q|, smallest member) are opened, and their members verified. The coarse
+   form bounds the same overlap from above inside the join that finds the cells, so near copies that
+   fall just short of the threshold leave it as a few rows and not as pairs.
 
 All links between components are found this way; links inside a component change nothing. Nothing is
 capped. Groups, signatures and links stay distributed; iterations write to the shared folder.
@@ -152,6 +155,14 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_shared(x, y) for x, y in zip(_sets(a), _sets(b), strict=True)], dtype="int64")
 
 
+BINS = 64
+
+
+def bins(s: np.ndarray) -> list[int]:
+    """How many shingles of a set fall in each bin; no two sets share more than the sum of their lesser counts."""
+    return np.bincount((s >> U(40)).astype(np.int64) & (BINS - 1), minlength=BINS).tolist()
+
+
 def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -210,7 +221,8 @@ def _hub_pairs(multi: DataFrame) -> DataFrame:
 
 def _union(data: pd.DataFrame) -> pd.DataFrame:
     sets = _sets(data["set"])
-    return pd.DataFrame({"comp": data["comp"].iloc[:1], "chunk": data["chunk"].iloc[:1], "least": [data["n"].min()], "tokens": [np.unique(np.concatenate(sets)).tobytes()]})
+    peaks = np.max(np.stack(data["bins"]), 0).tolist()
+    return pd.DataFrame({"comp": data["comp"].iloc[:1], "chunk": data["chunk"].iloc[:1], "least": [data["n"].min()], "tokens": [np.unique(np.concatenate(sets)).tobytes()], "peaks": [peaks]})
 
 
 def _matrix_links(spark: SparkSession, rest: DataFrame, sets: DataFrame, group_docs: int) -> DataFrame:
@@ -218,15 +230,20 @@ def _matrix_links(spark: SparkSession, rest: DataFrame, sets: DataFrame, group_d
     docs = rest.select("rep", "comp").distinct()
     sizes = docs.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     members = staged(spark, docs.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / group_docs).cast("long"))), "jaccard-members")
-    matrix = members.join(sets, "rep").groupBy("comp", "chunk").applyInPandas(_union, "comp long, chunk long, least long, tokens binary")
+    matrix = staged(spark, members.join(sets, "rep").groupBy("comp", "chunk").applyInPandas(_union, "comp long, chunk long, least long, tokens binary, peaks array<int>").withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"}), "jaccard-matrix")
     placed = rest.select("sig", "rep").join(members, "rep")
-    groups = placed.select("sig", F.col("comp").alias("gcomp"), F.col("chunk").alias("gchunk"), F.col("size").alias("gsize")).distinct()
-    cells = placed.join(groups, "sig").filter("size < gsize or (size = gsize and comp < gcomp)").select("rep", "gcomp", "gchunk").distinct()
+    groups = placed.select("sig", F.col("comp").alias("gcomp"), F.col("chunk").alias("gchunk"), F.col("size").alias("gsize")).distinct().join(matrix.drop("tokens"), ["gcomp", "gchunk"])
+    asked = placed.join(sets.select("rep", "n", "bins"), "rep")
+    coarse = F.aggregate(F.zip_with("bins", "peaks", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
+    likely = (F.col("size") < F.col("gsize")) | ((F.col("size") == F.col("gsize")) & (F.col("comp") < F.col("gcomp")))
+    cells = asked.join(groups, "sig").filter(likely & (DEN * coarse >= NUM * F.greatest("n", "least"))).select("rep", "gcomp", "gchunk").distinct()
     queries = sets.select("rep", "n", F.col("set").alias("tokens_q"))
-    bound = cells.join(queries, "rep").join(matrix.withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"}), ["gcomp", "gchunk"])
+    bound = cells.join(queries, "rep").join(matrix.drop("peaks"), ["gcomp", "gchunk"])
     opened = bound.withColumn("most", overlap("tokens_q", "tokens")).filter(f"{DEN} * most >= {NUM} * greatest(n, least)").select("rep", "gcomp", "gchunk")
-    inside = members.select(F.col("rep").alias("b"), F.col("comp").alias("gcomp"), F.col("chunk").alias("gchunk"))
-    return _verified(opened.join(inside, ["gcomp", "gchunk"]).select(F.col("rep").alias("a"), "b"), sets)
+    inside = members.join(sets.select("rep", F.col("n").alias("nb"), F.col("bins").alias("peaks")), "rep").select(F.col("rep").alias("b"), F.col("comp").alias("gcomp"), F.col("chunk").alias("gchunk"), "nb", "peaks")
+    asking = opened.join(sets.select("rep", "n", "bins"), "rep")
+    pairs = asking.join(inside, ["gcomp", "gchunk"]).filter(DEN * coarse >= NUM * (F.col("n") + F.col("nb") - coarse))
+    return _verified(pairs.select(F.col("rep").alias("a"), "b"), sets)
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 3, group_docs: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,9 +261,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, shingle: int = 3, g
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 found = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "n", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bins(s) for s in found], pa.list_(pa.int32()))], ["rep", "n", "set", "bins"])
 
-    sets = staged(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(as_sets, "rep long, n long, set binary"), "jaccard-sets")
+    sets = staged(spark, texts.join(wanted, "doc_id", "left_semi").mapInArrow(as_sets, "rep long, n long, set binary, bins array<int>"), "jaccard-sets")
     links = staged(spark, _verified(_hub_pairs(multi), sets), "jaccard-links")
     comps = connected_components(spark, links)
     placed = multi.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
