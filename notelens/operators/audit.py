@@ -115,3 +115,21 @@ def table_findings(notes: DataFrame) -> DataFrame:
     several = notes.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     twice = notes.withColumn("key", key).join(several, "key").select(F.lit("duplicate-title").alias("code"), F.lit(severity("duplicate-title")).alias("severity"), "path", F.col("key").alias("message"))
     return findings(notes, rules).unionByName(twice)
+
+
+def template_rules(required: dict[str, list[str]], contracts: dict[str, str], labels: tuple[str, ...] = (), card: str | None = None, card_lines: int = 12) -> list[Rule]:
+    """Rules of template contracts for notes with columns type, date, headings (names in order), sections (map of name
+    to visible text) and comments. ``required`` gives the headings of a type; FLT-10: a note dated before its type's
+    contract date is exempt, one without a date is not."""
+    rules = []
+    for kind, headings in required.items():
+        early = F.coalesce(F.col("date") < F.lit(contracts.get(kind, "0001-01-01")).cast("date"), F.lit(False))
+        rules.append(once("missing-template-heading", (F.col("type") == kind) & ~early & ~ordered_headings(F.col("headings"), headings), f"headings of {kind} are missing or out of order"))
+    rules.append(once("residual-template-instruction", F.exists("comments", lambda c: F.lower(c).contains("instruction")), "an instruction of the template is left"))
+    if card:
+        text = F.coalesce(F.element_at("sections", F.lit(card)), F.lit(""))
+        shown = F.size(F.filter(F.split(text, "\n", -1), lambda ln: F.trim(ln) != ""))
+        rules.append(once("conversation-digest-resume-card-too-long", shown > card_lines, f"more than {card_lines} lines"))
+        lacking = F.filter(F.array(*map(F.lit, labels)).cast("array<string>"), lambda n: ~F.exists(F.split(text, "\n", -1), lambda ln: ln.rlike(r"^[-*\s]*\**") & F.ltrim(F.regexp_replace(ln, r"^[-*\s]+", "")).startswith(F.concat(n, F.lit(":"))) & (F.trim(F.regexp_replace(F.split_part(ln, F.lit(":"), F.lit(2)), r"\*", "")) != "")))
+        rules.append(Rule("conversation-digest-missing-resume-field", F.when(F.col("sections").isNotNull() & F.array_contains(F.map_keys("sections"), card), lacking).otherwise(F.array().cast("array<string>"))))
+    return rules

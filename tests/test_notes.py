@@ -138,3 +138,26 @@ def test_config_contracts():
     for bad in ([{"id": "v", "query": " "}], [{"id": "v", "query": "q", "odd": 1}], [{"id": "v", "query": "q"}] * 2, [{"id": "v", "query": "q", "window_days": 3}]):
         with pytest.raises(config.ConfigError):
             config.load_views(json.dumps({"schema_version": 1, "views": bad}))
+
+
+def test_code_blocks_and_masks(spark):
+    body = "a\n```sh\none\n```\n```\ntwo\n\nthree\n```\nb\n~~~\nopen"
+    notes = spark.createDataFrame([("n", body)], "path string, body string").withColumn("lines", M.lines_of("body"))
+    blocks = M.code_blocks(M.note_lines(notes)).orderBy("from").collect()
+    assert [(r["from"], r["to"], r["text"]) for r in blocks] == [(2, 4, "one"), (5, 9, "two\n\nthree"), (11, 12, "open")]
+    masked = notes.select(M.mask_code("body")).first()[0]
+    assert len(masked) == len(body) and masked.split() == ["a", "b"]
+
+
+def test_template_contracts(spark):
+    rows = [
+        ("ok", "digest", "2024-06-01", ["A", "x", "B"], {"Card": "Goal: win\n- **Next:** go"}, []),
+        ("bad", "digest", None, ["B", "A"], {"Card": "Goal:\n" + "l\n" * 13}, ["Template instruction: delete"]),
+        ("old", "digest", "2023-01-01", [], None, []),
+    ]
+    notes = spark.createDataFrame(rows, "path string, type string, date string, headings array<string>, sections map<string,string>, comments array<string>").withColumn("date", F.to_date("date"))
+    rules = audit.template_rules({"digest": ["A", "B"]}, {"digest": "2024-01-01"}, ("Goal", "Next"), "Card")
+    assert {(r.path, r.code, r.message if "field" in r.code else "") for r in audit.findings(notes, rules).collect()} == {
+        ("bad", "missing-template-heading", ""), ("bad", "residual-template-instruction", ""), ("bad", "conversation-digest-resume-card-too-long", ""),
+        ("bad", "conversation-digest-missing-resume-field", "Goal"), ("bad", "conversation-digest-missing-resume-field", "Next"),
+    }
