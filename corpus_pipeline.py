@@ -8,6 +8,7 @@ again, so a lost executor costs no earlier stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from notelens.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_codec
 from notelens.llm.queries import PIECES, QUALITY_FLOOR
@@ -22,8 +23,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id; of repeated rows of it, one."""
-    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    digested = docs.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = F.expr("d._sha256 = k.text_sha256 and d.doc_id <=> k.doc_id")
+    return digested.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["_sha256", "doc_id"]).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,12 @@ def test_whole_pipeline(spark):
     texts = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
     codec = sentencepiece_codec.Codec(*sentencepiece_codec.load_pieces(corpus_pipeline.PIECES))
     assert 0 < len(rows) < len(texts) and all(codec.decode(r.ids) == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_exact_stage_with_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a"), (None, "b"), (5, "a"), (5, "a"), (6, "c"), (6, "d"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.exact_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [(0, "b"), (5, "a"), (6, "c"), (6, "d"), (8, "")]
+    assert corpus_pipeline.near_copies(spark, docs, SF).count() == 8 and corpus_pipeline.exact_copies(spark, docs.limit(0), SF).count() == 0
