@@ -17,7 +17,7 @@ gives each document its set size and the smallest id that links reach from it.
    these the union of shingles of each group is stored, and in coarse form the most shingles that any
    member has in each of 64 hash bins. For a query document and a group the overlap |q & union| bounds
    the similarity with every member, so only groups with
-   100 |q & union| >= 90 max(|q|, smallest member) are opened, and their members verified. The coarse
+   100 |q & union| >= 90 (|q| + |smallest member| - |q & union|) are opened, and their members verified. The coarse
    form bounds the same overlap from above inside the join that finds the cells, so near copies that
    fall just short of the threshold leave it as a few rows and not as pairs.
 
@@ -236,10 +236,10 @@ def _matrix_links(spark: SparkSession, rest: DataFrame, sets: DataFrame, group_d
     asked = placed.join(sets.select("rep", "n", "bins"), "rep")
     coarse = F.aggregate(F.zip_with("bins", "peaks", lambda a, b: F.least(a, b)), F.lit(0), lambda total, x: total + x)
     likely = (F.col("size") < F.col("gsize")) | ((F.col("size") == F.col("gsize")) & (F.col("comp") < F.col("gcomp")))
-    cells = asked.join(groups, "sig").filter(likely & (DEN * coarse >= NUM * F.greatest("n", "least"))).select("rep", "gcomp", "gchunk").distinct()
+    cells = asked.join(groups, "sig").filter(likely & (DEN * coarse >= NUM * (F.col("n") + F.col("least") - coarse))).select("rep", "gcomp", "gchunk").distinct()
     queries = sets.select("rep", "n", F.col("set").alias("tokens_q"))
     bound = cells.join(queries, "rep").join(matrix.drop("peaks"), ["gcomp", "gchunk"])
-    opened = bound.withColumn("most", overlap("tokens_q", "tokens")).filter(f"{DEN} * most >= {NUM} * greatest(n, least)").select("rep", "gcomp", "gchunk")
+    opened = bound.withColumn("most", overlap("tokens_q", "tokens")).filter(f"{DEN} * most >= {NUM} * (n + least - most)").select("rep", "gcomp", "gchunk")
     inside = members.join(sets.select("rep", F.col("n").alias("nb"), F.col("bins").alias("peaks")), "rep").select(F.col("rep").alias("b"), F.col("comp").alias("gcomp"), F.col("chunk").alias("gchunk"), "nb", "peaks")
     asking = opened.join(sets.select("rep", "n", "bins"), "rep")
     pairs = asking.join(inside, ["gcomp", "gchunk"]).filter(DEN * coarse >= NUM * (F.col("n") + F.col("nb") - coarse))
