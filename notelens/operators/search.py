@@ -2,7 +2,7 @@
 
 A query is known on the driver, so each note is scored where it lies: term counts of its names and of
 each section come from array functions, corpus statistics from one aggregation of a single row, and
-only the best k rows are shuffled. Texts never are.
+only the best k rows are shuffled. Texts never are. Names alone go to Python, for the name boost.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelens.functions.text import CJK, normal_name, tag_key, tokenize
 
@@ -171,6 +174,35 @@ def name_boost(query: str, title: Column) -> Column:
     return F.when(normal_name(title) == " ".join(query_tokens(query)), F.lit(EXACT_BOOST)).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(T.DoubleType())
+def _best_ratio(query: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([max((SequenceMatcher(None, q, n).ratio() for n in ns), default=0.0) for q, ns in zip(query, names, strict=True)], dtype="float64")
+
+
+def with_name_boost(notes: DataFrame, query: str) -> DataFrame:
+    """RNK-8, both arms over title and aliases: adds boost, for an equal name or else by the best ratio from the
+    floor on. Only names whose length lets them reach the floor are sent to the matcher."""
+    wanted = " ".join(query_tokens(query))
+    parts = [F.array("title")] if "title" in notes.columns else []
+    parts += [F.coalesce("aliases", F.array().cast("array<string>"))] if "aliases" in notes.columns else []
+    if not wanted or not parts:
+        return notes.withColumn("boost", F.lit(0.0))
+    named = notes.withColumn("_names", F.transform(F.flatten(F.array(*parts)), normal_name))
+    # 2 min(a, b) / (a + b) >= 0.72, in integers
+    near = F.filter("_names", lambda n: 50 * F.least(F.length(n), F.lit(len(wanted))) >= round(25 * FUZZY_FLOOR) * (F.length(n) + len(wanted)))
+    # not deterministic for the optimizer: it must not move the matcher into the join with the statistics
+    rated = named.withColumn("_ratio", _best_ratio.asNondeterministic()(F.lit(wanted), near))
+    boost = F.when(F.array_contains("_names", wanted), F.lit(EXACT_BOOST)).when(F.col("_ratio") >= FUZZY_FLOOR, FUZZY_BOOST * F.col("_ratio")).otherwise(F.lit(0.0))
+    return rated.withColumn("boost", boost).drop("_names", "_ratio")
+
+
+def ranked(notes: DataFrame, query: str, added: Iterable[str] = (), sections: bool = True) -> DataFrame:
+    """RNK-1: bm25 of the typed and the added tokens, with the name boost of the raw query (boost) in the score."""
+    weights = dict.fromkeys(query_tokens(query), 1.0)
+    scored = bm25(with_name_boost(notes, query), weights | {t: EXPANDED_WEIGHT for t in added if t not in weights}, sections)
+    return scored.withColumn("score", F.col("score") + F.col("boost"))
+
+
 def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """RNK-10 and SRT-1: positive scores, best first, then by path; without a shuffle of what is beaten."""
     return scored.filter(F.col(score) > 0).orderBy(F.col(score).desc(), F.lower(F.col("path").cast("string")), "path").limit(k)

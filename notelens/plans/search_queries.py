@@ -24,11 +24,11 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_bm25_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(S.bm25(adapters.notes(spark, sf_dir).select("path", "body"), TYPED, sections=False))
+    return _result(S.ranked(adapters.notes(spark, sf_dir).select("path", "body"), QUERY, sections=False))
 
 
 def search_bm25_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(S.bm25(adapters.notes(spark, sf_dir), TYPED))
+    return _result(S.ranked(adapters.notes(spark, sf_dir), QUERY))
 
 
 def search_filtered_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,12 @@ def search_filtered_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_after_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies and lengths come from what the filters leave."""
     good = adapters.labelled(spark, sf_dir).filter("quality = 1").drop("quality", "toxic")
-    return _result(S.bm25(S.Filters(types=("en",)).select(good), TYPED))
+    return _result(S.ranked(S.Filters(types=("en",)).select(good), QUERY))
 
 
 def search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     added, _, _ = S.expand_query(QUERY, CONCEPTS)
-    return _result(S.bm25(adapters.notes(spark, sf_dir), TYPED | dict.fromkeys(added, S.EXPANDED_WEIGHT)))
+    return _result(S.ranked(adapters.notes(spark, sf_dir), QUERY, added))
 
 
 def expansion_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,9 @@ def expansion_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = dict.fromkeys(S.query_tokens("annt reed zebra"), 1.0)
-    best = S.top(S.bm25(adapters.notes(spark, sf_dir), typed), 1)
-    return S.confidence(best, list(typed)).withColumnRenamed("path", "doc_id")
+    query = "annt reed zebra"
+    best = S.top(S.ranked(adapters.notes(spark, sf_dir), query), 1)
+    return S.confidence(best, list(dict.fromkeys(S.query_tokens(query)))).withColumnRenamed("path", "doc_id")
 
 
 def search_zero_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def search_zero_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = S.top(S.bm25(adapters.notes(spark, sf_dir), TYPED), 10)
+    best = S.top(S.ranked(adapters.notes(spark, sf_dir), QUERY), 10)
     return S.snippet(best, list(TYPED)).select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("hits").cast("long").alias("hits"), "snippet")
 
 
