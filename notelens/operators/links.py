@@ -1,34 +1,65 @@
 """Link graph (JN, TXT and QRY rows of the inventory): links(source, line, name, origin) and
-keys(key, priority, path), where a smaller priority wins."""
+keys(key, priority, path), where a smaller priority wins. Priority 0 is a whole path, for names with a slash."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRUCTURAL_TYPES = ("moc", "index", "folder-index")
 
 
 def link_keys(notes: DataFrame) -> DataFrame:
-    """Keys of notes (path, stem, aliases): file name 1, stem 2, alias 3."""
+    """Keys of notes (path, stem, aliases): path 0, file name 1, stem 2, alias 3."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    named = notes.select("path", F.explode(F.array(F.struct(name.alias("key"), F.lit(1).alias("priority")), F.struct(F.regexp_replace(name, r"\.md$", "").alias("key"), F.lit(2).alias("priority")))).alias("k"))
+    named = notes.select("path", F.explode(F.array(F.struct(F.lower("path").alias("key"), F.lit(0).alias("priority")), F.struct(name.alias("key"), F.lit(1).alias("priority")), F.struct(F.regexp_replace(name, r"\.md$", "").alias("key"), F.lit(2).alias("priority")))).alias("k"))
     aliased = notes.select("path", F.explode("aliases").alias("a")).select("path", F.struct(F.lower("a").alias("key"), F.lit(3).alias("priority")).alias("k"))
     return named.unionByName(aliased).select("k.key", "k.priority", "path").distinct()
 
 
-def resolve(links: DataFrame, keys: DataFrame) -> DataFrame:
+def _state(joined: DataFrame, columns: list[str]) -> DataFrame:
+    n = F.coalesce("n_targets", F.lit(0))
+    return joined.select(
+        *columns, F.when(n == 0, "unresolved").when(n > 1, "ambiguous").otherwise("resolved").alias("state"),
+        F.when(n == 1, F.col("only")).alias("target"), n.cast("long").alias("n_targets"),
+    )
+
+
+def resolve_names(links: DataFrame, keys: DataFrame) -> DataFrame:
     """JN-3 and JN-5: adds state (resolved, ambiguous, unresolved), target (where resolved) and n_targets.
     Of the kinds of key that match a name only the first counts."""
     distinct = keys.select("key", "priority", "path").distinct()
     ranked = distinct.groupBy("key", "priority").agg(F.count(F.lit(1)).alias("n_targets"), F.min("path").alias("only"))
     best = ranked.groupBy("key").agg(F.min(F.struct("priority", "n_targets", "only")).alias("b")).select("key", "b.n_targets", "b.only")
-    joined = links.join(best.withColumnRenamed("key", "name"), "name", "left")
-    n = F.coalesce("n_targets", F.lit(0))
-    return joined.select(
-        *links.columns, F.when(n == 0, "unresolved").when(n > 1, "ambiguous").otherwise("resolved").alias("state"),
-        F.when(n == 1, F.col("only")).alias("target"), n.cast("long").alias("n_targets"),
-    )
+    return _state(links.join(best.withColumnRenamed("key", "name"), "name", "left"), links.columns)
+
+
+def _plain(path: Column) -> Column:
+    """A path without empty and . parts and with .. applied; null where it leaves the vault."""
+    up = F.lit("..")
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    step = lambda done, p: F.when(p != up, F.concat(done, F.array(p))).when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def path_candidates(name: Column, source: Column) -> Column:
+    """JN-4: the paths a name with a slash may mean, from the vault and from its source's folder, as it stands and,
+    without a suffix, with .md. A name from the root of the file system means none."""
+    folder = F.regexp_extract(F.lower(source.cast("string")), "^(.*/)[^/]*$", 1)
+    both = F.array(name, F.concat(folder, name))
+    bare = ~F.regexp_replace(name, "/+$", "").rlike(r"[^/]\.[^./]+$")
+    every = F.when(bare, F.concat(both, F.transform(both, lambda p: F.concat(p, F.lit(".md"))))).otherwise(both)
+    return F.when(name.startswith("/"), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.transform(every, _plain))))
+
+
+def resolve(links: DataFrame, keys: DataFrame) -> DataFrame:
+    """JN-3 to JN-5: as resolve_names, but a name with a slash is a path and meets only keys of whole paths."""
+    slash = F.coalesce(F.contains("name", F.lit("/")), F.lit(False))
+    named = resolve_names(links.filter(~slash), keys.filter("priority > 0"))
+    paths = links.filter(slash)
+    asked = paths.select("source", "name").distinct().withColumn("key", F.explode(path_candidates(F.col("name"), F.col("source"))))
+    held = asked.join(keys.filter("priority = 0").select("key", "path").distinct(), "key").groupBy("source", "name").agg(F.count_distinct("path").alias("n_targets"), F.min("path").alias("only"))
+    return named.unionByName(_state(paths.join(held, ["source", "name"], "left"), links.columns))
 
 
 def undated_matches(links: DataFrame, notes: DataFrame) -> DataFrame:

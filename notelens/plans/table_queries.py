@@ -30,19 +30,19 @@ def _page_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, keys = _page_graph(spark, sf_dir)
-    return links.resolve(edges, keys).groupBy("state").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("source").alias("sources"), F.sum("n_targets").alias("targets"))
+    return links.resolve_names(edges, keys).groupBy("state").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("source").alias("sources"), F.sum("n_targets").alias("targets"))
 
 
 def page_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct neighbours of each page in either direction."""
     _, edges, keys = _page_graph(spark, sf_dir)
-    return links.degrees(links.resolve(edges, keys)).withColumnRenamed("path", "page_id")
+    return links.degrees(links.resolve_names(edges, keys)).withColumnRenamed("path", "page_id")
 
 
 def page_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of the page with most backlinks (the smallest such)."""
     _, edges, keys = _page_graph(spark, sf_dir)
-    known = links.resolve(edges, keys).filter("state = 'resolved' and source <> target")
+    known = links.resolve_names(edges, keys).filter("state = 'resolved' and source <> target")
     ranked = known.groupBy("target").agg(F.count_distinct("source").alias("n")).agg(F.min_by("target", F.struct(-F.col("n"), F.col("target"))).alias("seed"))
     marked = known.crossJoin(F.broadcast(ranked))  # one row
     out = marked.filter("source = seed").select(F.col("target").alias("page_id"), F.lit("out").alias("direction"))
@@ -53,7 +53,7 @@ def page_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that nothing refers to; every third page is indexed."""
     nodes, edges, keys = _page_graph(spark, sf_dir)
-    resolved = links.resolve(edges, keys)
+    resolved = links.resolve_names(edges, keys)
     indexed = nodes.filter("path % 3 = 0")
     lone = links.orphans(nodes, resolved, indexed).select("path", F.lit("orphan-note").alias("code"))
     return lone.unionByName(links.disconnected(nodes, resolved, indexed).select("path", F.lit("disconnected-note").alias("code"))).withColumnRenamed("path", "page_id")

@@ -6,7 +6,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from notelens.operators import search
+from notelens.operators import links, search
 
 
 def brute_boost(query, names):
@@ -36,3 +36,18 @@ def test_name_boost_enters_the_ranking(spark):
 def test_name_boost_reads_the_raw_query_only(spark):
     notes = spark.createDataFrame([(1, "cap"), (2, "limit")], "path long, title string").selectExpr("*", "'' body")
     assert {r.path: r.boost for r in search.ranked(notes, "limit", ["cap"]).collect()} == {1: 0.0, 2: 12.0}
+
+
+def test_links_by_path(spark):
+    notes = spark.createDataFrame([("10-Work/Cache plan.md", []), ("20/Cache plan.md", []), ("20/sub/x.md", []), ("root.md", []), ("20/v1.5 plan.md", []), ("lone.md", [])], "path string, aliases array<string>")
+    cases = {
+        ("root.md", "10-work/cache plan"): "10-Work/Cache plan.md", ("root.md", "10-work/cache plan.md"): "10-Work/Cache plan.md", ("20/Cache plan.md", "sub/x"): "20/sub/x.md",
+        ("20/Cache plan.md", "sub/x.md"): "20/sub/x.md", ("20/sub/x.md", "../cache plan"): "20/Cache plan.md", ("20/sub/x.md", "../../root"): "root.md", ("root.md", "../root"): None,
+        ("root.md", "30/cache plan"): None, ("root.md", "/10-work/cache plan"): None, ("root.md", "cache plan"): "ambiguous", ("20/sub/x.md", "root"): "root.md",
+        ("root.md", "20/v1.5 plan"): None, ("root.md", "20/v1.5 plan.md"): "20/v1.5 plan.md",
+    }
+    edges = spark.createDataFrame([(s, i, n, "body") for i, (s, n) in enumerate(cases)], "source string, line int, name string, origin string")
+    resolved = links.resolve(edges, links.link_keys(notes))
+    assert {(r.source, r.name): "ambiguous" if r.state == "ambiguous" else r.target for r in resolved.collect()} == cases
+    alone = links.orphans(notes.select("path"), resolved, notes.filter("path = 'root.md'").select("path"))
+    assert {r.path for r in alone.collect()} == {"lone.md"}
