@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.functions.text import normal_name, note_date, tag_key
-from notelens.operators import corpus, links, reviews, search, workflow
+from notelens.operators import corpus, links, receipts, reviews, search, workflow
 from notelens.plans import adapters
 from notelens.sources.tables import table
 
@@ -256,17 +256,30 @@ def declared_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", last.alias("outcome")).filter("outcome <> ''").groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("conversations"))
 
 
-def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-14 and SNK-4: whole excerpts found in bodies, with the excerpt's digest. The excerpts are keyed by their
-    first five words, so bodies are searched by equality on word runs, not pair by pair."""
+def _held_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, excerpt, text of every body that holds an excerpt. Excerpts of six words or more are keyed by
+    their second to fifth word, which stand whole in a body, so bodies are searched by equality on word runs; the
+    ends of shorter ones may be parts of words, and these are held against each body."""
     words = lambda c: F.filter(F.split(c, r"[ \n]+", -1), lambda w: w != "")
-    items = table(spark, sf_dir, "benchmark").withColumn("w", words(F.col("text"))).filter(F.size("w") >= 5)
-    keyed = items.select("item_id", F.col("text").alias("excerpt"), F.xxhash64(*[F.get("w", F.lit(i)) for i in range(1, 5)]).alias("key"))
-    docs = table(spark, sf_dir, "documents").withColumn("w", words(F.col("text")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("excerpt")).withColumn("w", words(F.col("excerpt")))
+    keyed = items.filter(F.size("w") >= 6).select("item_id", "excerpt", F.xxhash64(*[F.get("w", F.lit(i)) for i in range(1, 5)]).alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(4)]))
     candidates = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed, "key").select("doc_id", "item_id", "excerpt").distinct()
-    held = candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "excerpt"))
-    return held.select("doc_id", "item_id", F.instr("text", F.col("excerpt")).cast("long").alias("position"), F.sha2("excerpt", 256).alias("sha256"))
+    long = candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "excerpt"))
+    short = docs.select("doc_id", "text").join(items.filter(F.size("w") < 6).select("item_id", "excerpt"), F.contains("text", "excerpt"))
+    return long.select("doc_id", "item_id", "excerpt", "text").unionByName(short)
+
+
+def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-4: whole excerpts found in bodies, with the first place and the excerpt's digest."""
+    return _held_excerpts(spark, sf_dir).select("doc_id", "item_id", F.instr("text", F.col("excerpt")).cast("long").alias("position"), F.sha2("excerpt", 256).alias("sha256"))
+
+
+def evidence_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-14: a row for each occurrence of an excerpt in a body, overlapping ones too."""
+    held = _held_excerpts(spark, sf_dir)
+    return held.select("doc_id", "item_id", F.explode(receipts.occurrences("text", "excerpt")).alias("position"), F.sha2("excerpt", 256).alias("sha256"))
 
 
 def metric_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,6 +412,9 @@ SELECT target, CASE WHEN NOT readable THEN 'unreadable' WHEN draft THEN 'draft'
     "required_kinds_missing": """
 SELECT conv_id, missing FROM (SELECT conv_id, array_to_string([k FOR k IN ['assistant', 'system', 'user'] IF NOT list_contains(list(DISTINCT role), k)], ',') AS missing FROM conversations GROUP BY conv_id) WHERE missing <> ''""",
     "evidence_containment": "SELECT doc_id, item_id, strpos(d.text, b.text) AS position, sha256(b.text) AS sha256 FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "evidence_occurrences": """
+SELECT doc_id, item_id, p AS position, sha256(x) AS sha256 FROM (SELECT doc_id, item_id, d.text AS t, b.text AS x, unnest(range(1, length(d.text) - length(b.text) + 2)) AS p FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text))
+WHERE substr(t, p, length(x)) = x""",
     "metric_spans": r"SELECT lang, count(*) AS spans, count(DISTINCT span) AS distinct_spans FROM (SELECT lang, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS span FROM documents) WHERE NOT regexp_full_match(span, '(19|20)[0-9]{2}') GROUP BY lang",
     "metric_span_uncovered": """
 WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events)
@@ -445,7 +461,7 @@ def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, retention_keep_n, cache_prune_budget,
-        board_fold, board_spoken_sections, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
+        board_fold, board_spoken_sections, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates,
     )
     return {f.__name__: f for f in found}

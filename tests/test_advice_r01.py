@@ -6,7 +6,8 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from notelens.operators import links, search
+from notelens.operators import links, receipts, search
+from notelens.plans import table_queries
 
 
 def brute_boost(query, names):
@@ -51,3 +52,24 @@ def test_links_by_path(spark):
     assert {(r.source, r.name): "ambiguous" if r.state == "ambiguous" else r.target for r in resolved.collect()} == cases
     alone = links.orphans(notes.select("path"), resolved, notes.filter("path = 'root.md'").select("path"))
     assert {r.path for r in alone.collect()} == {"lone.md"}
+
+
+def test_every_occurrence_of_every_excerpt(spark, tmp_path):
+    docs = [(1, "aaaa b"), (2, "one two three four fives and one two three four five"), (3, "x one two three four five six y one two three four five six"), (4, "é ana banana"), (5, "")]
+    items = [(1, "aa"), (2, "one two three four five"), (3, "one two three four five six"), (4, "ana"), (5, "zz"), (6, "two thr")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(d, i, p + 1) for d, t in docs for i, x in items for p in range(len(t)) if t.startswith(x, p)}
+    got = [(r.doc_id, r.item_id, r.position) for r in table_queries.evidence_occurrences(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    first = {(r.doc_id, r.item_id, r.position) for r in table_queries.evidence_containment(spark, str(tmp_path)).collect()}
+    assert first == {(d, i, min(p for a, b, p in want if (a, b) == (d, i))) for d, i, _ in want}
+
+
+def test_metric_spans_need_a_covering_span(spark):
+    from tests.test_operators import receipt
+
+    cases = {"It fell 5%. It grew 15% with https://r.org": ["grew 15%"], "It grew 5% with https://r.org": ["grew 5%"], "Up 5%, then up 5% with https://r.org": ["up 5%", "Up 5%"], "Up 5%, then up 5% of https://r.org": ["up 5%"]}
+    rows = [(t, receipt(t, numeric_claims=[{"note_excerpt": x} for x in xs])) for t, xs in cases.items()]
+    df = spark.createDataFrame([(t, r, t, "verified", "https://a.org/x") for t, r in rows], "path string, receipt string, rendered string, depth string, source string")
+    assert [receipts.judge(df).filter(f"path = '{t}'").first().code for t in cases] == ["uncovered-numeric-claim", None, None, "uncovered-numeric-claim"]
