@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.functions.text import normal_name, note_date, tag_key
-from notelens.operators import corpus, links, receipts, reviews, search, workflow
+from notelens.operators import corpus, links, receipts, resume, reviews, search, workflow
 from notelens.plans import adapters
 from notelens.sources.tables import table
 
@@ -187,6 +187,18 @@ def resume_sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("path").alias("o_orderkey"), "trust", F.col("date").cast("string").alias("date"), "origins")
 
 
+def resume_project_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-12, SET-1 and SRT-8 over the whole tables: every customer is a project. Its own orders lie in its folder, those
+    of priority 1 name it, and items shipped by the supplier of its number are links that do."""
+    customers = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
+    notes = orders.select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("folder"), F.when(F.col("o_orderpriority").startswith("1"), F.col("c_name")).alias("project"), F.to_date("o_orderdate").alias("date"))
+    projects = customers.select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("project"), F.col("c_name").alias("name"), F.col("c_custkey").alias("folder"))
+    shipped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_suppkey").alias("folder")).distinct()
+    members = resume.project_members(notes, projects, shipped.join(projects.select("folder", "name"), "folder").select("path", "name"))
+    return members.select("project", F.col("path").cast("long").alias("o_orderkey"), "trust", F.col("date").cast("string").alias("date"), F.array_join("origins", "+").alias("origins"))
+
+
 # --- events -------------------------------------------------------------------------------------------
 
 def _seconds(column: str):
@@ -405,6 +417,13 @@ WITH u AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 0 AS trust, 'locat
   UNION ALL SELECT o_orderkey, CAST(o_orderdate AS DATE), 1, 'project-field' FROM orders WHERE o_custkey < 30 AND o_orderpriority LIKE '1%'
   UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), 2, 'related-link' FROM lineitem WHERE l_suppkey = 1)
 SELECT o_orderkey, min(trust) AS trust, CAST(max(d) AS VARCHAR) AS date, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY o_orderkey""",
+    "resume_project_members": """
+WITH names AS (SELECT lower(c_name) AS key, any_value(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1),
+o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_custkey, o_orderpriority, lower(c_name) AS key FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+u AS (SELECT c_custkey AS c, o_orderkey, d, 0 AS trust, 'location' AS origin FROM o JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT c, o_orderkey, d, 1, 'project-field' FROM o JOIN names USING (key) WHERE o_orderpriority LIKE '1%'
+  UNION ALL SELECT n.c, o_orderkey, d, 2, 'related-link' FROM lineitem JOIN customer ON c_custkey = l_suppkey JOIN names n ON n.key = lower(c_name) JOIN o ON o_orderkey = l_orderkey)
+SELECT 'customer ' || c AS project, o_orderkey, min(trust) AS trust, CAST(max(d) AS VARCHAR) AS date, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY c, o_orderkey""",
     "inbox_routes": r"""
 WITH i AS (SELECT CASE WHEN role = 'system' THEN '90-Meta' WHEN contains(lower(text), 'meeting') OR contains(lower(text), 'und ') THEN '10-Work' WHEN contains(lower(text), 'article') OR contains(lower(text), ' la ') THEN '20-Learning'
   WHEN contains(lower(text), 'idea') OR contains(lower(text), ' the ') THEN '30-Insights' END AS target, length(text) < 1200 AS readable, conv_id % 9 = 0 OR regexp_matches(text, '\{\{[^{}]*\}\}') AS draft FROM conversations)
@@ -460,7 +479,7 @@ SQL["table_audit_worst"] = _AUDIT + "SELECT doc_id, code, severity FROM f ORDER
 def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
-        crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, retention_keep_n, cache_prune_budget,
+        crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
         board_fold, board_spoken_sections, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates,
     )
