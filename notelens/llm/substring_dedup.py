@@ -112,6 +112,9 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((at, doc, ctx, anchor))
             anchor, ctx, doc, at = anchor[order], ctx[order], doc[order], at[order]
             copy = np.concatenate([np.zeros(min(1, len(at)), bool), (anchor[1:] == anchor[:-1]) & (ctx[1:] == ctx[:-1])])
+            first_of = np.maximum.accumulate(np.where(copy, 0, np.arange(len(at))))
+            kept = ~(copy & (doc == doc[first_of]) & (at == at[first_of]))  # a repeated row stands in the same place
+            anchor, ctx, doc, at, copy = anchor[kept], ctx[kept], doc[kept], at[kept], copy[kept]
             dealt = np.where(copy, doc * 0x2545F491 + at, anchor)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, ctx, doc, at, copy, dealt)], ["anchor", "ctx", "doc_id", "at", "copy", "dealt"])
 
@@ -121,7 +124,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of each context of an anchor that has several. Rows known as copies stand in front and pass as they are.
     Holds one batch and one row."""
     held = None  # first row of the last context, while its anchor has no other
-    last = None  # (anchor, ctx) of the last row
+    last = None  # (anchor, ctx) of the last row, and (document, place) of the first row of its context
     for mixed in batches:
         known = mixed.filter(mixed.column(4))
         if known.num_rows:
@@ -132,7 +135,11 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, ctx = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         same_anchor = np.concatenate([[last is not None and anchor[0] == last[0]], anchor[1:] == anchor[:-1]])
         copy = same_anchor & np.concatenate([[last is not None and ctx[0] == last[1]], ctx[1:] == ctx[:-1]])
+        doc, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        first_of = np.maximum.accumulate(np.where(copy, -1, np.arange(len(at))))  # -1: in an earlier batch
+        first_doc, first_at = np.where(first_of < 0, last[2] if last else 0, doc[first_of]), np.where(first_of < 0, last[3] if last else 0, at[first_of])
         firsts = np.flatnonzero(~copy)  # first row of each context
+        copy &= (doc != first_doc) | (at != first_at)  # a repeated row stands in the same place
         later = same_anchor[firsts]  # its anchor has an earlier context
         with_next = np.concatenate([later[1:], [False]])
         rows, kinds = [batch.filter(pa.array(copy))], [np.ones(int(copy.sum()), bool)]
@@ -146,7 +153,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds.append(np.zeros(len(chosen), bool))
         if len(firsts) and not later[-1]:
             held = batch.slice(int(firsts[-1]), 1)
-        last = (anchor[-1], ctx[-1])
+        last = (anchor[-1], ctx[-1], first_doc[-1], first_at[-1])
         out = pa.Table.from_batches(rows).combine_chunks()
         columns = [out.column(c).combine_chunks() for c in ("anchor", "doc_id", "at")]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]

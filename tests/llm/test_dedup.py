@@ -171,3 +171,15 @@ def test_anchors_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
     pieces = substring_dedup.anchors(raw)
     assert whole[0].tolist() == pieces[0].tolist() and whole[1].tolist() == pieces[1].tolist()
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substring_dedup_keeps_repeated_rows(spark, parts):
+    rng = random.Random(7)
+    base = words(rng, 60)
+    rows = [(3, base), (3, base), (None, "n" + base[:150]), (None, "n" + base[:150]), (5, "tail " + base), (6, words(rng, 60)), (6, None)]
+    rows[6] = rows[5]
+    got = sorted((r.doc_id or -1, r.n_removed, bytes(r.kept)) for r in substring_dedup.remove_repeats(spark, docs_of(spark, rows).repartition(parts)).collect())
+    single = brute_cut(dict.fromkeys(rows))
+    assert got == sorted((i or -1, single[i][1], single[i][3]) for i, _ in rows)
+    assert single[6][1] == 0 and single[None][1] == 0
