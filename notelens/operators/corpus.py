@@ -74,6 +74,10 @@ def merge_pairs(counts: DataFrame) -> DataFrame:
     return counts.groupBy("notes").applyInPandas(chain, "term string, notes long")
 
 
+#: Bounds that are whole numbers may come out slightly above in floating point.
+SLACK = 1e-6
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matcher's ratio; it depends on the order of its arguments."""
@@ -95,11 +99,11 @@ def similar_titles(titles: DataFrame, floor: float = 0.85) -> DataFrame:
     frequency = base.select(F.explode("bag").alias("item")).groupBy("item").count()
     ranked = base.select("title", "n", F.explode("bag").alias("item")).join(frequency, "item")
     # a partner of length m has 2 M >= floor (n + m) and m >= M, so M >= floor n / (2 - floor)
-    need = F.ceil(F.col("n") * floor / (2 - floor))
+    need = F.ceil(F.col("n") * floor / (2 - floor) - SLACK)
     order = Window.partitionBy("title").orderBy("count", "item")
     prefix = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - need + 1).select("title", "n", "item")
     a, b = prefix.select(F.col("title").alias("a"), F.col("n").alias("na"), "item"), prefix.select(F.col("title").alias("b"), F.col("n").alias("nb"), "item")
-    pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= floor * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= floor * (F.col("na") + F.col("nb")) - SLACK)).select("a", "b").distinct()
     bare = lambda c: F.regexp_replace(c, "[0-9]+", "")
     series = (bare("a") == bare("b")) & (bare("a") != "")
     return pairs.filter(~series).withColumn("ratio", F.greatest(sequence_ratio("a", "b"), F.lit(0.0))).filter(F.col("ratio") >= floor)

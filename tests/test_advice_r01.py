@@ -6,7 +6,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from notelens.operators import links, receipts, search
+from notelens.operators import corpus, links, receipts, search
 from notelens.plans import table_queries
 
 
@@ -73,3 +73,12 @@ def test_metric_spans_need_a_covering_span(spark):
     rows = [(t, receipt(t, numeric_claims=[{"note_excerpt": x} for x in xs])) for t, xs in cases.items()]
     df = spark.createDataFrame([(t, r, t, "verified", "https://a.org/x") for t, r in rows], "path string, receipt string, rendered string, depth string, source string")
     assert [receipts.judge(df).filter(f"path = '{t}'").first().code for t in cases] == ["uncovered-numeric-claim", None, None, "uncovered-numeric-claim"]
+
+
+def test_similar_titles_at_the_floor(spark):
+    long, short = "abcdefghijklmnopq" + "123456", "abcdefghijklmnopq"  # 2 * 17 / 40
+    long = long.translate(str.maketrans("123456", "uvwxyz"))
+    titles = [long, short, *[short[:k] + "#" for k in range(1, 9)], *[short[k:] + "!" for k in range(9)]]
+    got = {(r.a, r.b) for r in corpus.similar_titles(spark.createDataFrame([(t,) for t in titles], "title string")).collect()}
+    want = {(a, b) for a in titles for b in titles if a < b and SequenceMatcher(None, a, b).ratio() >= 0.85}
+    assert got == want and (short, long) in want
