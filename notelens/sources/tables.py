@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}  # the temporary folder of a local session without a setting
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Spark's reader opens it, so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies; one that is gone already is no error."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001  the session is over; what is left is the store's to clean
+        pass
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``, removed when the program ends. Where that is unset, a temporary
+    folder serves a local session; on a cluster other machines could not see one, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="notelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        session = spark.sparkContext.applicationId
+        if session not in _LOCAL:
+            _LOCAL[session] = "file://" + tempfile.mkdtemp(prefix="notelens-")
+        base = _LOCAL[session]
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, path)
+    return path
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -27,3 +51,21 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """What an operator writes on its way to a result that it has staged elsewhere; removed when the block ends."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, shared_dir(spark, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.root)
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
