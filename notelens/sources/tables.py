@@ -16,11 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_store(spark: SparkSession, path: str):
+    """The path and its store, in the JVM."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there, store = _in_store(spark, path)
+    return store.exists(there)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it lies; one that is gone already is no error."""
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    there, store = _in_store(spark, path)
+    store.delete(there, True)
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
