@@ -5,12 +5,14 @@ byte classes and of hashed pairs of classes in it, through one learned layer. Ga
 (softmax of w . (tanh(V h) * sigmoid(U h))) weighs the passages, and a logistic layer scores the
 weighted sum. All weights are learned together, from labels of whole documents only.
 
-Training takes a bounded sample: the ``max_docs`` labelled rows with the smallest hash of their id, as
-encoded passages. Everything else reads whole texts of all rows.
+Training takes a bounded sample of labelled rows, bounded in rows and in bytes of text; a sampled row is
+learned from with all its passages. Everything else reads whole texts of all rows.
 
 Defined cases: null and empty texts are one passage of zeros and get a score; rows without label are
 not learned from; a label table without usable rows gives the constant score 0.5; a document labelled
-more than once counts once for each label row; other columns are ignored.
+more than once counts once for each label row, and repeated rows of it count each; rows are scored
+one by one, so repeated rows get equal scores; a very long text is scored whole, but learned from only
+if the sample has room for all of it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PASSAGE = 512
+PIECE = 2048 * PASSAGE
 CLASSES, PAIRS = 48, 128
 WIDTH = CLASSES + PAIRS + 5
 POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 HIDDEN, GATE = 24, 12
+SLICE_BYTES = 4_000_000
 
 
 def _classes() -> np.ndarray:
@@ -49,8 +53,10 @@ PAIR = ((np.arange(CLASSES * CLASSES, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 
 
 def encode(data: bytes) -> np.ndarray:
-    """One row of features for each passage."""
+    """One row of features for each passage. Pairs and words end at every ``PIECE`` bytes, which bounds the memory."""
     n = len(data)
+    if n > PIECE:
+        return np.concatenate([encode(data[at : at + PIECE]) for at in range(0, n, PIECE)])
     m = max(1, -(-n // PASSAGE))
     if not n:
         return np.zeros((1, WIDTH), np.float32)
@@ -136,20 +142,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_passages: int = 64, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits on at most max_docs labelled rows that are not held out, of each at most max_passages passages
-    evenly spread over the whole text (these bounds hold for training alone)."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: int = 32_000_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fits on a bounded sample of labelled rows that are not held out: the first ``max_docs`` in the order of a hash of
+    their ids, without those for which ``max_bytes`` of text leave no room. Every passage of a sampled row is encoded."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_docs)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_data")).join(F.broadcast(chosen), "_id")
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_data"))
+    rows = chosen.collect()  # max_docs rows of id and label
+    listed = lambda found: F.broadcast(docs.sparkSession.createDataFrame(found, chosen.schema))
+    sizes = text.join(listed(rows).select("_id").distinct(), "_id").groupBy("_id").agg(F.sum(F.octet_length("_data")).alias("n"))
+    size_of, room, held = dict(map(tuple, sizes.collect())), max_bytes, []
+    for row in rows:
+        n = size_of.get(row["_id"]) or 0
+        if n <= room:
+            held.append(row)
+            room -= n
+    sample = text.join(listed(held), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = []
-            for data in batch.column("_data").to_pylist():
-                x = encode(data or b"")
-                bags.append(x[np.linspace(0, len(x) - 1, max_passages).astype(int)] if len(x) > max_passages else x)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())], ["id", "label", "bag"])
+            bags = [encode(data or b"").astype(np.float16).tobytes() for data in batch.column("_data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(bags, pa.binary())], ["id", "label", "bag"])
 
     schema = T.StructType([T.StructField("id", sample.schema["_id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("bag", T.BinaryType())])
     rows = sorted(sample.mapInArrow(run, schema).collect())
@@ -162,11 +175,31 @@ def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", nam
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                bags = [encode((t or "").encode()) for t in batch.column(text_col).to_pylist()]
-                scores = model.score(bags) if model else np.full(len(bags), 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores.astype(np.float64))], [*names, name])
+        for batch, scores in _scored(batches, model, text_col):
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(scores)], [*names, name])
 
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model | None, text_col: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of rows with their scores; a slice ends after 200 rows or where its texts reach a bound."""
+    for whole in batches:
+        column, at = whole.column(whole.schema.get_field_index(text_col)), 0
+        while at < whole.num_rows:
+            bags, size = [], 0
+            while at + len(bags) < whole.num_rows and len(bags) < 200 and size < SLICE_BYTES:
+                data = (column[at + len(bags)].as_py() or "").encode("utf-8", "surrogatepass")
+                bags.append(encode(data))
+                size += len(data)
+            scores = model.score(bags) if model else np.full(len(bags), 0.5)
+            yield whole.slice(at, len(bags)), scores.astype(np.float64)
+            at += len(bags)
+
+
+def drop_below(docs: DataFrame, model: Model | None, floor: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns and no other, whose score is not below the floor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in _scored(batches, model, text_col):
+            yield batch.filter(pa.array(scores >= floor))
+
+    return docs.mapInArrow(run, docs.schema)

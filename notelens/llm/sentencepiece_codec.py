@@ -45,7 +45,7 @@ def load_pieces(model_file: str) -> tuple[list[str], list[float], list[str]]:
 class Codec:
     """The automaton and its memo. One is built in each Python worker and kept there."""
 
-    def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], memo_parts: int = 600_000) -> None:
+    def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], memo_parts: int = 200_000, max_ways: int = 500_000) -> None:
         self.goto: list[dict[str, int]] = [{}]
         self.piece: list[tuple[int, float, int] | None] = [None]  # (length, score, id) of the piece that a state spells
         normal = [i for i, k in enumerate(kinds) if k == "normal" and pieces[i]]
@@ -72,7 +72,8 @@ class Codec:
                 to = self.fail[after]
                 self.output_link[after] = to if self.piece[to] else self.output_link[to]
                 queue.append(after)
-        self.ways: list[dict[str, tuple]] = [{} for _ in range(n)]
+        self.max_ways = max_ways
+        self._forget_ways()
         byte_ids = [i for i, k in enumerate(kinds) if k == "byte"]
         self.byte = {int(pieces[i][1:-1], 16): i for i in byte_ids}
         if len(self.byte) != 256:
@@ -87,6 +88,10 @@ class Codec:
             self.parts = re.compile(r"\n|[^ \n]+| +[^ \n]*")
         self.memo_parts, self.memo = memo_parts, {}
 
+    def _forget_ways(self) -> None:
+        self.ways: list[dict[str, tuple]] = [{} for _ in self.goto]
+        self.n_ways = 0
+
     def _ending(self, state: int) -> tuple[tuple[int, float, int], ...]:
         """Pieces that end where the automaton is in this state, longest first: its own, then along the output links."""
         found = [self.piece[state]] if self.piece[state] else []
@@ -96,14 +101,17 @@ class Codec:
 
     def _step(self, state: int, char: str) -> tuple:
         """Where a character leads, by the fail links: the state, its pieces, and whether the character alone is one.
-        Kept with the state, so that each way is searched once."""
+        Kept with the state while there is room, so that most ways are searched once."""
         c = MARK if char == " " else None if char == MARK else char  # a mark in the text is no space
         at = state
         while at and c not in self.goto[at]:
             at = self.fail[at]
         at = self.goto[at].get(c, 0)
         ending = self._ending(at)
-        way = self.ways[state][char] = (at, ending, any(x[0] == 1 for x in ending))
+        way = (at, ending, any(x[0] == 1 for x in ending))
+        if self.n_ways < self.max_ways:
+            self.ways[state][char] = way
+            self.n_ways += 1
         return way
 
     def best_path(self, part: str) -> list[int]:
@@ -144,6 +152,8 @@ class Codec:
         except KeyError:
             if len(memo) > self.memo_parts:
                 memo.clear()
+            if self.n_ways >= self.max_ways:
+                self._forget_ways()
             out, pack = [], lambda ids: array("i", ids).tobytes()
             for p in parts:
                 ids = memo.get(p)

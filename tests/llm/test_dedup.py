@@ -48,11 +48,31 @@ def test_exact_dedup_tells_texts_of_one_digest_apart(spark, monkeypatch):
 
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     root = f"file://{tmp_path}/state"
-    exact_dedup.exact_dedup(spark, docs_of(spark, [(1, "a"), (2, "b")]), state_root=root).collect()
-    prints = exact_dedup.fingerprints(docs_of(spark, [(3, "a")]))
-    prints.write.mode("append").parquet(f"{root}/fingerprints")
-    state = exact_dedup.keyed_state(spark, spark.readStream.schema(prints.schema).parquet(f"{root}/fingerprints"), root)
-    assert sorted((r.keep_id, r.group_size) for r in state.collect()) == [(2, 1), (3, 2)]
+    found = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, docs_of(spark, rows), state_root=root).collect())
+    first = [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    assert found([(1, "a"), (2, "a"), (3, "b")]) == first
+    assert found([(1, "a"), (2, "a"), (3, "b")]) == first  # the same call again counts nothing twice
+    assert found([(2, "a"), (7, "a"), (9, "c")]) == [(2, 7, 3, False), (7, 7, 3, True), (9, 9, 1, True)]
+    assert found([(3, "b")]) == [(3, 3, 1, True)]
+
+
+def test_locators_find_the_text(spark, tmp_path):
+    rows = [(i, t) for i, t in EDGES] + [(i, f"t{i % 7}") for i in range(20, 60)]
+    docs_of(spark, rows).write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    places = {(r.file, r.row): (r.doc_id, r.text or "") for r in docs.select("doc_id", "text", "_metadata.file_path", "_metadata.row_index").toDF("doc_id", "text", "file", "row").collect()}
+    for r in exact_dedup.exact_dedup(spark, docs.filter("doc_id is null or doc_id <> 4")).collect():
+        keep_id, text = places[r.locator.file, r.locator.row]
+        assert keep_id == r.keep_id and hashlib.sha256(text.encode()).hexdigest() == r.text_sha256
+        assert places[r.place.file, r.place.row] == (r.doc_id, text)
+
+
+def test_drop_copies_keeps_all_columns(spark):
+    rows = [(None, "a"), (None, "b"), (5, "a"), (5, "a"), (6, "c"), (6, "d"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "keep", "meta", 1) for i, t in rows], "doc_id long, text string, `place` string, `_metadata` string, `a.b` long")
+    kept = exact_dedup.drop_copies(spark, docs)
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {("keep", "meta", 1)}
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [(0, "b"), (5, "a"), (6, "c"), (6, "d"), (8, "")]
 
 
 def test_empty_tables(spark):

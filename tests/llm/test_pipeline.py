@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import corpus_pipeline
@@ -41,29 +42,89 @@ def test_attention_gradient():
     assert np.allclose(np.add.reduceat(weights, np.cumsum([0, *map(len, bags)])[:-1]), 1, atol=1e-5)
 
 
-def test_stages_against_plain_python(spark):
-    docs = table(spark, SF, "documents")
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    kept = {r.doc_id for r in corpus_pipeline.exact_copies(spark, docs, SF).collect()}
+def plain_stages(rows, labels, items):
+    """What each stage keeps of rows (doc_id, text), in plain Python: doc ids by stage, and the ids of the tokens."""
+    out = []
+    chosen = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    known = [(i, quality.encode((t or "").encode()).astype(np.float16).astype(np.float32), y) for i, t in rows for j, y in labels if i == j and i in chosen]
+    known.sort(key=lambda x: x[0])
+    model = quality.fit([x for _, x, _ in known], np.array([y for _, _, y in known]))
+    rows = [(i, t) for i, t in rows if model.score([quality.encode((t or "").encode())])[0] >= 0.3]
+    out.append({i for i, _ in rows})
     last = {}
-    for i, t in rows.items():
-        last[t] = max(i, last.get(t, i))
-    assert kept == set(last.values())
-    near = corpus_pipeline.near_copies(spark, docs, SF)
-    assert near.columns == docs.columns and near.count() <= len(kept)
-    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
-    index = decontaminate.Index(items)
-    clean = {r.doc_id for r in corpus_pipeline.benchmark_passages(spark, docs, SF).collect()}
-    assert clean == {i for i, t in rows.items() if not index.matches(t)}
-    assert not any(s in rows[i] for i in clean for _, s in items)
-
-
-def test_whole_pipeline(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    texts = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    for i, t in rows:
+        last[t or ""] = max(i, last.get(t or "", i))
+    rows = [(i, t) for i, t in rows if last[t or ""] == i]
+    out.append({i for i, _ in rows})
+    comp = near_components(rows)
+    rows = [(i, t) for i, t in rows if comp[i] == i]
+    out.append({i for i, _ in rows})
+    rows = [(i, t) for i, t in rows if not any(near_inside(s, t or "") for s in items if s)]
+    out.append({i for i, _ in rows})
+    return out, dict(rows)
+
+
+def near_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower() if (t or "").isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a, sa in sets.items():
+        for b, sb in sets.items():
+            if a < b and sa and sb and 100 * len(sa & sb) >= 90 * len(sa | sb):
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    return {i: root(i) for i in sets}
+
+
+def near_inside(item, text):
+    """Whether an item occurs within its budget of edits, by the full table of edit distances."""
+    def plain(t):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(r"[\t-\r]", " ", t))
+
+    a, b = np.frombuffer(plain(item).encode("utf-32-le"), np.uint32), np.frombuffer(plain(text).encode("utf-32-le"), np.uint32)
+    q = decontaminate.Q
+    k = max(0, min(int(len(a) * decontaminate.RATE), (len(a) - q) // q))
+    row, steps = np.zeros(len(b) + 1, np.int64), np.arange(len(b) + 1)
+    for c in a.tolist():
+        new = np.minimum(row + 1, np.concatenate([[row[0] + 1], row[:-1] + (b != c)]))
+        row = np.minimum.accumulate(new - steps) + steps
+    return row.min() <= k
+
+
+def test_whole_pipeline_against_plain_python(spark, tmp_path):
+    """run() and each stage on whole tables, against a brute-force version of all five."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    labels = sorted((r.doc_id, r.quality) for r in table(spark, sf, "labels").collect())
+    kept, left = plain_stages(sorted(texts.items()), labels, [r.text for r in table(spark, sf, "benchmark").collect()])
+    docs = table(spark, sf, "documents")
+    for (_, stage), want in zip(corpus_pipeline.STAGES[:4], kept, strict=True):
+        docs = stage(spark, docs, sf)
+        docs.write.parquet(f"file://{tmp_path}/{len(want)}-{stage.__name__}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{len(want)}-{stage.__name__}")
+        assert {r.doc_id for r in docs.collect()} == want and docs.columns == table(spark, sf, "documents").columns
+    assert kept[0] > kept[1] > kept[2] > kept[3]
     codec = sentencepiece_codec.Codec(*sentencepiece_codec.load_pieces(corpus_pipeline.PIECES))
-    assert 0 < len(rows) < len(texts) and all(codec.decode(r.ids) == texts[r.doc_id] and r.n_tokens == len(r.ids) for r in rows)
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: codec.encode(t or "") for i, t in left.items()} and len(rows) == len(left)
+    assert all(codec.decode(r.ids) == left[r.doc_id] and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "some words of a text", "a", "b", "c"), (2, None, "a", "b", "c"), (3, "some words of a text", "a", "b", "c"), (None, "w " * 90, "a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha256 string, _score string, component_id string")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        for found in (stage(spark, docs, SF), stage(spark, docs.limit(0), SF)):
+            assert found.schema.simpleString() == docs.schema.simpleString()
+            assert {tuple(r)[2:] for r in found.collect()} <= {("a", "b", "c")}
 
 
 def test_exact_stage_with_null_ids_and_repeated_rows(spark):
