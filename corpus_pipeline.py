@@ -3,12 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but the last
 return the columns of documents. ``run`` writes each stage's rows to the shared folder and reads them
 again, so a lost executor costs no earlier stage.
+
+Defined cases: a null text counts as the empty text in every stage; rows without id are told apart by
+their place in the first two stages and are never near copies; repeated rows of one id and text become
+one; texts of any length pass whole; an empty table gives an empty result; further columns of documents
+pass every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from notelens.llm import decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_codec
 from notelens.llm.queries import PIECES, QUALITY_FLOOR
@@ -18,15 +22,12 @@ from notelens.sources.tables import staged, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention model scores at 0.3 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, name="_score").filter(f"_score >= {QUALITY_FLOOR}").select(*docs.columns)
+    return quality.drop_below(docs, model, QUALITY_FLOOR)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id; of repeated rows of it, one."""
-    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    digested = docs.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    same = F.expr("d._sha256 = k.text_sha256 and d.doc_id <=> k.doc_id")
-    return digested.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["_sha256", "doc_id"]).select(*docs.columns)
+    return exact_dedup.drop_copies(spark, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
