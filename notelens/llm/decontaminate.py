@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelens.llm.workers import built, small_batches
+
 Q, RATE, BLOCK_CHARS = 8, 0.10, 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BITS = 22
@@ -177,12 +179,8 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
         yield block
 
 
-def _indexed(broadcast, token: str, q: int, rate: float, cache: dict = {}) -> Index:  # noqa: B006  one index is kept in each worker
-    key = (token, q, rate)
-    if key not in cache:
-        cache.clear()
-        cache[key] = Index(broadcast.value, q, rate)
-    return cache[key]
+def _indexed(broadcast, token: str, q: int, rate: float) -> Index:
+    return built(("index", token, q, rate), lambda: Index(broadcast.value, q, rate))
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

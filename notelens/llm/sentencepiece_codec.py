@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from notelens.llm.workers import built, small_batches
+
 MARK = "▁"
 PENALTY = 10.0
 
@@ -172,14 +174,8 @@ class Codec:
         return b"".join([surface[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(broadcast, token: str) -> Codec:
-    if token not in _CODECS:
-        _CODECS.clear()
-        _CODECS[token] = Codec(*broadcast.value)
-    return _CODECS[token]
+    return built(("codec", token), lambda: Codec(*broadcast.value))
 
 
 def encode(spark: SparkSession, docs: DataFrame, model_file: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -187,6 +183,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_file: str, text_col: str
 
     The vocabulary is broadcast: its size is that of the model file, whatever the input.
     """
+    small_batches(spark)
     vocabulary, token = spark.sparkContext.broadcast(load_pieces(model_file)), uuid.uuid4().hex
     added = ["ids", "n_tokens"] + ["decoded"] * decoded
     kept = [f for f in docs.schema.fields if f.name not in added]
@@ -212,6 +209,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_file: str, text_col: str
 
 def decode(spark: SparkSession, encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded: the text of each row's ids; null ids give the empty text."""
+    small_batches(spark)
     vocabulary, token = spark.sparkContext.broadcast(load_pieces(model_file)), uuid.uuid4().hex
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 

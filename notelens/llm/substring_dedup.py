@@ -4,24 +4,29 @@ Every byte that lies in a string of ``length`` bytes which also starts earlier (
 id, or earlier in the same document) is removed; strings are judged on the texts as they came.
 
 1. Anchors. Among the q-grams of each window of ``length`` bytes the one of least hash (the leftmost, if
-   several) is its anchor. Equal windows have equal anchors at equal places, so only windows round
-   anchors that occur again can be repeated. Anchors are some 2.6 % of the bytes; with each goes a
-   hash of its context, which is all windows that can have it as their anchor.
+   several) is its anchor, and neighbouring windows of one anchor are its context. Equal windows have
+   equal anchors at equal places, so each window needs to be held against the contexts of its anchor
+   alone, and stands in one context only. Contexts are some 2.6 % of the bytes in number; each travels
+   as a hash.
 2. Contexts. Sorted by anchor, context and place, rows pass once: a context that came before is removed
    whole. Only anchors with several different contexts, where a repeated region begins or ends, need a
    comparison of bytes.
-3. Shard arrays. The bytes of the different contexts of one anchor meet in one shard. Each shard builds
+3. Shard arrays. The bytes of the different contexts of one anchor meet in one shard. A context that
+   agrees with no other round the anchor as far as a common window would is left out. Each shard builds
    a suffix array by induced sorting and permuted common prefixes; runs of suffixes that agree in
    ``length`` bytes are equal windows, of which the earliest stays.
 4. Removal. Intervals are gathered for each document and cut from its text.
 
-Shards take whole anchors up to a stated size; an anchor with more contexts than that is not gathered:
-its windows are compared by 128-bit digests, in a grouped aggregation and a join. Texts travel compressed. Anchor and context hashes have
-64 bits each and count only together.
+An anchor with more contexts than ``SHARD_CONTEXTS`` is dealt over several shards at random. Each sorts
+its part in the same way; the earliest window of each run of a shard then meets those of the other
+shards by its 128-bit digest, in a sum that merges before the shuffle, and in a join. So no anchor is
+gathered whole, however frequent. Texts travel compressed. Anchor and context hashes have 64 bits each
+and count only together.
 
-Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; a null id is smaller
-than all others; ids are taken to tell documents apart (rows that share an id also share removals, cut
-to their length); an empty table gives an empty result; other columns are ignored.
+Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; a row without id is
+neither smaller nor greater than another, so it stays whole and takes nothing from others; repeated rows
+of one id are one place, so they lose the same and take nothing from each other; a very long text is read
+whole, piece by piece; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.llm.suffix_array import permuted_lcp, suffix_array
-from notelens.sources.tables import staged
+from notelens.llm.workers import small_batches
+from notelens.sources.tables import Scratch, staged
 
 U = np.uint64
 LENGTH, GRAM = 100, 24
 SHARD_BYTES = 2_000_000
-SHARD_CONTEXTS = 20_000  # of one anchor; with more of them windows are compared by digest
-NULL_ID = -(1 << 63)  # stands for a null id
+SHARD_CONTEXTS = 5_000  # of one anchor; with more of them it is dealt over several shards
+CORE_STEP = 19  # windows that begin so near each other share a core of 81 bytes round the anchor
 PIECE = 1 << 22  # anchors of longer texts are found piece by piece
 BASE = 0x9E3779B97F4A7C15
 
@@ -65,12 +71,13 @@ def gram_hashes(raw: np.ndarray, q: int = GRAM) -> np.ndarray:
     return total ^ (total >> U(29))
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, q: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all windows, in order."""
+def anchors(raw: np.ndarray, length: int = LENGTH, q: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, place of the anchor, its hash) of the context of each anchor, in order."""
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    w, places, hashes = length - q + 1, [], []
-    for first in range(0, len(raw) - length + 1, PIECE):
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U))
+    w, firsts, places, hashes = length - q + 1, [], [], []
+    windows = len(raw) - length + 1
+    for first in range(0, windows, PIECE):
         h = gram_hashes(raw[first : first + PIECE + length - 1], q)
         n = len(h)
         key = (h & ~U(0x7FFFFF)) | np.arange(n).astype(U)
@@ -78,21 +85,21 @@ def anchors(raw: np.ndarray, length: int = LENGTH, q: int = GRAM) -> tuple[np.nd
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         least = (np.minimum(behind[: n - w + 1], ahead[w - 1 : n]) & U(0x7FFFFF)).astype(np.int64)
-        least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-        places.append(least + first)
-        hashes.append(h[least])
-    at, h = np.concatenate(places), np.concatenate(hashes)
-    new = np.concatenate([[True], at[1:] != at[:-1]])
-    return at[new], h[new]
+        begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        firsts.append(begin + first)
+        places.append(least[begin] + first)
+        hashes.append(h[least[begin]])
+    begin, at, h = np.concatenate(firsts), np.concatenate(places), np.concatenate(hashes)
+    new = np.concatenate([[True], at[1:] != at[:-1]])  # a context may go on in the next piece
+    begin = begin[new]
+    return begin, np.diff(np.append(begin, windows)), at[new], h[new]
 
 
-def context(at: int, n: int, length: int = LENGTH, q: int = GRAM) -> tuple[int, int]:
-    """All windows that may have their anchor at this place."""
-    return max(0, at - (length - q)), min(n, at + length)
+SPAN = 1 << 7  # windows of a context and the anchor's place in it, both below this, in one number
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors with their context hashes. Of equal contexts in one batch all but the first are copies already;
+    """Contexts with their hashes. Of equal contexts in one batch all but the first are copies already;
     they need no other row, so they are dealt out by a key of their own and cannot crowd an anchor's partition."""
     for whole in batches:
         for first in range(0, whole.num_rows, 1000):
@@ -100,23 +107,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, found = [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = data or b""
-                at, h = anchors(np.frombuffer(data, np.uint8))
+                begin, size, at, h = anchors(np.frombuffer(data, np.uint8))
                 if len(at):
-                    n = len(data)
-                    starts, ends = np.maximum(0, at - (LENGTH - GRAM)).tolist(), np.minimum(n, at + LENGTH).tolist()
-                    digest = b"".join([hashlib.blake2b(data[s:e], digest_size=8).digest() for s, e in zip(starts, ends, strict=True)])
-                    found.append((h.view(np.int64), np.frombuffer(digest, np.int64), at.astype(np.int32)))
-                    ids.append(np.full(len(at), NULL_ID if i is None else i, np.int64))
-            anchor, ctx, at = (np.concatenate([*(f[j] for f in found), np.zeros(0, kind)]) for j, kind in enumerate((np.int64, np.int64, np.int32)))
+                    digest = b"".join([hashlib.blake2b(data[s:e], digest_size=8).digest() for s, e in zip(begin.tolist(), (begin + size + LENGTH - 1).tolist(), strict=True)])
+                    found.append((h.view(np.int64), np.frombuffer(digest, np.int64), begin.astype(np.int32), (size * SPAN + at - begin).astype(np.int16)))
+                    ids.append(np.full(len(at), i, np.int64))
+            anchor, ctx, at, span = (np.concatenate([*(f[j] for f in found), np.zeros(0, kind)]) for j, kind in enumerate((np.int64, np.int64, np.int32, np.int16)))
             doc = np.concatenate([*ids, np.zeros(0, np.int64)])
             order = np.lexsort((at, doc, ctx, anchor))
-            anchor, ctx, doc, at = anchor[order], ctx[order], doc[order], at[order]
+            anchor, ctx, doc, at, span = anchor[order], ctx[order], doc[order], at[order], span[order]
             copy = np.concatenate([np.zeros(min(1, len(at)), bool), (anchor[1:] == anchor[:-1]) & (ctx[1:] == ctx[:-1])])
             first_of = np.maximum.accumulate(np.where(copy, 0, np.arange(len(at))))
             kept = ~(copy & (doc == doc[first_of]) & (at == at[first_of]))  # a repeated row stands in the same place
-            anchor, ctx, doc, at, copy = anchor[kept], ctx[kept], doc[kept], at[kept], copy[kept]
+            anchor, ctx, doc, at, span, copy = anchor[kept], ctx[kept], doc[kept], at[kept], span[kept], copy[kept]
             dealt = np.where(copy, doc * 0x2545F491 + at, anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, ctx, doc, at, copy, dealt)], ["anchor", "ctx", "doc_id", "at", "copy", "dealt"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, ctx, doc, at, span, copy, dealt)], ["anchor", "ctx", "doc_id", "at", "span", "copy", "dealt"])
+
+
+MARKS = ["anchor", "doc_id", "at", "span"]
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +134,16 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # first row of the last context, while its anchor has no other
     last = None  # (anchor, ctx) of the last row, and (document, place) of the first row of its context
     for mixed in batches:
-        known = mixed.filter(mixed.column(4))
+        known = mixed.filter(mixed.column("copy"))
         if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column(c) for c in ("anchor", "doc_id", "at", "copy")], ["anchor", "doc_id", "at", "copy"])
+            yield known.select([*MARKS, "copy"])
         batch = mixed.slice(known.num_rows)
         if not batch.num_rows:
             continue
-        anchor, ctx = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        anchor, ctx = batch.column("anchor").to_numpy(), batch.column("ctx").to_numpy()
         same_anchor = np.concatenate([[last is not None and anchor[0] == last[0]], anchor[1:] == anchor[:-1]])
         copy = same_anchor & np.concatenate([[last is not None and ctx[0] == last[1]], ctx[1:] == ctx[:-1]])
-        doc, at = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        doc, at = batch.column("doc_id").to_numpy(), batch.column("at").to_numpy()
         first_of = np.maximum.accumulate(np.where(copy, -1, np.arange(len(at))))  # -1: in an earlier batch
         first_doc, first_at = np.where(first_of < 0, last[2] if last else 0, doc[first_of]), np.where(first_of < 0, last[3] if last else 0, at[first_of])
         firsts = np.flatnonzero(~copy)  # first row of each context
@@ -154,10 +162,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(firsts) and not later[-1]:
             held = batch.slice(int(firsts[-1]), 1)
         last = (anchor[-1], ctx[-1], first_doc[-1], first_at[-1])
-        out = pa.Table.from_batches(rows).combine_chunks()
-        columns = [out.column(c).combine_chunks() for c in ("anchor", "doc_id", "at")]
-        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(kinds))], ["anchor", "doc_id", "at", "copy"])
+        out = pa.Table.from_batches(rows).select(MARKS).append_column("copy", pa.array(np.concatenate(kinds)))
+        yield from out.combine_chunks().to_batches()
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,32 +174,51 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of contexts, and where the anchor stands in them."""
     for whole in batches:
-        for first in range(0, whole.num_rows, 200):
-            batch, out = whole.slice(first, 200), []
+        for first in range(0, whole.num_rows, 50):
+            batch, out = whole.slice(first, 50), []
             for i, packed, places in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
                 data = zstandard.decompress(packed)
-                for p in places:
-                    start, end = context(p["at"], len(data))
-                    out.append((p["anchor"], i, start, data[start:end]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["anchor", "doc_id", "start", "bytes"])
+                out += [(p["anchor"], i, p["at"], p["span"] % SPAN, data[p["at"] : p["at"] + p["span"] // SPAN + LENGTH - 1]) for p in places]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["anchor", "doc_id", "start", "within", "bytes"])
 
 
-def repeated_windows(parts: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(document, first byte, end) of runs of windows in the parts (document, start, bytes) that stand
-    earlier among the parts too, by one suffix array over all of them."""
+CONTEXTS = "anchor long, doc_id long, start int, within short, bytes binary"
+
+
+def with_common_cores(contexts: list[tuple[int, int, int, bytes]], length: int = LENGTH, q: int = GRAM) -> list[tuple[int, int, bytes]]:
+    """Of the contexts (document, start, place of the anchor, bytes) of one anchor those that may share a window with
+    another. Windows that begin from b to b + CORE_STEP bytes before the anchor all hold the bytes between the last
+    of these starts and the first of these ends; two contexts with a common window have some such core in common."""
+    seen: dict[tuple[int, bytes], int] = {}
+    kept: set[int] = set()
+    for j, (_, _, within, data) in enumerate(contexts):
+        for b in range(0, length - q, CORE_STEP):
+            low, high = within - b, within - b - CORE_STEP + length
+            if low >= 0 and high <= len(data):
+                other = seen.setdefault((b, data[low:high]), j)
+                if other != j:
+                    kept.update((other, j))
+    return [(contexts[j][0], contexts[j][1], contexts[j][3]) for j in sorted(kept)]
+
+
+def window_classes(parts: list[tuple[int, int, bytes]], length: int = LENGTH) -> tuple[list[tuple[int, int, int]], list[tuple[bytes, int, int]]]:
+    """By one suffix array over all the parts (document, start, bytes): (document, first byte, end) of runs of
+    windows that stand earlier among the parts too, and (bytes, document, first byte) of the others."""
     sizes = np.array([len(p[2]) for p in parts], np.int64)
-    text = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    whole = b"".join(p[2] for p in parts)
+    text = np.frombuffer(whole, np.uint8)
     if not len(text):
-        return []
-    sa = suffix_array(text, depth=length)
+        return [], []
+    sa = suffix_array(text)
     plcp = permuted_lcp(text, sa, length)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(parts)), sizes)
     inside = ends[owner] - np.arange(len(text)) >= length
     ids = np.array([p[0] for p in parts], np.int64)
-    _, rank = np.unique(ids, return_inverse=True)
+    names, rank = np.unique(ids, return_inverse=True)
     place = np.array([p[1] for p in parts], np.int64)[owner] + np.arange(len(text)) - (ends - sizes)[owner]
     key = (rank.astype(np.int64)[owner] << 36) + place
     never = np.iinfo(np.int64).max
@@ -201,53 +226,71 @@ def repeated_windows(parts: list[tuple[int, int, bytes]], length: int = LENGTH)
     begins = np.flatnonzero(np.concatenate([[True], plcp[sa[1:]] < length]))
     earliest = np.minimum.reduceat(ordered, begins)
     earliest = np.repeat(earliest, np.diff(np.append(begins, len(sa))))
-    gone = np.unique(ordered[(ordered != never) & (ordered > earliest)])
-    if not len(gone):
-        return []
-    breaks = np.concatenate([[True], np.diff(gone) > length])
-    first, last = gone[breaks], gone[np.concatenate([np.flatnonzero(breaks)[1:] - 1, [len(gone) - 1]])]
-    names = np.unique(ids)
-    return [(int(names[a >> 36]), a & (1 << 36) - 1, (b & (1 << 36) - 1) + length) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for first in range(0, whole.num_rows, 50):
-            batch, out = whole.slice(first, 50), []
-            for i, packed, places in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                data = zstandard.decompress(packed)
-                starts = {w for p in places for s, e in [context(p["at"], len(data))] for w in range(s, e - LENGTH + 1)}
-                out += [(hashlib.blake2b(data[w : w + LENGTH], digest_size=16).digest(), i, w) for w in starts]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate((pa.binary(), pa.int64(), pa.int32()))], ["digest", "doc_id", "s"])
+    document, byte = lambda k: int(names[k >> 36]), lambda k: k & (1 << 36) - 1
+    gone, runs = np.unique(ordered[(ordered != never) & (ordered > earliest)]), []
+    if len(gone):
+        breaks = np.concatenate([[True], np.diff(gone) > length])
+        first, last = gone[breaks], gone[np.concatenate([np.flatnonzero(breaks)[1:] - 1, [len(gone) - 1]])]
+        runs = [(document(a), byte(a), byte(b) + length) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    stay = (ordered != never) & (ordered == earliest)
+    firsts = [(whole[at : at + length], document(k), byte(k)) for at, k in zip(sa[stay].tolist(), ordered[stay].tolist(), strict=True)]
+    return runs, firsts
 
 
-def _by_digest(wanted: DataFrame) -> DataFrame:
-    """Repeated windows of the contexts of very frequent anchors, without gathering an anchor anywhere: the
-    earliest place of each window's 128-bit digest, and every later one. Sums merge before the shuffle, and
-    adaptive execution splits the join."""
-    windows = staged(wanted.sparkSession, wanted.mapInArrow(_windows, "digest binary, doc_id long, s int"), "repeats-windows")
-    first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "s")).alias("first"))
-    return windows.join(first, "digest").filter(F.struct("doc_id", "s") > F.col("first")).select("doc_id", "s", (F.col("s") + LENGTH).alias("e"))
+def _runs_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if not j else pa.int32()) for j in range(3)], ["doc_id", "s", "e"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated runs by shards of whole anchors; rows come sorted by anchor."""
     parts: list[tuple[int, int, bytes]] = []
+    one: list[tuple[int, int, int, bytes]] = []  # contexts of the present anchor
     size, last = 0, None
+    for batch in batches:
+        for anchor, *context in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+            if anchor != last and one:
+                new = with_common_cores(one)
+                size += sum(len(p[2]) for p in new)
+                parts += new
+                one = []
+                if size >= SHARD_BYTES:
+                    yield _runs_batch(window_classes(parts)[0])
+                    parts, size = [], 0
+            one.append(tuple(context))
+            last = anchor
+    parts += with_common_cores(one)
+    if parts:
+        yield _runs_batch(window_classes(parts)[0])
+
 
-    def done() -> pa.RecordBatch:
-        rows = repeated_windows(parts)
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if not j else pa.int32()) for j in range(3)], ["doc_id", "s", "e"])
+def _part_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated runs within shards that hold parts of anchors (without digest), and the other windows, which may
+    repeat those of another shard, by digest."""
+    def done(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        runs, firsts = window_classes(parts)
+        rows = [(None, *r) for r in runs] + [(hashlib.blake2b(w, digest_size=16).digest(), i, s, s + LENGTH) for w, i, s in firsts]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32()))], ["digest", "doc_id", "s", "e"])
 
+    parts, size = [], 0
     for batch in batches:
-        for anchor, i, start, data in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-            if size >= SHARD_BYTES and anchor != last:
-                yield done()
-                parts.clear()
-                size = 0
+        for _, i, start, _, data in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
             parts.append((i, start, data))
-            size, last = size + len(data), anchor
+            size += len(data)
+            if size >= SHARD_BYTES // 4:  # each byte may give a row
+                yield done(parts)
+                parts, size = [], 0
     if parts:
-        yield done()
+        yield done(parts)
+
+
+def _of_frequent(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """Repeated runs (doc_id, s, e) of the contexts of very frequent anchors, none of which is gathered."""
+    spread = pieces.repartition(F.xxhash64("doc_id", "start"))
+    found = scratch.staged(spread.mapInArrow(_part_shards, "digest binary, doc_id long, s int, e int"), "windows")
+    windows = found.filter("digest is not null")
+    first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "s")).alias("first"))
+    across = windows.join(scratch.staged(first, "firsts"), "digest").filter(F.struct("doc_id", "s") > F.col("first"))
+    return found.filter("digest is null").unionByName(across.select(found.columns)).drop("digest")
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -282,27 +325,29 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left); a row for each row."""
+    small_batches(spark)
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
-    rows = data.mapInArrow(_anchor_rows, "anchor long, ctx long, doc_id long, at int, copy boolean, dealt long")
-    placed = rows.repartition("dealt").sortWithinPartitions(F.col("copy").desc(), "anchor", "ctx", "doc_id", "at")
-    marks = staged(spark, placed.mapInArrow(_marks, "anchor long, doc_id long, at int, copy boolean"), "repeats-marks")
-    texts = data.mapInArrow(_compressed, "doc_id long, packed binary").withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
-    several = marks.filter("not copy").select("anchor", F.col("doc_id").alias("key"), "at")
-
-    def with_texts(places: DataFrame) -> DataFrame:
-        """One document's places are bounded by its length."""
-        return texts.join(places.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("places")), "key").select(F.col("key").alias("doc_id"), "packed", "places")
-
-    frequent = staged(spark, several.groupBy("anchor").count().filter(F.col("count") > SHARD_CONTEXTS).select("anchor"), "repeats-frequent")
-    some_frequent = not frequent.isEmpty()
-    usual = several.join(frequent, "anchor", "left_anti") if some_frequent else several
-    pieces = with_texts(usual).mapInArrow(_contexts, "anchor long, doc_id long, start int, bytes binary")
-    shards = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
-    found = staged(spark, shards, "repeats-found")
-    if some_frequent:
-        found = found.unionByName(_by_digest(with_texts(several.join(frequent, "anchor", "left_semi"))))
-
-    copies = marks.filter("copy").select(F.col("doc_id").alias("key"), F.greatest(F.col("at") - (LENGTH - GRAM), F.lit(0)).alias("s"), (F.col("at") + LENGTH).alias("e"))
-    spans = copies.unionByName(found.select(F.col("doc_id").alias("key"), "s", "e")).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    whole = texts.join(spans, "key", "left").select("doc_id", "packed", "spans")
-    return whole.mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = data.mapInArrow(_compressed, "doc_id long, packed binary")
+    with Scratch(spark, "repeats") as scratch:
+        rows = data.filter("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, ctx long, doc_id long, at int, span short, copy boolean, dealt long")
+        placed = rows.repartition("dealt").sortWithinPartitions(F.col("copy").desc(), "anchor", "ctx", "doc_id", "at")
+        marks = scratch.staged(placed.mapInArrow(_marks, "anchor long, doc_id long, at int, span short, copy boolean"), "marks")
+        several = marks.filter("not copy").drop("copy")
+        frequent = scratch.staged(several.groupBy("anchor").count().filter(F.col("count") > SHARD_CONTEXTS).select("anchor"), "frequent")
+
+        def pieces(places: DataFrame) -> DataFrame:
+            """One document's places are bounded by its length."""
+            of = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "span")).alias("places"))
+            return texts.join(of, "doc_id").select("doc_id", "packed", "places").mapInArrow(_contexts, CONTEXTS)
+
+        some_frequent = not frequent.isEmpty()
+        usual = pieces(several.join(frequent, "anchor", "left_anti") if some_frequent else several)
+        found = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
+        if some_frequent:
+            found = found.unionByName(_of_frequent(pieces(several.join(frequent, "anchor", "left_semi")), scratch))
+        copies = marks.filter("copy").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.shiftright("span", 7) + LENGTH - 1).cast("int").alias("e"))
+        gathered = copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        spans = staged(spark, gathered, "repeats-spans")
+    whole = texts.filter("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
+    unnamed = texts.filter("doc_id is null").select("doc_id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return whole.unionByName(unnamed).mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -1,69 +1,117 @@
 """Suffix arrays by induced sorting, with array operations, and permuted longest common prefixes.
 
 Suffixes are classed as smaller or larger than their right neighbour. The leftmost smaller (LMS)
-positions are sorted by inducing their substrings from their first bytes, are named, and the string of
-names is sorted in turn: by the same method while names are few, by doubling of ranks where they are
-many. From the sorted LMS suffixes one pass over the buckets from left to right induces the larger
-suffixes, and one from right to left the smaller ones. A bucket is taken in waves, each a few array
-operations; a suffix induces into its own bucket only within a run of one byte.
+positions are sorted by inducing their substrings from their first bytes and are named; where names
+repeat, the string of names is sorted in turn by the same method. From the sorted LMS suffixes one pass
+over the buckets from left to right induces the larger suffixes, and one from right to left the smaller
+ones, which is the same pass over the mirrored alphabet. A pass takes several buckets at once, as many
+as induce nothing into each other; where buckets are tiny it takes suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-FEW_NAMES = 1024
-
-
-def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+FULL = 8  # from so many suffixes a bucket on, buckets are worth an array operation
+STEP = 16  # every so many places a common prefix is measured from its start; the others go on from there
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for each range, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _spread_singly(t: np.ndarray, allowed: np.ndarray, seeds: np.ndarray, start: np.ndarray, seed_from: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """The same pass one suffix at a time, for buckets of a few suffixes each."""
+    chars, may, given, begin = t.tolist(), allowed.tolist(), seeds.tolist(), seed_from.tolist()
+    head, out = start.tolist(), [0] * int(allowed.sum())
+    for bucket in live.tolist():
+        done = int(start[bucket])
+        while done < head[bucket]:
+            p = out[done] - 1
+            done += 1
+            if p >= 0 and may[p]:
+                c = chars[p]
+                out[head[c]] = p
+                head[c] += 1
+        for q in given[begin[bucket] : begin[bucket + 1]]:
+            if q and may[q - 1]:
+                c = chars[q - 1]
+                out[head[c]] = q - 1
+                head[c] += 1
+    return np.array(out, np.int64)
+
+
+def _spread(t: np.ndarray, sigma: int, allowed: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The allowed suffixes in order, induced from the seeds, which come in order of their bucket. In each bucket
+    what was induced goes before the seeds."""
+    size = np.bincount(t[allowed], minlength=sigma)
+    start = np.cumsum(size) - size
+    seed_from = np.searchsorted(t[seeds], np.arange(sigma + 1))
+    live = np.flatnonzero((size > 0) | (np.diff(seed_from) > 0))
+    if len(t) < FULL * len(live):
+        return _spread_singly(t, allowed, seeds, start, seed_from, live)
+    head, out = start.copy(), np.empty(int(size.sum()), np.int64)
+    at, width = 0, 1
+
+    def before(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the suffixes have an allowed one in front, those, and their buckets."""
+        p = found - 1
+        has = np.flatnonzero((p >= 0) & allowed[p])
+        p = p[has]
+        return has, p, t[p]
+
+    def put(p: np.ndarray, c: np.ndarray) -> None:
+        order = np.argsort(c, kind="stable")
+        c, p = c[order], p[order]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(c)))
+        out[head[c] + np.arange(len(c)) - np.repeat(first, n)] = p
+        head[c[first]] += n
+
+    while at < len(live):
+        some = live[at : at + width]
+        if width > 1:
+            old, new = head[some] - start[some], seed_from[some + 1] - seed_from[some]
+            total = old + new
+            offset = np.cumsum(total) - total
+            found = np.empty(int(total.sum()), np.int64)
+            found[_ranges(offset, old)] = out[_ranges(start[some], old)]
+            found[_ranges(offset + old, new)] = seeds[_ranges(seed_from[some], new)]
+            has, p, c = before(found)
+            inside = c[c <= some[-1]]
+            if len(inside):  # a bucket that gets more from here must wait
+                some = some[: int(np.searchsorted(some, inside.min()))]
+                kept = has < int(total[: len(some)].sum())
+                p, c = p[kept], c[kept]
+            if len(some):
+                put(p, c)
+                at += len(some)
+                width = 2 * width if not len(inside) else max(1, len(some))
+                continue
+        bucket = int(live[at])
+        done = start[bucket]
+        while done < head[bucket]:
+            wave, done = out[done : head[bucket]].copy(), int(head[bucket])
+            put(*before(wave)[1:])
+        if seed_from[bucket + 1] > seed_from[bucket]:
+            put(*before(seeds[seed_from[bucket] : seed_from[bucket + 1]])[1:])
+        at, width = at + 1, 2
+    return out
+
+
+def _induce(t: np.ndarray, sigma: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Suffix array of t (which ends with its one 0) from LMS positions in order."""
-    n = len(t)
-    sa = np.full(n, -1, np.int64)
-    chars = np.flatnonzero(end > start)
-    bounds = np.searchsorted(t[lms], np.arange(len(start) + 1))
-    head = start.copy()
-
-    def put_larger(at: np.ndarray) -> None:
-        p = at[at > 0] - 1
-        p = p[~smaller[p]]
-        if len(p):
-            c = t[p]
-            order = np.argsort(c, kind="stable")
-            c, p = c[order], p[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            size = np.diff(np.append(first, len(c)))
-            sa[head[c] + np.arange(len(c)) - np.repeat(first, size)] = p
-            head[c[first]] += size
-
-    for c in chars.tolist():
-        at = start[c]
-        while at < head[c]:
-            wave, at = sa[at : head[c]].copy(), head[c]
-            put_larger(wave)
-        if bounds[c + 1] > bounds[c]:
-            put_larger(lms[bounds[c] : bounds[c + 1]])
-    tail = end.copy()
-    sa[0], tail[0] = n - 1, 0
-
-    def put_smaller(at: np.ndarray) -> None:
-        p = at[at > 0] - 1
-        p = p[smaller[p]]
-        if len(p):
-            c = t[p]
-            order = np.argsort(c, kind="stable")
-            c, p = c[order], p[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            size = np.diff(np.append(first, len(c)))
-            sa[tail[c] - 1 - (np.arange(len(c)) - np.repeat(first, size))] = p
-            tail[c[first]] -= size
-
-    for c in chars[::-1].tolist():
-        at = end[c]
-        while at > tail[c]:
-            wave, at = sa[tail[c] : at][::-1].copy(), tail[c]
-            put_smaller(wave)
-        if head[c] > start[c]:
-            put_smaller(sa[start[c] : head[c]][::-1])
+    larger = _spread(t, sigma, ~smaller, lms)
+    rest = smaller.copy()
+    rest[-1] = False  # nothing stands behind the end to induce it
+    low = _spread(sigma - 1 - t, sigma, rest, larger[::-1])[::-1]
+    n_larger, n_low = np.bincount(t[larger], minlength=sigma), np.bincount(t[low], minlength=sigma)
+    first = 1 + np.cumsum(n_larger + n_low) - n_larger - n_low
+    sa = np.empty(len(t), np.int64)
+    sa[0] = len(t) - 1
+    sa[_ranges(first, n_larger)] = larger
+    sa[_ranges(first + n_larger, n_low)] = low
     return sa
 
 
@@ -87,76 +135,64 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return name[lms], int(differ.sum()) + 1
 
 
-def _by_doubling(rank: np.ndarray, rounds: int | None) -> np.ndarray:
-    """Order of the suffixes of a string of ranks whose last is the single smallest."""
-    m, step, done = len(rank), 1, 0
-    while True:
-        after = np.concatenate([rank[step:] + 1, np.zeros(min(step, m), np.int64)])[:m]
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(m, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        step, done = 2 * step, done + 1
-        if new[order[-1]] == m - 1 or step >= m or done == rounds:
-            return order
-        rank = new
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of text (bytes or other small numbers) in order; with a depth, suffixes that
-    agree in so many places may stand in any order among themselves."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of text (bytes or other small numbers) in order."""
     if not len(text):
         return np.zeros(0, np.int64)
     t = np.append(text.astype(np.int64) + 1, 0)
-    return _sorted(t, int(t.max()) + 1, depth)[1:]
+    return _sorted(t, int(t.max()) + 1)[1:]
 
 
-def _sorted(t: np.ndarray, sigma: int, depth: int | None) -> np.ndarray:
+def _sorted(t: np.ndarray, sigma: int) -> np.ndarray:
     n = len(t)
+    if n == 1:
+        return np.zeros(1, np.int64)
     step = np.sign(np.diff(t))
     where = np.where(step != 0, np.arange(n - 1), n)
     after = np.minimum.accumulate(where[::-1])[::-1]  # the next place whose neighbour differs; there always is one
-    smaller = np.append(step[after] > 0, True) if n > 1 else np.array([True])
+    smaller = np.append(step[after] > 0, True)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    count = np.bincount(t, minlength=sigma)
-    end = np.cumsum(count)
-    start = end - count
-    if len(lms) <= 1:
-        return _induce(t, smaller, lms, start, end)
-    rough = _induce(t, smaller, lms[np.argsort(t[lms], kind="stable")], start, end)
+    if len(lms) == 1:
+        return _induce(t, sigma, smaller, lms)
+    rough = _induce(t, sigma, smaller, lms[np.argsort(t[lms], kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     names, kinds = _names(t, lms, rough[is_lms[rough]])
-    if kinds == len(lms):
-        order = np.argsort(names)
-    elif kinds <= FEW_NAMES:
-        order = _sorted(names, kinds, depth)
-    else:
-        # an LMS substring steps at least two places on
-        order = _by_doubling(names, None if depth is None else max(1, int(depth).bit_length()))
-    return _induce(t, smaller, lms[order], start, end)
+    order = np.argsort(names) if kinds == len(lms) else _sorted(names, kinds)
+    return _induce(t, sigma, smaller, lms[order])
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """For each start in the text, how far its suffix agrees with the one before it in order, up to cap."""
+    """For each start in the text, how far its suffix agrees with the one before it in order, up to cap. A suffix
+    agrees at most one place less than the one that starts a place earlier, so most need few comparisons."""
     n = len(text)
-    plcp = np.zeros(n, np.int64)
-    if n < 2:
-        return plcp
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
     words = np.zeros(n, np.uint64)  # eight bytes from each place
     padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
     for i in range(8):
         words |= padded[i : n + i] << np.uint64(8 * i)
-    own, before = sa[1:], sa[:-1]
-    limit = np.minimum(cap, n - np.maximum(own, before))
-    live, at = np.arange(n - 1), 0
-    while len(live):
-        live = live[limit[live] > at]
-        x = words[own[live] + at] ^ words[before[live] + at]
-        same = x == 0
-        low = x & (~x + np.uint64(1))
-        bits = np.zeros(len(x), np.int64)
-        bits[~same] = np.log2(low[~same].astype(np.float64)).astype(np.int64)
-        plcp[own[live]] = np.minimum(limit[live], at + np.where(same, 8, bits // 8))
-        live, at = live[same], at + 8
+
+    def agree(own: np.ndarray, done: np.ndarray, most: int) -> np.ndarray:
+        """How far these suffixes agree, of which so much is known."""
+        known = done.copy()
+        limit = np.where(before[own] >= 0, np.minimum(most, n - np.maximum(own, before[own])), 0)
+        live = np.flatnonzero(known < limit)
+        while len(live):
+            x = words[own[live] + known[live]] ^ words[before[own[live]] + known[live]]
+            same = x == 0
+            low = x & (~x + np.uint64(1))
+            step = np.full(len(x), 8, np.int64)
+            step[~same] = np.log2(low[~same].astype(np.float64)).astype(np.int64) >> 3
+            known[live] = np.minimum(limit[live], known[live] + step)
+            live = live[same]
+            live = live[known[live] < limit[live]]
+        return known
+
+    every = np.arange(0, n, STEP)
+    measured = agree(every, np.zeros(len(every), np.int64), cap + STEP)
+    least = np.maximum(0, np.repeat(measured, STEP)[:n] - np.arange(n) % STEP)
+    plcp = np.minimum(least, cap)
+    rest = np.flatnonzero(least < cap)
+    plcp[rest] = agree(rest, plcp[rest], cap)
     return plcp
