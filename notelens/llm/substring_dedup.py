@@ -46,7 +46,7 @@ from notelens.sources.tables import Scratch, staged
 
 U = np.uint64
 LENGTH, GRAM = 100, 24
-SHARD_BYTES = 2_000_000
+SHARD_BYTES, PART_BYTES = 1_000_000, 100_000  # of a shard; of one that holds parts of anchors, where each byte may give a row
 SHARD_CONTEXTS = 5_000  # of one anchor; with more of them it is dealt over several shards
 CORE_STEP = 19  # windows that begin so near each other share a core of 81 bytes round the anchor
 PIECE = 1 << 22  # anchors of longer texts are found piece by piece
@@ -276,7 +276,7 @@ def _part_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, i, start, _, data in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
             parts.append((i, start, data))
             size += len(data)
-            if size >= SHARD_BYTES // 4:  # each byte may give a row
+            if size >= PART_BYTES:
                 yield done(parts)
                 parts, size = [], 0
     if parts:
