@@ -17,10 +17,12 @@ id, or earlier in the same document) is removed; strings are judged on the texts
    ``length`` bytes are equal windows, of which the earliest stays.
 4. Removal. Intervals are gathered for each document and cut from its text.
 
-An anchor with more contexts than ``SHARD_CONTEXTS`` is dealt over several shards at random. Each sorts
-its part in the same way; the earliest window of each run of a shard then meets those of the other
-shards by its 128-bit digest, in a sum that merges before the shuffle, and in a join. So no anchor is
-gathered whole, however frequent. Texts travel compressed. Anchor and context hashes have 64 bits each
+An anchor with more contexts than ``SHARD_CONTEXTS`` gives way to longer ones: its contexts are cut into
+pieces of a few windows, which go to shards by the 82 bytes that all these windows hold. A core that is
+too frequent in turn is dealt over several shards at random. Each sorts its part in the same way; the
+earliest window of each run of a shard then meets those of the other shards by its 128-bit digest, in a
+sum that merges before the shuffle, and in a join. So no anchor is gathered whole, however frequent.
+Texts travel compressed. Anchor and context hashes have 64 bits each
 and count only together.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing; a row without id is
@@ -237,6 +239,24 @@ def window_classes(parts: list[tuple[int, int, bytes]], length: int = LENGTH) ->
     return runs, firsts
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts cut so that each window stands in one piece, with a hash of the core that the windows of the piece have
+    in common: equal windows are in pieces of equal cores. The core is a longer anchor."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 1000):
+            out = []
+            for _, i, start, within, data in zip(*(whole.slice(first, 1000).column(j).to_pylist() for j in range(5)), strict=True):
+                last = len(data) - LENGTH  # the last window
+                for b in range(0, LENGTH - GRAM + 1, CORE_STEP):
+                    low, high = max(0, within - b - CORE_STEP + 1), min(last, within - b)
+                    if low <= high:
+                        core = data[within - b : within - b - CORE_STEP + 1 + LENGTH]
+                        key = int.from_bytes(hashlib.blake2b(bytes([b]) + core, digest_size=8).digest(), "little", signed=True)
+                        out.append((key, i, start + low, within - low, data[low : high + LENGTH]))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["anchor", "doc_id", "start", "within", "bytes"])
+
+
 def _runs_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if not j else pa.int32()) for j in range(3)], ["doc_id", "s", "e"])
 
@@ -283,8 +303,8 @@ def _part_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(parts)
 
 
-def _of_frequent(pieces: DataFrame, scratch: Scratch) -> DataFrame:
-    """Repeated runs (doc_id, s, e) of the contexts of very frequent anchors, none of which is gathered."""
+def _across(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """Repeated runs (doc_id, s, e) of pieces of very frequent cores, none of which is gathered."""
     spread = pieces.repartition(F.xxhash64("doc_id", "start"))
     found = scratch.staged(spread.mapInArrow(_part_shards, "digest binary, doc_id long, s int, e int"), "windows")
     windows = found.filter("digest is not null")
@@ -323,6 +343,11 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _frequent(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Anchors with more rows than a shard takes."""
+    return scratch.staged(rows.groupBy("anchor").count().filter(F.col("count") > SHARD_CONTEXTS).select("anchor"), "frequent")
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left); a row for each row."""
     small_batches(spark)
@@ -333,21 +358,24 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         placed = rows.repartition("dealt").sortWithinPartitions(F.col("copy").desc(), "anchor", "ctx", "doc_id", "at")
         marks = scratch.staged(placed.mapInArrow(_marks, "anchor long, doc_id long, at int, span short, copy boolean"), "marks")
         several = marks.filter("not copy").drop("copy")
-        frequent = scratch.staged(several.groupBy("anchor").count().filter(F.col("count") > SHARD_CONTEXTS).select("anchor"), "frequent")
+        frequent = _frequent(several, scratch)
 
-        def pieces(places: DataFrame) -> DataFrame:
+        def contexts(places: DataFrame) -> DataFrame:
             """One document's places are bounded by its length."""
             of = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "span")).alias("places"))
             return texts.join(of, "doc_id").select("doc_id", "packed", "places").mapInArrow(_contexts, CONTEXTS)
 
-        some_frequent = not frequent.isEmpty()
-        usual = pieces(several.join(frequent, "anchor", "left_anti") if some_frequent else several)
-        found = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
-        if some_frequent:
-            found = found.unionByName(_of_frequent(pieces(several.join(frequent, "anchor", "left_semi")), scratch))
+        if frequent.isEmpty():
+            gathered, found = contexts(several), None
+        else:
+            pieces = scratch.staged(contexts(several.join(frequent, "anchor", "left_semi")).mapInArrow(_pieces, CONTEXTS), "pieces")
+            cores = _frequent(pieces, scratch)
+            gathered = contexts(several.join(frequent, "anchor", "left_anti")).unionByName(pieces.join(cores, "anchor", "left_anti").select(pieces.columns))
+            found = None if cores.isEmpty() else _across(pieces.join(cores, "anchor", "left_semi").select(pieces.columns), scratch)
+        runs = gathered.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
+        found = runs if found is None else runs.unionByName(found)
         copies = marks.filter("copy").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.shiftright("span", 7) + LENGTH - 1).cast("int").alias("e"))
-        gathered = copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-        spans = staged(spark, gathered, "repeats-spans")
+        spans = staged(spark, copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "repeats-spans")
     whole = texts.filter("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
     unnamed = texts.filter("doc_id is null").select("doc_id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return whole.unionByName(unnamed).mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
