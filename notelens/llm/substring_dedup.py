@@ -18,8 +18,9 @@ id, or earlier in the same document) is removed; strings are judged on the texts
 4. Removal. Intervals are gathered for each document and cut from its text.
 
 An anchor with more contexts than ``SHARD_CONTEXTS`` gives way to longer ones: its contexts are cut into
-pieces of a few windows, which go to shards by the 82 bytes that all these windows hold. A core that is
-too frequent in turn is dealt over several shards at random. Each sorts its part in the same way; the
+pieces of ten windows, which go to shards by the 91 bytes that all these windows hold, and where such a
+core is as frequent, into pieces of three windows with a core of 98 bytes. What is as frequent even
+then is dealt over several shards at random. Each sorts its part in the same way; the
 earliest window of each run of a shard then meets those of the other shards by its 128-bit digest, in a
 sum that merges before the shuffle, and in a join. So no anchor is gathered whole, however frequent.
 Texts travel compressed. Anchor and context hashes have 64 bits each
@@ -50,7 +51,7 @@ U = np.uint64
 LENGTH, GRAM = 100, 24
 SHARD_BYTES, PART_BYTES = 1_000_000, 100_000  # of a shard; of one that holds parts of anchors, where each byte may give a row
 SHARD_CONTEXTS = 5_000  # of one anchor; with more of them it is dealt over several shards
-CORE_STEP = 19  # windows that begin so near each other share a core of 81 bytes round the anchor
+CORE_STEP, FINE_STEP = 10, 3  # so many neighbouring windows share a core of 91 or 98 bytes
 PIECE = 1 << 22  # anchors of longer texts are found piece by piece
 BASE = 0x9E3779B97F4A7C15
 
@@ -190,20 +191,29 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CONTEXTS = "anchor long, doc_id long, start int, within short, bytes binary"
 
 
-def with_common_cores(contexts: list[tuple[int, int, int, bytes]], length: int = LENGTH, q: int = GRAM) -> list[tuple[int, int, bytes]]:
+def cores(within: int, data: bytes, step: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """The windows of a context by where they begin before the anchor, so many at a time: (which, their core: the bytes
+    that all of them hold, first and last window). Equal windows are equal in which they are, and in the core."""
+    last = len(data) - LENGTH
+    for b in range(0, LENGTH - GRAM + 1, step):
+        low, high = max(0, within - b - step + 1), min(last, within - b)
+        if low <= high:
+            yield b, data[within - b : within - b - step + 1 + LENGTH], low, high
+
+
+def with_common_cores(contexts: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
     """Of the contexts (document, start, place of the anchor, bytes) of one anchor those that may share a window with
-    another. Windows that begin from b to b + CORE_STEP bytes before the anchor all hold the bytes between the last
-    of these starts and the first of these ends; two contexts with a common window have some such core in common."""
-    seen: dict[tuple[int, bytes], int] = {}
-    kept: set[int] = set()
+    another, as they have a core in common, cut to the windows from the first such core to the last."""
+    seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    span: dict[int, tuple[int, int]] = {}
     for j, (_, _, within, data) in enumerate(contexts):
-        for b in range(0, length - q, CORE_STEP):
-            low, high = within - b, within - b - CORE_STEP + length
-            if low >= 0 and high <= len(data):
-                other = seen.setdefault((b, data[low:high]), j)
-                if other != j:
-                    kept.update((other, j))
-    return [(contexts[j][0], contexts[j][1], contexts[j][3]) for j in sorted(kept)]
+        for b, core, low, high in cores(within, data, CORE_STEP):
+            other = seen.setdefault((b, core), (j, low, high))
+            if other[0] != j:
+                for k, first, last in (other, (j, low, high)):
+                    known = span.get(k, (first, last))
+                    span[k] = min(first, known[0]), max(last, known[1])
+    return [(contexts[j][0], contexts[j][1] + low, contexts[j][3][low : high + LENGTH]) for j, (low, high) in sorted(span.items())]
 
 
 def window_classes(parts: list[tuple[int, int, bytes]], length: int = LENGTH) -> tuple[list[tuple[int, int, int]], list[tuple[bytes, int, int]]]:
@@ -239,22 +249,21 @@ def window_classes(parts: list[tuple[int, int, bytes]], length: int = LENGTH) ->
     return runs, firsts
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts cut so that each window stands in one piece, with a hash of the core that the windows of the piece have
-    in common: equal windows are in pieces of equal cores. The core is a longer anchor."""
-    for whole in batches:
-        for first in range(0, whole.num_rows, 1000):
-            out = []
-            for _, i, start, within, data in zip(*(whole.slice(first, 1000).column(j).to_pylist() for j in range(5)), strict=True):
-                last = len(data) - LENGTH  # the last window
-                for b in range(0, LENGTH - GRAM + 1, CORE_STEP):
-                    low, high = max(0, within - b - CORE_STEP + 1), min(last, within - b)
-                    if low <= high:
-                        core = data[within - b : within - b - CORE_STEP + 1 + LENGTH]
+def _pieces(step: int):
+    """Contexts cut so that each window stands in one piece, with a hash of its core in place of the anchor: the core
+    is a longer anchor."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                out = []
+                for _, i, start, within, data in zip(*(whole.slice(first, 1000).column(j).to_pylist() for j in range(5)), strict=True):
+                    for b, core, low, high in cores(within, data, step):
                         key = int.from_bytes(hashlib.blake2b(bytes([b]) + core, digest_size=8).digest(), "little", signed=True)
                         out.append((key, i, start + low, within - low, data[low : high + LENGTH]))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["anchor", "doc_id", "start", "within", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["anchor", "doc_id", "start", "within", "bytes"])
+
+    return run
 
 
 def _runs_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -304,7 +313,7 @@ def _part_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(pieces: DataFrame, scratch: Scratch) -> DataFrame:
-    """Repeated runs (doc_id, s, e) of pieces of very frequent cores, none of which is gathered."""
+    """Repeated runs (doc_id, s, e) of pieces of cores that stay frequent, none of which is gathered."""
     spread = pieces.repartition(F.xxhash64("doc_id", "start"))
     found = scratch.staged(spread.mapInArrow(_part_shards, "digest binary, doc_id long, s int, e int"), "windows")
     windows = found.filter("digest is not null")
@@ -368,12 +377,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         if frequent.isEmpty():
             gathered, found = contexts(several), None
         else:
-            pieces = scratch.staged(contexts(several.join(frequent, "anchor", "left_semi")).mapInArrow(_pieces, CONTEXTS), "pieces")
-            cores = _frequent(pieces, scratch)
-            gathered = contexts(several.join(frequent, "anchor", "left_anti")).unionByName(pieces.join(cores, "anchor", "left_anti").select(pieces.columns))
-            found = None if cores.isEmpty() else _across(pieces.join(cores, "anchor", "left_semi").select(pieces.columns), scratch)
-        runs = gathered.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
-        found = runs if found is None else runs.unionByName(found)
+            gathered, found = contexts(several.join(frequent, "anchor", "left_anti")), None
+            left = contexts(several.join(frequent, "anchor", "left_semi"))
+            for step in (CORE_STEP, FINE_STEP):
+                pieces = scratch.staged(left.mapInArrow(_pieces(step), CONTEXTS), "pieces")
+                frequent = _frequent(pieces, scratch)
+                gathered = gathered.unionByName(pieces.join(frequent, "anchor", "left_anti").select(pieces.columns))
+                left = pieces.join(frequent, "anchor", "left_semi").select(pieces.columns)
+                if frequent.isEmpty():
+                    break
+            else:
+                found = _across(left, scratch)
         copies = marks.filter("copy").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.shiftright("span", 7) + LENGTH - 1).cast("int").alias("e"))
         spans = staged(spark, copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "repeats-spans")
     whole = texts.filter("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
