@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ SPAN = 1 << 7  # windows of a context and the anchor's place in it, both below t
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts with their hashes. Of equal contexts in one batch all but the first are copies already;
-    they need no other row, so they are dealt out by a key of their own and cannot crowd an anchor's partition."""
+    they need no other row, so they are dealt out by their place and cannot crowd an anchor's partition."""
     for whole in batches:
         for first in range(0, whole.num_rows, 1000):
             batch = whole.slice(first, 1000)
@@ -123,8 +124,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first_of = np.maximum.accumulate(np.where(copy, 0, np.arange(len(at))))
             kept = ~(copy & (doc == doc[first_of]) & (at == at[first_of]))  # a repeated row stands in the same place
             anchor, ctx, doc, at, span, copy = anchor[kept], ctx[kept], doc[kept], at[kept], span[kept], copy[kept]
-            dealt = np.where(copy, doc * 0x2545F491 + at, anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, ctx, doc, at, span, copy, dealt)], ["anchor", "ctx", "doc_id", "at", "span", "copy", "dealt"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, ctx, doc, at, span, copy)], ["anchor", "ctx", "doc_id", "at", "span", "copy"])
 
 
 MARKS = ["anchor", "doc_id", "at", "span"]
@@ -132,7 +132,7 @@ MARKS = ["anchor", "doc_id", "at", "span"]
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, context, document and place: copies of a context (copy), and the first row
-    of each context of an anchor that has several. Rows known as copies stand in front and pass as they are.
+    of each context of an anchor that has several. Rows known as copies pass as they are.
     Holds one batch and one row."""
     held = None  # first row of the last context, while its anchor has no other
     last = None  # (anchor, ctx) of the last row, and (document, place) of the first row of its context
@@ -140,7 +140,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = mixed.filter(mixed.column("copy"))
         if known.num_rows:
             yield known.select([*MARKS, "copy"])
-        batch = mixed.slice(known.num_rows)
+        batch = mixed.filter(pc.invert(mixed.column("copy"))) if known.num_rows else mixed
         if not batch.num_rows:
             continue
         anchor, ctx = batch.column("anchor").to_numpy(), batch.column("ctx").to_numpy()
@@ -322,31 +322,29 @@ def _across(pieces: DataFrame, scratch: Scratch) -> DataFrame:
     return found.filter("digest is null").unionByName(across.select(found.columns)).drop("digest")
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, maximal removed runs)."""
-    merged: list[list[int]] = []
-    for s, e in sorted((min(s, len(data)), min(e, len(data))) for s, e in spans):
-        if s >= e:
-            continue
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    kept, at = [], 0
-    for s, e in merged:
-        kept.append(data[at:s])
-        at = e
-    kept.append(data[at:])
-    return b"".join(kept), sum(e - s for s, e in merged), len(merged)
+def cut(data: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal removed runs); spans: first byte << 32 | end, in any order."""
+    if not len(spans):
+        return data, 0, 0
+    spans = np.sort(spans)
+    s, e = np.minimum(spans >> 32, len(data)), np.maximum.accumulate(np.minimum(spans & 0xFFFFFFFF, len(data)))
+    breaks = np.flatnonzero(s[1:] > e[:-1]) + 1
+    first, end = s[np.concatenate([[0], breaks])], e[np.concatenate([breaks - 1, [len(e) - 1]])]
+    some = end > first
+    first, end = first[some], end[some]
+    kept = b"".join([data[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(data)], strict=True)])
+    return kept, int((end - first).sum()), len(first)
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.int64)
     for whole in batches:
         for first in range(0, whole.num_rows, 200):
             batch, out = whole.slice(first, 200), []
-            for i, packed, spans in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+            spans = batch.column(2)
+            for j, (i, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 data = zstandard.decompress(packed)
-                kept, removed, runs = cut(data, [(x["s"], x["e"]) for x in spans or ()])
+                kept, removed, runs = cut(data, spans[j].values.to_numpy() if spans[j].is_valid else none)
                 out.append((i, len(data), removed, runs, kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -363,8 +361,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
     texts = data.mapInArrow(_compressed, "doc_id long, packed binary")
     with Scratch(spark, "repeats") as scratch:
-        rows = data.filter("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, ctx long, doc_id long, at int, span short, copy boolean, dealt long")
-        placed = rows.repartition("dealt").sortWithinPartitions(F.col("copy").desc(), "anchor", "ctx", "doc_id", "at")
+        rows = data.filter("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, ctx long, doc_id long, at int, span short, copy boolean")
+        dealt = F.when(F.col("copy"), F.xxhash64("doc_id", "at")).otherwise(F.col("anchor"))
+        placed = rows.repartition(dealt).sortWithinPartitions("anchor", "ctx", "doc_id", "at")
         marks = scratch.staged(placed.mapInArrow(_marks, "anchor long, doc_id long, at int, span short, copy boolean"), "marks")
         several = marks.filter("not copy").drop("copy")
         frequent = _frequent(several, scratch)
@@ -391,7 +390,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         runs = gathered.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "doc_id long, s int, e int")
         found = runs if found is None else runs.unionByName(found)
         copies = marks.filter("copy").select("doc_id", F.col("at").alias("s"), (F.col("at") + F.shiftright("span", 7) + LENGTH - 1).cast("int").alias("e"))
-        spans = staged(spark, copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "repeats-spans")
+        spans = staged(spark, copies.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("s").cast("long"), 32) + F.col("e")).alias("spans")), "repeats-spans")
     whole = texts.filter("doc_id is not null").join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
     unnamed = texts.filter("doc_id is null").select("doc_id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return whole.unionByName(unnamed).mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
