@@ -7,6 +7,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from notelens.llm import chat_format, decontaminate, html_extract, licenses, sentencepiece_codec, warc
@@ -104,6 +106,54 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.drop_contaminated(spark, docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repetitive_texts_is_bounded():
+    items = [(i, " " * 60 + f"item {i}") for i in range(400)]
+    index = decontaminate.Index(items)
+    tracemalloc.start()
+    found = index.matches(" " * 4000 + "item 7 " + "x " * 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (7, 4000 - 60, 4000 + 6, 0) in found and peak < 400e6
+
+
+def test_decontamination_in_parts_finds_the_same(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(2, 5)))
+    items = [(i, "".join(word() for _ in range(rng.choice([3, 10, 40])))) for i in range(12)]
+    index = decontaminate.Index(items)
+    for trial in range(25):
+        s = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 4)):
+            s[rng.randrange(len(s))] = rng.choice("ab c")
+        text = "".join(word() for _ in range(60)) + "".join(s) + "".join(word() for _ in range(60))
+        monkeypatch.setattr(decontaminate, "PAIRS", 1 << 40)
+        monkeypatch.setattr(decontaminate, "WINDOW", 1 << 20)
+        want = index.matches(text)
+        regions = index.regions(decontaminate.codes(text)).tolist()
+        for pairs in (1, 50, 3000):
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            assert sorted(index.regions(decontaminate.codes(text)).tolist()) == sorted(regions)
+            assert index.matches(text) == want
+        monkeypatch.setattr(decontaminate, "WINDOW", 64)
+        assert index.matches(text) == want
+        plain = text.lower()
+        assert {i for i, *_ in want} == {i for i, t in items if edit_distance_inside(t, plain) <= max(0, min(int(len(t) * 0.1), (len(t) - 8) // 8))}
+
+
+def test_long_items_are_aligned_in_a_band():
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefghij ") for _ in range(8000))
+    s = list(item)
+    for p in sorted(rng.sample(range(8000), 300), reverse=True):
+        s[p : p + 1] = rng.choice([[], ["z"], ["z", s[p]]])
+    index = decontaminate.Index([(1, item)])
+    text = "before " * 30 + "".join(s) + " after" * 30
+    began = time.process_time()
+    found = index.matches(text)
+    assert time.process_time() - began < 2 and len(found) == 1 and 0 < found[0][3] <= 300
+    assert abs(found[0][1] - 210) < 20
+
+
 def test_sentencepiece_round_trip_and_best_path(spark):
     texts = [None, "", " ", "  two  spaces ", "▁mark ▁", "line\n\n break\t", "é€𝄞\x00<s> </s> <0x41>", "word " * 20000, "The quick brown fox, der Fuß, l'été.", "word", "word"]
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
