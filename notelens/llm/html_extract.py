@@ -2,10 +2,11 @@
 
 Markup is cut into blocks at block-level tags. The first pass decides a block by the containers it
 stands in, its link density, its length and its density of stop words; short blocks stay ambiguous.
-In the second pass an ambiguous block takes the label of its nearest decided neighbours.
+In the second pass an ambiguous block takes the label of its nearest decided neighbour.
 
 Defined cases: null or empty html gives an empty text; markup cut off anywhere is read as far as it
-goes; a page of any length is read whole; repeated rows give repeated rows; other columns are ignored.
+goes; a page of any length is read whole; repeated rows give repeated rows; other columns stay as they
+are, but for columns named text or n_chars, which the result replaces.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelens.llm.workers import small_batches
+
 # Tag names, words in class and id attributes, and frequent words of four languages.
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "title", "head", "button", "audio", "video", "canvas"}
 RAW = {"script", "style", "noscript", "textarea", "title", "iframe", "template", "svg", "math", "object", "select", "button", "audio", "video", "canvas"}
@@ -150,9 +153,8 @@ def first_pass(block: tuple[str, int, bool, bool]) -> int:
 
 
 def second_pass(labels: list[int], mains: list[bool]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided blocks on either side; where these differ, the
-    nearer one counts. A block in an article looks at decided blocks in articles only, and goes only
-    where all it finds are boilerplate."""
+    """An ambiguous block inherits from its nearest decided neighbour; one in an article looks at decided blocks of
+    articles only. Where two as near differ, or none is there, a block in an article stays and another goes."""
     n = len(labels)
 
     def nearest(order: range, wanted: bool) -> list[tuple[int, int] | None]:
@@ -168,14 +170,9 @@ def second_pass(labels: list[int], mains: list[bool]) -> list[bool]:
     keep = []
     for i, label in enumerate(labels):
         if label == SHORT:
-            near = [x for x in (sides[mains[i]][0][i], sides[mains[i]][1][i]) if x]
-            if mains[i]:
-                label = BAD if near and all(x[1] == BAD for x in near) else GOOD
-            elif len(near) == 2 and near[0][1] != near[1][1]:
-                first, second = sorted(near, key=lambda x: abs(x[0] - i))
-                label = BAD if abs(first[0] - i) == abs(second[0] - i) else first[1]
-            else:
-                label = near[0][1] if len(near) == 2 else BAD
+            near = [(abs(x[0] - i), x[1]) for x in (sides[mains[i]][0][i], sides[mains[i]][1][i]) if x]
+            nearest_labels = {x for d, x in near if d == min(near)[0]}
+            label = nearest_labels.pop() if len(nearest_labels) == 1 else GOOD if mains[i] else BAD
         keep.append(label == GOOD)
     return keep
 
@@ -189,6 +186,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds text and n_chars (code points) to pages."""
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(page: pd.Series) -> pd.Series:
         return page.map(main_text, na_action=None)

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelens.llm.workers import small_batches
+
 PASSAGE = 512
 PIECE = 2048 * PASSAGE
 CLASSES, PAIRS = 48, 128
@@ -171,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: i
 
 def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
     """Adds the score of each row's whole text."""
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != name]
     names = [f.name for f in kept]
 
@@ -198,6 +201,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None, text_col: st
 
 def drop_below(docs: DataFrame, model: Model | None, floor: float, text_col: str = "text") -> DataFrame:
     """Rows of docs, with all their columns and no other, whose score is not below the floor."""
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, scores in _scored(batches, model, text_col):
             yield batch.filter(pa.array(scores >= floor))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import random
 import re
 
@@ -33,3 +34,114 @@ def test_op1_against_brute_force(spark, folder):
     want = {i: (*r[:3], hashlib.sha256(r[3]).hexdigest()) for i, r in brute_cut(rows).items()}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op1_suffix_dedup(spark, path).collect()}
     assert got == want and sum(r[1] for r in want.values()) > 100_000
+
+
+def test_op3_against_brute_force(spark, folder):
+    """Every document against every item, by the full table of edit distances."""
+    from tests.llm.test_pipeline import near_inside
+
+    path, rows = folder
+    rows = [r for r in rows if len(r[1] or "") < 20_000]
+    items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
+    table(spark, SMALL, "benchmark").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, path).collect()}
+    ids = {i for i, _ in rows}
+    assert {x for x in got if x[0] in ids} == {(i, j) for i, t in rows for j, s in items if t and s and near_inside(s, t)}
+
+
+def test_op4_against_a_plain_scorer(spark):
+    """The same model, one document and one passage at a time, in plain Python."""
+    import math
+
+    from notelens.llm import quality
+
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, SMALL, "labels"))
+    w = model.weights
+
+    def plain(text):
+        hidden, weight = [], []
+        for row in quality.encode((text or "").encode()):
+            x = [(float(v) - float(m)) / float(s) for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(a * float(b) for a, b in zip(x, w["E"][:, j], strict=True)) + float(w["e"][j])) for j in range(quality.HIDDEN)]
+            gate = lambda k, h=h: [sum(a * float(b) for a, b in zip(h, w[k][:, j], strict=True)) for j in range(quality.GATE)]
+            weight.append(math.exp(sum(math.tanh(v) / (1 + math.exp(-u)) * float(c) for v, u, c in zip(gate("V"), gate("U"), w["w"], strict=True))))
+            hidden.append(h)
+        z = [sum(a * h[j] for a, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-sum(a * float(c) for a, c in zip(z, w["c"], strict=True)) - float(w["b"][0])))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    some = sorted(texts, key=lambda i: (len(texts[i] or "") > 6000, i))[:60]
+    scores = {r.doc_id: (r.score, r.predicted) for r in queries.op4_quality(spark, SMALL).collect()}
+    assert set(scores) == set(texts)
+    for i in some:
+        want = plain(texts[i])
+        assert abs(scores[i][0] - want) < 1e-3 and scores[i][1] == int(scores[i][0] >= 0.3)
+
+
+class Reader(html.parser.HTMLParser):
+    """An independent reading of the pages: paragraphs, headings and list items of the article that no menu, note,
+    sidebar, advert, form or comment section holds."""
+
+    OUT = re.compile(r"(^|[\s_-])(ad|ads|advert|sidebar|menu|nav|navbar|comment|comments|cookie|notice|share|social|related|newsletter|footer|promo|breadcrumb|banner|subscribe|widget)([\s_-]|$)", re.I)
+    VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "wbr"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words, self.out = [], [], []
+
+    def bad(self):
+        return any(b for _, b in self.open)
+
+    def cut(self):
+        text = " ".join("".join(self.words).split())
+        self.words = []
+        if text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "nav", "footer", "header", "aside", "form"):
+            self.cut()
+        if tag in self.VOID:
+            self.words.append(" " if tag == "br" else "")
+            return
+        marks = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+        article = any(t in ("article", "main") for t, _ in self.open)
+        self.open.append((tag, tag in ("nav", "footer", "aside", "form", "script", "style", "noscript", "head", "title", "button", "select") or (tag == "header" and not article) or bool(self.OUT.search(marks))))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "section", "article", "main", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "tr", "td", "blockquote", "pre", "nav", "footer", "header", "aside", "form"):
+            self.cut()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.bad():
+            self.words.append(data)
+
+
+def test_op8_against_an_independent_reader(spark):
+    """Most pages read alike by another parser and containers alone; the words of the article are always there."""
+    pages = {r.page_id: r.html for r in table(spark, "/root/testdata/sf0.01", "pages").collect()}
+    rows = {r.page_id: r for r in queries.op8_html(spark, "/root/testdata/sf0.01").collect()}
+    assert set(rows) == set(pages)
+    shares = []
+    for i, page in pages.items():
+        reader = Reader()
+        reader.feed(page or "")
+        reader.close()
+        reader.cut()
+        want, got = set(" ".join(reader.out).split()), set(rows[i].text.split())
+        assert rows[i].n_chars == len(rows[i].text)
+        assert not re.search(r"<(p|div|a|script|li)\b", rows[i].text) and "\t" not in rows[i].text
+        shares.append(len(want & got) / len(want | got) if want | got else 1.0)
+    assert sorted(shares)[len(shares) // 10] > 0.9, sorted(shares)[:30]
+
+
+def test_op9_against_brute_force(spark):
+    from tests.llm.test_dedup import brute_components
+
+    rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_jaccard_join(spark, SMALL).collect()}
+    assert got == brute_components(rows)

@@ -243,7 +243,7 @@ def test_html(spark):
     long = "The text of this is long and it has all the words that are in the language of the day for you."
     full = PAGE % long
     pages = [(1, full), (2, None), (3, ""), (4, "plain text of the page that is not in any tag but is long and has many of the words"), (5, full[: full.index("Loose")]), (6, "<p>" + "word the of " * 50000), (6, "<a <b <"), (7, "<article>Only.</article>")]
-    frame = spark.createDataFrame([(i, "u", t, "x") for i, t in pages], "page_id long, url string, html string, text string").drop("text").repartition(3)
+    frame = spark.createDataFrame([(i, "u", t, "x") for i, t in pages], "page_id long, url string, html string, text string").repartition(3)
     got = {}
     for r in html_extract.extract(frame).collect():
         assert r.n_chars == len(r.text)
