@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "㐀-䶿一-鿿"
-# Title tokens and tags too general to mean relatedness.
-GENERIC_TITLE_TOKENS = ("and", "for", "the", "with", "note", "notes", "index")
+# Title tokens too general to mean relatedness.
+GENERIC_TITLE_TOKENS = (
+    "详解", "指南", "实践", "教程", "攻略", "入门", "解析", "介绍", "总结", "分享", "文章", "笔记", "记录", "整理", "汇总", "合集", "系列",
+    "guide", "tutorial", "overview", "introduction", "intro", "practice", "explained", "article", "note", "notes", "post", "summary",
+)
 
 
 def tokenize(text: Column) -> Column:

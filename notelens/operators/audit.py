@@ -12,9 +12,9 @@ SEVERITY = {
     "defect": (
         "missing-frontmatter", "invalid-frontmatter", "missing-type", "invalid-type", "missing-date", "unclosed-fence", "empty-template-note", "residual-template-instruction", "unresolved-template-placeholder",
         "outdated-deep-capture-template", "outdated-conversation-digest-template", "broken-wikilink", "invalid-related", "invalid-related-entry", "duplicate-project-note", "duplicate-folder-index",
-        "duplicate-folder-index-content", "graph-incompatible-index-config", "broken-folder-graph-chain", "web-clip-invalid-capture-depth", "web-clip-captured-nothing", "missing-quality", "captured-nothing",
+        "duplicate-folder-index-content", "graph-incompatible-index-config", "broken-folder-graph-chain", "web-clip-invalid-capture-depth", "web-clip-captured-nothing",
     ),
-    "info": ("link-to-unwritten-note", "similar-title", "orphan-note", "disconnected-note"),
+    "informational": ("link-to-unwritten-note", "similar-title", "orphan-note", "disconnected-note"),
 }
 SEVERITY_OF = {code: level for level, codes in SEVERITY.items() for code in codes}
 TAG = "^[a-z0-9]+(-[a-z0-9]+)*$"
@@ -107,8 +107,8 @@ def table_findings(notes: DataFrame) -> DataFrame:
     """The rules that notes of a table can break: notes(path, type, tags, title, body, quality)."""
     kind = F.coalesce("type", F.lit(""))
     rules = [
-        once("missing-type", kind == "", "no type"), once("invalid-type", (kind != "") & ~kind.isin("en", "fr", "de"), "unknown type"), once("missing-quality", F.col("quality").isNull(), "no label"),
-        once("captured-nothing", F.length(F.regexp_replace("body", "[ \\t\\n\\r\\f]", "")) < 400, "under 400 characters"),
+        once("missing-type", kind == "", "no type"), once("invalid-type", (kind != "") & ~kind.isin("en", "fr", "de"), "unknown type"), once("missing-tags", F.col("quality").isNull(), "no label"),
+        once("web-clip-captured-nothing", F.length(F.regexp_replace("body", "[ \\t\\n\\r\\f]", "")) < 400, "under 400 characters"),
         once("invalid-tag", F.exists("tags", lambda t: ~t.rlike(TAG)), "a tag that is not kebab-case"),
     ]
     key = F.lower(F.trim("title"))

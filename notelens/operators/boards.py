@@ -56,9 +56,9 @@ class Board:
     rows: list[Row] = field(default_factory=list)
 
     def render(self) -> str:
-        parts = [self.head + TITLE + "\n"]
+        parts = [self.head + "\n" + TITLE + "\n\n"]
         for name in SECTIONS:
-            parts.append(f"\n## {name}\n" + "".join(r.render() + "\n" for r in self.rows if r.section == name))
+            parts.append(f"## {name}\n\n" + "".join(r.render() + "\n" for r in self.rows if r.section == name))
         return "".join(parts)
 
 

@@ -50,7 +50,7 @@ def subject_clusters(notes: DataFrame, at_least: int = 5, limit: int = 6) -> Dat
 
 def merge_pairs(counts: DataFrame) -> DataFrame:
     """AGG-9: pairs of CJK characters with equal counts that overlap by one character join into longer terms;
-    counts(term, notes). Each group of equal counts is a small vocabulary of one folder's terms."""
+    counts(folder, term, notes). Each group of equal counts is a small vocabulary of one folder's terms."""
 
     def chain(rows: pd.DataFrame) -> pd.DataFrame:
         left = sorted(rows["term"])
@@ -69,9 +69,9 @@ def merge_pairs(counts: DataFrame) -> DataFrame:
                 else:
                     break
             done.append(term)
-        return pd.DataFrame({"term": done, "notes": rows["notes"].iloc[0]})
+        return pd.DataFrame({"folder": rows["folder"].iloc[0], "term": done, "notes": rows["notes"].iloc[0]})
 
-    return counts.groupBy("notes").applyInPandas(chain, "term string, notes long")
+    return counts.groupBy("folder", "notes").applyInPandas(chain, "folder string, term string, notes long")
 
 
 #: Bounds that are whole numbers may come out slightly above in floating point.
@@ -81,7 +81,11 @@ SLACK = 1e-6
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matcher's ratio; it depends on the order of its arguments."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+# not deterministic for the optimizer: it must not move a Python function into a join or an aggregation
+sequence_ratio = sequence_ratio.asNondeterministic()
 
 
 def similar_titles(titles: DataFrame, floor: float = 0.85) -> DataFrame:

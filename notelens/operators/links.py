@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelens.functions.text import link_target
+
 STRUCTURAL_TYPES = ("moc", "index", "folder-index")
 
 
@@ -99,9 +101,46 @@ def disconnected(notes: DataFrame, resolved: DataFrame, indexed: DataFrame) -> D
     return notes.join(indexed, "path", "left_semi").join(ends, "path", "left_anti")
 
 
-def directed_dependencies(links: DataFrame, markers: DataFrame) -> DataFrame:
-    """RNK-25: links(source, target, line, sentence, type, state) whose sentence holds a dependency marker;
-    for each target the first line, in order of line and target. ``markers`` is the caller's small phrase table."""
+# Phrases that say one note depends on another.
+DEPENDENCY_MARKERS = (
+    "cites", "citing", "引用自", "引自", "names", "naming", "点名", "delegates", "delegated", "委托给", "交由", "traced to", "traces to", "追溯到", "溯源自", "in response to", "响应于", "因应",
+    "expressed as", "measured in", "基于", "以…为基准", "references", "referencing", "参照", "参考自", "for its", "as its", "作为其", "用作", "selected from", "选自", "取自", "consumes", "consuming", "消费自",
+    "imports", "importing", "沿用", "继承自", "branches on", "依据", "proven with", "proven by", "verified by", "由…证明", "据以验证", "follows", "following", "遵循", "fails when", "当…时失败", "前置知识", "前序知识",
+)
+#: A sentence ends after a CJK terminator, after a Latin one before white space, and at a line feed.
+SENTENCE_END = r"(?<=[。！？])|(?<=[.!?])(?=\s)|\n"
+
+
+def dependency_markers(text: Column, markers: tuple[str, ...] = DEPENDENCY_MARKERS) -> Column:
+    """TXT-20: the markers that a text holds, in the order of the table."""
+    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower(text), F.lower(m)))
+
+
+def sentence_at(text: Column, position: Column) -> Column:
+    """TXT-19: the sentence of a text that covers a position (from 0), trimmed."""
+    parts = F.split(text, SENTENCE_END, -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        after = end + F.when(F.substr(text, end + 1, F.lit(1)) == "\n", 1).otherwise(0)  # a line feed goes with the sentence it ends
+        covers = (acc["at"] <= position) & ((position < after) | (position >= F.length(text)))
+        return F.struct(after.alias("at"), F.when(covers, part).otherwise(acc["found"]).alias("found"))
+
+    return F.trim(F.aggregate(parts, start, step)["found"])
+
+
+def related_names(related: Column) -> Column:
+    """TXT-18: the names a related list holds, each a wiki link or bare: link marks, label, heading and extension off."""
+    inner = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"\[\[([^\[\]]+)\]\]", 1), F.lit("")), x)
+    names = F.transform(F.coalesce(related, F.array().cast("array<string>")), lambda x: F.lower(link_target(inner(F.trim(x)))))
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
+
+
+def directed_dependencies(links: DataFrame, markers: tuple[str, ...] = DEPENDENCY_MARKERS) -> DataFrame:
+    """RNK-25: links(source, target, line, sentence, type, state) whose sentence holds a dependency marker; for each
+    target the first line, in order of line and target, with the first marker of the table. Rows stay where they lie
+    but for one sum."""
     held = links.filter(F.col("state") == "resolved").filter(~F.coalesce(F.col("type").isin(*STRUCTURAL_TYPES), F.lit(False)))
-    hit = held.join(F.broadcast(markers.limit(1000)), F.expr("contains(lower(sentence), lower(marker))"))
-    return hit.groupBy("source", "target").agg(F.min(F.struct("line", "position", "marker")).alias("m")).select("source", "target", "m.line", "m.marker").orderBy("source", "line", "target")
+    hit = held.withColumn("marker", F.try_element_at(dependency_markers(F.col("sentence"), markers), F.lit(1))).filter("marker is not null")
+    return hit.groupBy("source", "target").agg(F.min(F.struct("line", "marker")).alias("m")).select("source", "target", "m.line", "m.marker").orderBy("source", "line", "target")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Statuses that end a project.
-CLOSED = ("closed", "done", "completed", "complete", "archived", "archive", "cancelled", "canceled", "dropped", "abandoned", "finished", "shipped")
+CLOSED = (
+    "archived", "canceled", "cancelled", "closed", "completed", "done",
+    "中止", "关闭", "取消", "完成", "已中止", "已关闭", "已取消", "已完成", "已归档", "已结束", "归档", "结束",
+)
 
 
 def project_queue(projects: DataFrame, tasks: DataFrame, as_of: str, stale_days: int = 30) -> DataFrame:
@@ -22,7 +25,7 @@ def project_queue(projects: DataFrame, tasks: DataFrame, as_of: str, stale_days:
         F.min(F.when(~F.col("checked"), F.struct("line", "text"))).alias("any_first"), F.min(F.when(~F.col("checked") & F.col("in_next_actions"), F.struct("line", "text"))).alias("scoped_first"),
     )
     activity = F.coalesce("updated", "date")
-    open_ = projects.filter(~F.lower("status").isin(*CLOSED)).withColumn("activity", activity).filter(F.col("activity").isNull() | (F.col("activity") <= day))
+    open_ = projects.filter(~F.coalesce(F.lower(F.trim("status")).isin(*CLOSED), F.lit(False))).withColumn("activity", activity).filter(F.col("activity").isNull() | (F.col("activity") <= day))
     aged = open_.withColumn("age_days", F.datediff(day, "activity")).filter((F.col("status") == "blocked") | F.col("activity").isNull() | (F.col("age_days") >= stale_days))
     joined = aged.join(opened, "path", "left")
     section = F.coalesce("has_section", F.lit(False))

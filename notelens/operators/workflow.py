@@ -133,6 +133,7 @@ def evaluate(results: DataFrame, cases: DataFrame, at: int = 5) -> DataFrame:
 
 def nearest_rank(df: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
     """AGG-18: of n sorted values the one at place ceil(n share), at least the first."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))  # a row for each value goes on
     order = Window.partitionBy(by).orderBy(value)
-    ranked = df.withColumns({"_place": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(by))})
-    return ranked.groupBy(by).agg(*[F.max(F.when(F.col("_place") == F.greatest(F.ceil(F.col("_n") * s), F.lit(1)), F.col(value))).alias(f"p{round(100 * s)}") for s in shares])
+    ranked = counted.withColumns({"_upto": F.sum("_c").over(order), "_n": F.sum("_c").over(Window.partitionBy(by))})
+    return ranked.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_n") * s), F.lit(1)), F.col(value))).alias(f"p{round(100 * s)}") for s in shares])

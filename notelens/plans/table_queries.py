@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notelens.functions.text import normal_name, note_date, tag_key
 from notelens.operators import corpus, links, receipts, resume, reviews, search, workflow
 from notelens.plans import adapters
+from notelens.sources.config import load_views
 from notelens.sources.tables import table
 
 AS_OF = adapters.AS_OF
@@ -42,12 +43,12 @@ def page_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of the page with most backlinks (the smallest such)."""
     _, edges, keys = _page_graph(spark, sf_dir)
-    known = links.resolve_names(edges, keys).filter("state = 'resolved' and source <> target")
-    ranked = known.groupBy("target").agg(F.count_distinct("source").alias("n")).agg(F.min_by("target", F.struct(-F.col("n"), F.col("target"))).alias("seed"))
-    marked = known.crossJoin(F.broadcast(ranked))  # one row
-    out = marked.filter("source = seed").select(F.col("target").alias("page_id"), F.lit("out").alias("direction"))
-    back = marked.filter("target = seed").select(F.col("source").alias("page_id"), F.lit("in").alias("direction"))
-    return out.unionByName(back).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("direction")), "+").alias("directions"), F.count(F.lit(1)).alias("edges")).orderBy("page_id").limit(20)
+    resolved = links.resolve_names(edges, keys)
+    known = resolved.filter("state = 'resolved' and source <> target")
+    ranked = known.groupBy("target").agg(F.count_distinct("source").alias("n"))
+    seed = ranked.orderBy(F.col("n").desc(), "target").limit(1).collect()
+    found = links.neighbourhood(resolved, seed[0]["target"] if seed else None)
+    return found.select(F.col("neighbour").alias("page_id"), F.array_join("directions", "+").alias("directions"), "edges")
 
 
 def page_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +61,11 @@ def page_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_visible_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of pages outside comments, scripts, styles and tags, without white space."""
-    bare = F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", ""), "[ \\t\\n\\r\\f]", "")).cast("long").alias("chars"))
+    """TXT-3 and TXT-24: characters of pages outside comments and outside lines that begin with #, without white space."""
+    from notelens.functions.markdown import without_comments
+    from notelens.functions.text import content_chars
+
+    return table(spark, sf_dir, "pages").select("page_id", content_chars(without_comments(F.col("html"))).cast("long").alias("chars"))
 
 
 _GRAPH = """
@@ -172,17 +175,17 @@ def capture_revisit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RNK-26 and RNK-27: a saved view over the 90 days that end on the day, both ends included."""
-    low = F.date_sub(F.lit(AS_OF).cast("date"), 89)
-    dated = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("date")).filter((F.col("date") >= low) & (F.col("date") <= F.lit(AS_OF).cast("date")))
+    view = load_views('{"schema_version": 1, "views": [{"id": "recent", "query": "orders", "date_field": "date", "window_days": 90}]}')["recent"]
+    dated = view.filters(AS_OF).select(table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("date")))
     return dated.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("date").cast("string").alias("first_day"), F.max("date").cast("string").alias("last_day"))
 
 
 def resume_sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of a customer by location, project field and related link, each path once."""
+    """Sources by location, project field and related link, each path once."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.to_date("o_orderdate").alias("date"), "o_custkey", "o_orderpriority")
-    near = orders.filter("o_custkey < 20")
-    field = orders.filter("o_custkey < 30 and o_orderpriority like '1%'")
-    shipped = table(spark, sf_dir, "lineitem").filter("l_suppkey = 1").select(F.col("l_orderkey").alias("path"), F.to_date("l_shipdate").alias("date"))
+    near = orders.filter("o_orderpriority like '5%'")
+    field = orders.filter("o_orderpriority like '1%' or o_orderpriority like '5%'")
+    shipped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.to_date("l_shipdate").alias("date"))
     merged = workflow.sources_union([("location", 0, near), ("project-field", 1, field), ("related-link", 2, shipped)])
     return merged.select(F.col("path").alias("o_orderkey"), "trust", F.col("date").cast("string").alias("date"), "origins")
 
@@ -262,10 +265,8 @@ def required_kinds_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def declared_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MSC-18 and FLT-14: the last outcome word of each message wins, unless the clause denies it."""
-    clauses = F.filter(F.split(F.lower("text"), "[.,;:!?\\n]+", -1), lambda c: F.trim(c) != "")
-    said = F.filter(clauses, lambda c: c.rlike(r"(^|\s)(die|the|que)(\s|$)") & ~c.rlike(r"(^|\s)(nicht|not|no|pas)(\s|$)"))
-    last = F.regexp_extract(F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit("")), r".*(?:^|\s)(die|the|que)(?:\s|$)", 1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", last.alias("outcome")).filter("outcome <> ''").groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("conversations"))
+    said = receipts.last_claim(F.col("text"), ("die", "the", "que"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("outcome")).filter("outcome is not null").groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("conversations"))
 
 
 def _held_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,13 +296,12 @@ def evidence_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-30 on emails, numbers and versions of texts: number-shaped spans but years."""
-    found = F.filter(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda n: ~n.rlike("^(19|20)[0-9]{2}$"))
-    return table(spark, sf_dir, "documents").select("lang", F.explode(found).alias("span")).groupBy("lang").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("span").alias("distinct_spans"))
+    """TXT-30: number-shaped spans that need a source."""
+    return table(spark, sf_dir, "documents").select("lang", F.explode(receipts.metric_spans(F.col("text"))).alias("span")).groupBy("lang").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("span").alias("distinct_spans"))
 
 
 def metric_span_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-13 on time spans: purchases outside the sessions that signups open for an hour."""
+    """JN-13 on time spans: purchases outside the sessions that signups open for a day."""
     events = table(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
     spans = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("doc"), F.col("s").alias("start"), (F.col("s") + 60).alias("end"), "event_id")
     excerpts = events.filter("event_type = 'signup'").select(F.col("user_id").alias("doc"), F.col("s").alias("start"), (F.col("s") + 86400).alias("end"))
@@ -337,7 +337,7 @@ def table_audit_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-9: the first findings in order of severity, path and code."""
     from notelens.operators import audit
 
-    found = audit.table_findings(adapters.labelled(spark, sf_dir)).filter("path is not null")
+    found = audit.table_findings(adapters.labelled(spark, sf_dir))
     rank = F.when(F.col("severity") == "defect", 0).when(F.col("severity") == "hygiene", 1).otherwise(2)
     return found.orderBy(rank, "path", "code").limit(40).select(F.col("path").alias("doc_id"), "code", "severity")
 
@@ -356,7 +356,10 @@ n AS (SELECT target AS page_id, 'out' AS d FROM known, seed WHERE source = s UNI
 SELECT page_id, string_agg(DISTINCT d, '+' ORDER BY d) AS directions, count(*) AS edges FROM n GROUP BY page_id ORDER BY page_id LIMIT 20""",
     "page_orphans": _GRAPH + """SELECT page_id, 'orphan-note' AS code FROM pages WHERE page_id NOT IN (SELECT target FROM known) AND page_id % 3 <> 0
 UNION ALL SELECT page_id, 'disconnected-note' FROM pages WHERE page_id % 3 = 0 AND page_id NOT IN (SELECT target FROM known) AND page_id NOT IN (SELECT source FROM known)""",
-    "page_visible_chars": r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<[^>]*>', '', 'g'), '[ \t\n\r\f]', '', 'g')) AS chars FROM pages",
+    "page_visible_chars": r"""
+WITH c AS (SELECT page_id, string_split(html, '<!--') AS p FROM pages),
+v AS (SELECT page_id, p[1] || array_to_string(list_transform(p[2:], lambda x: regexp_replace(split_part(x, '-->', 1), '[^\n]', '', 'g') || CASE WHEN contains(x, '-->') THEN substr(x, length(split_part(x, '-->', 1)) + 4) ELSE '' END), '') AS t FROM c)
+SELECT page_id, length(regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT starts_with(ltrim(l), '#')), ''), '\s', '', 'g')) AS chars FROM v""",
     "name_exact_boost": "SELECT p_partkey, 12.0::DOUBLE AS boost FROM part WHERE array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ') = 'small ring'",
     "tag_normalise_groups": """
 WITH tags AS (SELECT DISTINCT unnest([p_brand, lower(p_brand), lower(p_type) || 's', p_type, replace(p_name, ' ', '-'), p_name]) AS tag FROM part),
@@ -367,7 +370,7 @@ SELECT CASE WHEN length(k) > 1 AND k LIKE '%s' THEN left(k, length(k) - 1) ELSE
 WITH c AS (SELECT p_partkey, p_name, p_brand, [p_type, p_brand] AS tags FROM part),
 used AS (SELECT tag, count(*) AS n FROM (SELECT p_partkey, unnest(list_distinct(tags)) AS tag FROM c) GROUP BY tag),
 common AS (SELECT coalesce(list(tag), []) AS g FROM used, (SELECT count(*) AS t FROM c) WHERE n >= 2 AND n * 2 >= t),
-toks AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('and', 'for', 'the', 'with', 'note', 'notes', 'index')) AS w FROM c),
+toks AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda x: length(x) >= 2 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('guide', 'tutorial', 'overview', 'introduction', 'intro', 'practice', 'explained', 'article', 'note', 'notes', 'post', 'summary')) AS w FROM c),
 s AS (SELECT p_brand AS sb, list_filter(tags, lambda x: NOT list_contains(g, x)) AS st, w AS sw FROM toks, common WHERE p_partkey = 1)
 SELECT p_partkey, score FROM (SELECT p_partkey, CAST(3 * len(list_intersect(st, tags)) + CASE WHEN sb = p_brand THEN 1 ELSE 0 END + least(6, 2 * len(list_intersect(sw, w))) AS BIGINT) AS score FROM toks, s WHERE p_partkey <> 1 AND p_partkey % 10 <> 3)
 WHERE score >= 3 ORDER BY score DESC, p_partkey LIMIT 10""",
@@ -413,9 +416,9 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O' AN
 SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day
 FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '2001-08-01' - 89 AND DATE '2001-08-01' GROUP BY o_orderstatus""",
     "resume_sources_union": """
-WITH u AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 0 AS trust, 'location' AS origin FROM orders WHERE o_custkey < 20
-  UNION ALL SELECT o_orderkey, CAST(o_orderdate AS DATE), 1, 'project-field' FROM orders WHERE o_custkey < 30 AND o_orderpriority LIKE '1%'
-  UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), 2, 'related-link' FROM lineitem WHERE l_suppkey = 1)
+WITH u AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 0 AS trust, 'location' AS origin FROM orders WHERE o_orderpriority LIKE '5%'
+  UNION ALL SELECT o_orderkey, CAST(o_orderdate AS DATE), 1, 'project-field' FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%'
+  UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), 2, 'related-link' FROM lineitem)
 SELECT o_orderkey, min(trust) AS trust, CAST(max(d) AS VARCHAR) AS date, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY o_orderkey""",
     "resume_project_members": """
 WITH names AS (SELECT lower(c_name) AS key, any_value(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1),
@@ -434,7 +437,12 @@ SELECT conv_id, missing FROM (SELECT conv_id, array_to_string([k FOR k IN ['assi
     "evidence_occurrences": """
 SELECT doc_id, item_id, p AS position, sha256(x) AS sha256 FROM (SELECT doc_id, item_id, d.text AS t, b.text AS x, unnest(range(1, length(d.text) - length(b.text) + 2)) AS p FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text))
 WHERE substr(t, p, length(x)) = x""",
-    "metric_spans": r"SELECT lang, count(*) AS spans, count(DISTINCT span) AS distinct_spans FROM (SELECT lang, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS span FROM documents) WHERE NOT regexp_full_match(span, '(19|20)[0-9]{2}') GROUP BY lang",
+    # signs that are no word characters stand twice, so that one of each pair can end a span and the other begin the next
+    "metric_spans": r"""
+WITH d AS (SELECT lang, unnest(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'),
+  '(^|[^\p{L}\p{N}_])(\d+(?:\.\.\d+)?\s*(?:%|％)|\d+(?:\.\.\d+)?\s*(?:ms|s|min|mins|minutes?|hours?|days?|weeks?|months?|years?)(?:[^\p{L}\p{N}_]|$)|\d+(?:\.\.\d+)?\s*(?://|::|：：)\s*\d+(?:\.\.\d+)?|\d+(?:\.\.\d+)?\s*(?:[kKmMbB]|thousand|million|billion)(?:[^\p{L}\p{N}_]|$)|\d{1,3}(?:,,\d{3})+(?:\+)?)', 2)) AS x FROM documents)
+SELECT lang, count(*) AS spans, count(DISTINCT span) AS distinct_spans
+FROM (SELECT lang, regexp_replace(regexp_replace(x, '(\p{L})[^\p{L}\p{N}_]$', '\1'), '([^\p{L}\p{N}_])[^\p{L}\p{N}_]', '\1', 'g') AS span FROM d) GROUP BY lang""",
     "metric_span_uncovered": """
 WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events)
 SELECT event_id, user_id FROM e p WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM e x WHERE x.event_type = 'signup' AND x.user_id = p.user_id AND p.s >= x.s AND p.s + 60 <= x.s + 86400)""",
@@ -459,16 +467,18 @@ SQL["cold_captures"] = _CAPTURES + "SELECT o_orderkey, type, date_diff('day', to
 SQL["capture_revisit_rates"] = _CAPTURES + "SELECT coalesce(type, 'all') AS type, count(*) AS captures, count(*) FILTER (cold) AS never_reopened, round(1 - count(*) FILTER (cold) / count(*), 3) AS revisit_rate FROM c GROUP BY ROLLUP (type)"
 _QUEUE = SQL["project_queue"].replace("SELECT * FROM q ORDER BY priority, coalesce(age_days, -1) DESC, ranking_tasks DESC, o_orderkey LIMIT 20", "")
 SQL["project_reasons"] = _QUEUE + "SELECT priority, status, count(*) AS projects, CAST(sum(ranking_tasks) AS BIGINT) AS tasks, max(age_days) AS oldest FROM q GROUP BY ALL"
-SQL["declared_outcome"] = r"""
-WITH c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[.,;:!?\n]+'), lambda c: trim(c) <> '' AND regexp_matches(c, '(^|\s)(die|the|que)(\s|$)') AND NOT regexp_matches(c, '(^|\s)(nicht|not|no|pas)(\s|$)')) AS said FROM conversations),
+_DENIED = " OR ".join([f"regexp_matches(c, '{receipts.NEGATION.replace(chr(39), chr(39) * 2)}')", *(f"contains(c, '{m.replace(chr(39), chr(39) * 2)}')" for m in receipts.NEGATION_MARKERS)])
+SQL["declared_outcome"] = rf"""
+WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(\.)\s+', '\1' || chr(1), 'g'), '([!?;。！？；，、])\s*', '\1' || chr(1), 'g'), '\b(?:but|however|yet)\b|但是|但|然而|不过', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
+c AS (SELECT conv_id, turn, list_filter(parts, lambda c: regexp_matches(c, '(?:^|\s)(?:die|the|que)(?:\s|$)') AND NOT ({_DENIED})) AS said FROM p),
 o AS (SELECT conv_id, regexp_extract(coalesce(said[-1], ''), '.*(?:^|\s)(die|the|que)(?:\s|$)', 1) AS outcome FROM c)
 SELECT outcome, count(*) AS messages, count(DISTINCT conv_id) AS conversations FROM o WHERE outcome <> '' GROUP BY outcome"""
 _AUDIT = """
 WITH n AS (SELECT d.doc_id, lang, source, split_part(text, chr(10), 1) AS title, text, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
 f AS (SELECT doc_id, 'missing-type' AS code, 'defect' AS severity FROM n WHERE lang IS NULL OR lang = ''
   UNION ALL SELECT doc_id, 'invalid-type', 'defect' FROM n WHERE lang <> '' AND lang NOT IN ('en', 'fr', 'de')
-  UNION ALL SELECT doc_id, 'missing-quality', 'defect' FROM n WHERE quality IS NULL
-  UNION ALL SELECT doc_id, 'captured-nothing', 'defect' FROM n WHERE length(regexp_replace(text, '[ \\t\\n\\r\\f]', '', 'g')) < 400
+  UNION ALL SELECT doc_id, 'missing-tags', 'hygiene' FROM n WHERE quality IS NULL
+  UNION ALL SELECT doc_id, 'web-clip-captured-nothing', 'defect' FROM n WHERE length(regexp_replace(text, '[ \\t\\n\\r\\f]', '', 'g')) < 400
   UNION ALL SELECT doc_id, 'invalid-tag', 'hygiene' FROM n WHERE NOT regexp_full_match(source, '[a-z0-9]+(-[a-z0-9]+)*') OR NOT regexp_full_match(lang, '[a-z0-9]+(-[a-z0-9]+)*')
   UNION ALL SELECT doc_id, 'duplicate-title', 'hygiene' FROM (SELECT doc_id, count(*) OVER (PARTITION BY lower(trim(title))) AS c FROM n) WHERE c > 1)
 """

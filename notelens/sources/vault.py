@@ -11,7 +11,7 @@ MAX_BYTES = 2 * 1024 * 1024
 # Folders that hold no notes, for each scan.
 SEARCH_IGNORED = ("Attachments", "Templates", "95-Sources", "__pycache__", "node_modules")
 AUDIT_IGNORED = (".git", ".obsidian", ".venv", ".workbuddy")
-CAPTURE_IGNORED = (".git", ".obsidian", ".trash", "Templates", "Attachments")
+CAPTURE_IGNORED = (".obsidian", ".trash", ".git", "Templates")  # and the folder of backups
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -49,9 +49,9 @@ def loop_scan(files: DataFrame) -> DataFrame:
     return search_scan(files).filter(~_hidden(F.col("name")))
 
 
-def capture_scan(files: DataFrame) -> DataFrame:
-    """SRC-13."""
-    return files.filter(~F.exists("folder_parts", lambda p: p.isin(*CAPTURE_IGNORED)))
+def capture_scan(files: DataFrame, backups: str = ".notelens-backups") -> DataFrame:
+    """SRC-13. ``backups`` is the folder that holds copies made before a write; nobody reopens those."""
+    return files.filter(~F.exists("folder_parts", lambda p: p.isin(*CAPTURE_IGNORED, backups)))
 
 
 def linkable_scan(files: DataFrame, exempt: tuple[str, ...] = ("README.md", "AGENTS.md", "CLAUDE.md")) -> DataFrame:

@@ -7,7 +7,7 @@ from notelens.operators import boards, resume
 from pyspark.sql import functions as F
 
 HEAD = "---\ntype: todo-board\ntags: [todo]\n---\n"
-BOARD = HEAD + "# 待办\n\n## 今天\n- [ ] call 📅 2024-01-01\n\n## 之后\n- [ ] pay 📅 2024-01-09\n\n## 没定日子\n- [ ] read\n\n## 备忘\n- 2024-01-01 09:30 note\n\n## 已完成\n- 2024-01-01 勾掉：old\n"
+BOARD = HEAD + "\n# 待办\n\n## 今天\n\n- [ ] call 📅 2024-01-01\n## 之后\n\n- [ ] pay 📅 2024-01-09\n## 没定日子\n\n- [ ] read\n## 备忘\n\n- 2024-01-01 09:30 note\n## 已完成\n\n- 2024-01-01 勾掉：old\n"
 
 
 def test_round_trip_and_changes():

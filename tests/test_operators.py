@@ -70,8 +70,8 @@ def test_similar_titles_against_all_pairs(spark):
 
 
 def test_pairs_of_characters_merge(spark):
-    counts = spark.createDataFrame([("知识", 5), ("识库", 5), ("库检", 5), ("别的", 5), ("检索", 4)], "term string, notes long")
-    assert {(r.term, r.notes) for r in corpus.merge_pairs(counts).collect()} == {("知识库检", 5), ("别的", 5), ("检索", 4)}
+    counts = spark.createDataFrame([("知识", 5), ("识库", 5), ("库检", 5), ("别的", 5), ("检索", 4)], "term string, notes long").selectExpr("'f' folder", "*").unionByName(spark.createDataFrame([("g", "索引", 5)], "folder string, term string, notes long"))
+    assert {(r.term, r.notes) for r in corpus.merge_pairs(counts).collect()} == {("知识库检", 5), ("别的", 5), ("检索", 4), ("索引", 5)}
 
 
 def test_project_queue_order_and_reasons(spark):
@@ -119,7 +119,12 @@ def test_manifest_claims_and_metadata(spark):
     groups = [["written", "saved"], ["note"]]
     assert one(receipts.forbidden_claim(F.lit("First. The note was saved; done."), groups))
     assert not one(receipts.forbidden_claim(F.lit("The note was not saved. Saved it is!"), groups))
-    assert [one(receipts.placeholder_metadata(F.lit(v))) for v in ("TBD", " n/a ", "2024", None)] == [True, True, False, True]
+    assert {v: one(receipts.placeholder_metadata(F.lit(v))) for v in ("TBD", " n/a ", "2024", None, "unknown author", "待补充", "待补充内容", "ＴＢＤ", "todo: verify", "untitled", "xx", "unknown unknowns")} == {
+        "TBD": True, " n/a ": True, "2024": False, None: True, "unknown author": True, "待补充": True, "待补充内容": True, "ＴＢＤ": True, "todo: verify": True, "untitled": False, "xx": False, "unknown unknowns": False}
+    said = {"The file is unavailable, so the note was not written": False, "There is no plan; the note was written": True, "without haste the note was written": True, "笔记 note 未写入 written": False}
+    assert {t: one(receipts.forbidden_claim(F.lit(t), [["note"], ["written"]])) for t in said} == said
+    spans = {"用时 3小时 and 5%": ["3小时", "5%"], "花了2万 and 1.5亿": ["2万", "1.5亿"], "scored 4/5, ⭐ 12k": ["4/5", "⭐ 12k"], "1,234,567+ users in 3 days": ["1,234,567+", "3 days"], "v2 of 2024, x5%": []}
+    assert {t: one(receipts.metric_spans(F.lit(t))) for t in spans} == spans
     assert one(F.round(receipts.soft_score(F.lit(1.0), F.lit(0.5), F.lit(1.0), F.lit(14), F.lit(0.0)), 3)) == 0.7
 
 
