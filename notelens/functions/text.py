@@ -15,13 +15,16 @@ GENERIC_TITLE_TOKENS = (
 
 def tokenize(text: Column) -> Column:
     """TXT-1: Latin runs in lower case, CJK runs as overlapping pairs; every other script breaks runs."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[A-Za-z0-9]+|[{CJK}]+"), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9]+|[{CJK}]+"), F.lit(0))
 
     def parts(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
         return F.when(run.rlike("^[A-Za-z0-9]"), F.array(F.lower(run))).otherwise(pairs)
 
-    return F.flatten(F.transform(runs, parts))
+    # most texts have no CJK run, nor one of the two signs whose lower case is a Latin letter: no row of theirs meets a lambda
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(text.rlike(f"[{CJK}\u0130\u212a]"), F.flatten(F.transform(runs, parts))).otherwise(plain)
 
 
 def has_cjk(text: Column) -> Column:

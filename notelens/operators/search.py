@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelens.functions.text import CJK, normal_name, tag_key, tokenize
+from notelens.sources.tables import staged
 
 K1, B = 1.5, 0.75
 FIELD_WEIGHTS = {"title": 6.0, "aliases": 5.0, "tags": 3.0, "headings": 2.0, "links": 2.0}
@@ -132,10 +133,15 @@ def profile(notes: DataFrame, tokens: list[str], sections: bool = True) -> DataF
     parts = F.split("body", "\n", -1) if sections else F.array("body")
     cut = F.transform(parts, lambda p, i: F.struct(i.alias("no"), tokenize(p).alias("t")))
     cut = F.filter(cut, lambda p: F.size(p["t"]) > 0)
-    cut = F.transform(cut, lambda p: F.struct(p["no"].alias("no"), F.array(*[_count(p["t"], t) for t in tokens]).alias("tf"), F.size(p["t"]).alias("length")))
+    # what the query asks for is picked out first, so that its tokens are counted among a few
+    cut = F.transform(cut, lambda p: F.struct(p["no"].alias("no"), F.filter(p["t"], lambda t: t.isin(*tokens)).alias("t"), F.size(p["t"]).alias("length")))
+    cut = F.transform(cut, lambda p: F.struct(p["no"].alias("no"), F.array(*[_count(p["t"], t) for t in tokens]).alias("tf"), p["length"].alias("length")))
     out = named.select(*notes.columns, F.array(*[total(lambda c, t=t: _count(c, t)) for t in tokens]).alias("name_tf"), total(F.size).alias("name_length"), cut.alias("passages"))
     mean = F.when(F.size("passages") > 0, F.aggregate("passages", F.lit(0).cast("long"), lambda s, p: s + p["length"]) / F.size("passages")).otherwise(F.lit(0.0))
-    return out.withColumn("mean_length", mean)
+    # once the lengths are known, sections without a hit matter only to notes whose names have one
+    some = F.exists("name_tf", lambda x: x > 0)
+    held = F.when(some, F.col("passages")).otherwise(F.filter("passages", lambda p: F.exists(p["tf"], lambda x: x > 0)))
+    return out.withColumn("mean_length", mean).withColumn("passages", held)
 
 
 def statistics(profiled: DataFrame, tokens: list[str]) -> DataFrame:
@@ -149,9 +155,10 @@ def statistics(profiled: DataFrame, tokens: list[str]) -> DataFrame:
 
 def bm25(notes: DataFrame, weights: dict[str, float], sections: bool = True) -> DataFrame:
     """RNK-2: adds score (of the best section), passage_no (its place; the earliest on ties), df, n, and drops
-    scores of 0. ``weights`` is 1 for typed tokens and less for expanded ones."""
+    scores of 0. ``weights`` is 1 for typed tokens and less for expanded ones. Texts are read once: the counts they give
+    are written to the shared folder, where notes without a hit take a few numbers. The body is not in the result."""
     tokens = list(weights)
-    profiled = profile(notes, tokens, sections)
+    profiled = staged(notes.sparkSession, profile(notes, tokens, sections).drop("body"), "search-profile")
     ready = profiled.crossJoin(F.broadcast(statistics(profiled, tokens)))  # one row
 
     def score(p: Column) -> Column:
@@ -208,15 +215,97 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.filter(F.col(score) > 0).orderBy(F.col(score).desc(), F.lower(F.col("path").cast("string")), "path").limit(k)
 
 
+def with_bodies(top_notes: DataFrame, notes: DataFrame) -> DataFrame:
+    """The rows of a result with their bodies, in the same order; a result has a bounded number of rows."""
+    joined = notes.select("path", "body").join(F.broadcast(top_notes), "path")
+    return joined.orderBy(F.col("score").desc(), F.lower(F.col("path").cast("string")), "path")
+
+
 def snippet(top_notes: DataFrame, tokens: list[str]) -> DataFrame:
-    """RNK-14 for the few rows of a result: adds line (1-based) and snippet. The best line of the winning
-    section holds most distinct tokens (up to three times each); a line is a section here, so the window is
-    the line itself."""
-    line = F.get(F.split("body", "\n", -1), F.col("passage_no"))
-    text = F.trim(F.regexp_replace(line, r"\s+", " "))
+    """RNK-14 for the few rows of a result with bodies whose sections are lines: adds line (1-based), hits and snippet."""
+    lines = F.array(F.struct(F.get(F.split("body", "\n", -1), F.col("passage_no")).alias("text"), F.lit(0).alias("heading_level"), F.lit(None).cast("string").alias("heading")))
+    found = section_snippet(top_notes.withColumns({"_lines": lines, "_from": F.lit(0), "_to": F.lit(1)}), tokens, "_lines", "_from", "_to")
+    return found.drop("_lines", "_from", "_to", "heading").withColumns({"line": F.col("passage_no") + 1, "snippet": F.when(F.col("hits") > 0, F.col("snippet")).otherwise(F.lit(""))})
+
+
+def section_snippet(top_notes: DataFrame, tokens: list[str], lines: str = "lines", start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """RNK-14 for the few rows of a result with their lines (text, heading_level, heading) and the winning section from
+    ``start`` (0-based) to before ``end``: adds line (1-based), heading, hits and snippet. The best line holds most
+    distinct tokens, each up to three times; a heading only if no other line does, then the earliest; without a hit it
+    is the first line with text. The window is the line and its neighbours inside the section, without headings."""
+    section = F.slice(lines, F.col(start) + 1, F.greatest(F.col(end) - F.col(start), F.lit(0)))
+    blank = lambda ln: F.trim(F.regexp_replace(ln["text"], r"\s+", " ")) == ""
+
+    def rated(ln: Column, i: Column) -> Column:
+        found = tokenize(ln["text"])
+        hits = sum((F.least(_count(found, t), F.lit(3)) for t in dict.fromkeys(tokens)), F.lit(0))
+        # a line without a hit comes after all with one, and only a visible one counts
+        order = F.when(hits > 0, F.struct(F.lit(0).alias("a"), (-hits).alias("b"), (ln["heading_level"] > 0).cast("int").alias("c"), i.alias("at"))).when(~blank(ln) & (ln["heading_level"] == 0), F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), i.alias("at")))
+        return order
+
+    rows = top_notes.withColumn("_section", section).withColumn("_best", F.array_min(F.array_compact(F.transform("_section", rated))))
+    near = F.filter("_section", lambda ln, i: (F.abs(i - F.col("_best.at")) <= 1) & (ln["heading_level"] == 0) & ~blank(ln))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform(near, lambda ln: F.trim(ln["text"])), " "), r"\s+", " "))
     short = F.when(F.length(text) > MAX_SNIPPET, F.concat(F.rtrim(F.substring(text, 1, MAX_SNIPPET - 1)), F.lit("…"))).otherwise(text)
-    hits = sum((F.least(_count(tokenize(line), t), F.lit(3)) for t in tokens), F.lit(0))
-    return top_notes.withColumns({"line": F.col("passage_no") + 1, "hits": hits, "snippet": F.when(hits > 0, short).otherwise(F.lit(""))})
+    under = F.filter(F.slice(lines, F.lit(1), F.col(start) + F.col("_best.at") + 1), lambda ln: ln["heading_level"] > 0)
+    added = {"line": F.col(start) + F.col("_best.at") + 1, "hits": F.coalesce(-F.col("_best.b"), F.lit(0)), "heading": F.try_element_at(under, F.lit(-1))["heading"], "snippet": F.coalesce(short, F.lit(""))}
+    return rows.withColumns(added).drop("_section", "_best")
+
+
+#: Where words of a query can stand in a note, and what a result calls it.
+MATCH_FIELDS = {"title": "title", "aliases": "alias", "tags": "tag", "headings": "heading", "links": "link", "body": "body"}
+MAX_DETAIL = 160
+
+
+def _field_tokens(found: DataFrame, tokens: list[str]) -> dict[str, Column]:
+    """The tokens that each field of a result of ``bm25`` over them holds; of the body the winning section counts."""
+    section = F.try_element_at(F.filter("passages", lambda p: p["no"] == F.col("passage_no")), F.lit(1))["tf"]
+    wanted = F.array(*map(F.lit, tokens)).cast("array<string>")
+    out = {}
+    for field in MATCH_FIELDS:
+        if field == "body":
+            out[field] = F.coalesce(F.filter(wanted, lambda t, i: F.get(section, i) > 0), F.array().cast("array<string>"))
+        elif field in found.columns:
+            text = F.array_join(field, "\n") if dict(found.dtypes)[field].startswith("array") else F.col(field)
+            out[field] = F.array_intersect(wanted, tokenize(text))
+    return out
+
+
+def matched_words(found: DataFrame, tokens: list[str], typed: list[str]) -> DataFrame:
+    """RNK-11 and RNK-12 for rows of ``bm25`` over ``tokens``: adds matched (field, words: which typed ones it holds,
+    sorted) and signals (kind, detail: them in one text)."""
+    asked = F.array(*map(F.lit, dict.fromkeys(typed))).cast("array<string>")
+    each = [F.struct(F.lit(field).alias("field"), F.array_sort(F.array_intersect(held, asked)).alias("words")) for field, held in _field_tokens(found, tokens).items()]
+    matched = F.filter(F.array(*each), lambda m: F.size(m["words"]) > 0)
+    names = F.create_map(*[F.lit(x) for pair in MATCH_FIELDS.items() for x in pair])
+    signals = F.transform("matched", lambda m: F.struct(F.element_at(names, m["field"]).alias("kind"), F.substring(F.array_join(m["words"], ", "), 1, MAX_DETAIL).alias("detail")))
+    return found.withColumn("matched", matched).withColumn("signals", signals)
+
+
+def expansion_signals(found: DataFrame, tokens: list[str], used: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """RNK-13: adds expansion (kind, detail) for each concept of ``expand_query`` of which a note's names or its winning
+    section hold an added token."""
+    held = F.array_distinct(F.flatten(F.array(*_field_tokens(found, tokens).values())))
+    each = []
+    for _, term, added in used:
+        hits = F.array_intersect(F.array(*map(F.lit, added)), held)
+        each.append(F.when(F.size(hits) > 0, F.struct(F.lit("expansion").alias("kind"), F.substring(F.concat(F.lit(f"{term} → "), F.array_join(hits, ", ")), 1, MAX_DETAIL).alias("detail"))))
+    return found.withColumn("expansion", F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<kind:string,detail:string>>"))
+
+
+def search(notes: DataFrame, query: str, k: int = 5, filters: Filters | None = None, scope: str | None = None, concepts: Iterable[Concept] = ()) -> DataFrame:
+    """RNK-1: the best k notes (path, title, aliases, tags, body) for a query, with score, passage_no, matched, signals,
+    expansion and snippet. Scope (a folder, by path) and filters hold before statistics are taken."""
+    if scope not in (None, "", "."):
+        notes = notes.filter(F.col("path").startswith(scope.rstrip("/") + "/"))
+    kept = (filters or Filters()).select(notes)
+    added, used, _ = expand_query(query, concepts)
+    typed = list(dict.fromkeys(query_tokens(query)))
+    tokens = typed + [t for t in added if t not in typed]
+    if not tokens:
+        raise ValueError("the query has no token")
+    best = with_bodies(top(ranked(kept, query, added), k), kept)
+    return expansion_signals(matched_words(snippet(best, tokens), tokens, typed), tokens, used)
 
 
 def confidence(winner: DataFrame, typed: list[str]) -> DataFrame:

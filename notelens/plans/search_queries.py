@@ -71,10 +71,25 @@ def search_zero_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = S.top(S.ranked(adapters.notes(spark, sf_dir), QUERY), 10)
+    notes = adapters.notes(spark, sf_dir)
+    best = S.with_bodies(S.top(S.ranked(notes, QUERY), 10), notes)
     return S.snippet(best, list(TYPED)).select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("hits").cast("long").alias("hits"), "snippet")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.search(adapters.notes(spark, sf_dir), QUERY, 10, concepts=CONCEPTS)
+
+
+def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-11 and RNK-12: which of the typed words each note of an expanded search holds, and where."""
+    return _found(spark, sf_dir).select(F.col("path").alias("doc_id"), F.inline("signals"))
+
+
+def search_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-13: what the lexicon added to each note of an expanded search."""
+    return _found(spark, sf_dir).select(F.col("path").alias("doc_id"), F.inline("expansion"))
+
+
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
@@ -127,6 +142,17 @@ WHERE reason IS NOT NULL GROUP BY reason""",
 WITH added(concept, matched, token) AS (VALUES ('alpha', 'annt', 'heat'), ('alpha', 'annt', 'reor'), ('alpha', 'annt', 'anor'), ('beta', 'reed oure', 'innd')),
 held AS (SELECT token, count(*) AS notes FROM (SELECT DISTINCT doc_id, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY token)
 SELECT concept, matched, a.token, coalesce(notes, 0) AS notes FROM added a LEFT JOIN held h ON h.token = a.token""",
+    "search_matches": _bm25_sql(weights=TYPED | _ADDED) + f""",
+w AS (SELECT t.doc_id, 1 AS o, 'title' AS kind, {TOK.format("split_part(text, chr(10), 1)")} AS toks FROM top t JOIN documents d USING (doc_id)
+  UNION ALL SELECT t.doc_id, 2, 'tag', {TOK.format("lang || chr(10) || source")} FROM top t JOIN documents d USING (doc_id)
+  UNION ALL SELECT t.doc_id, 3, 'body', p.toks FROM top t JOIN passages p ON p.doc_id = t.doc_id AND p.no = t.passage_no)
+SELECT doc_id, kind, left(array_to_string(m, ', '), 160) AS detail FROM (SELECT doc_id, kind, list_sort(list_filter([{', '.join(f"'{t}'" for t in TYPED)}], lambda x: list_contains(toks, x))) AS m FROM w) WHERE len(m) > 0""",
+    "search_signals": _bm25_sql(weights=TYPED | _ADDED) + f""",
+w AS (SELECT t.doc_id, list_concat({TOK.format("split_part(text, chr(10), 1) || chr(10) || lang || chr(10) || source")}, coalesce(p.toks, [])) AS toks
+  FROM top t JOIN documents d USING (doc_id) LEFT JOIN passages p ON p.doc_id = t.doc_id AND p.no = t.passage_no),
+c(matched, added) AS (VALUES ('annt', ['heat', 'reor', 'anor']), ('reed oure', ['innd']))
+SELECT doc_id, 'expansion' AS kind, left(matched || ' → ' || array_to_string(list_filter(added, lambda x: list_contains(toks, x)), ', '), 160) AS detail
+FROM w CROSS JOIN c WHERE len(list_filter(added, lambda x: list_contains(toks, x))) > 0""",
     "search_confidence": _bm25_sql(weights={"annt": 1.0, "reed": 1.0, "zebra": 1.0}) + """,
 best AS (SELECT * FROM top ORDER BY score DESC, lower(CAST(doc_id AS VARCHAR)), doc_id LIMIT 1),
 cover AS (SELECT sum(d.idf) AS total, sum(CASE WHEN EXISTS (SELECT 1 FROM hits h, best b WHERE h.doc_id = b.doc_id AND h.no = b.passage_no AND h.token = d.token AND h.f > 0) THEN d.idf ELSE 0 END) AS held,
@@ -146,5 +172,5 @@ FROM (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR
 
 
 def queries() -> dict:
-    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet)
+    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals)
     return {f.__name__: f for f in found}
