@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelens.operators import receipts
+
 # Severities by code; codes not listed are hygiene.
 SEVERITY = {
     "defect": (
@@ -62,7 +64,7 @@ def metadata_rules(types: tuple[str, ...], undated_types: tuple[str, ...] = ("mo
         once("unresolved-template-placeholder", F.col("visible").rlike(r"\{\{[^{}\n]+\}\}"), "a template placeholder is left"),
         once("empty-template-note", F.col("has_heading") & (F.col("content_chars") == 0) & ~kind.isin(*undated_types), "headings without content"),
         once("web-clip-captured-nothing", (kind == "web-clip") & (F.col("content_chars") < 400) & ~F.array_contains(tags, "incomplete"), "under 400 characters of content"),
-        once("web-clip-missing-source", (kind == "web-clip") & F.col("source").isNull(), "no source"),
+        *web_clip_rules(),
     ]
 
 
@@ -133,3 +135,31 @@ def template_rules(required: dict[str, list[str]], contracts: dict[str, str], la
         lacking = F.filter(F.array(*map(F.lit, labels)).cast("array<string>"), lambda n: ~F.exists(F.split(text, "\n", -1), lambda ln: ln.rlike(r"^[-*\s]*\**") & F.ltrim(F.regexp_replace(ln, r"^[-*\s]+", "")).startswith(F.concat(n, F.lit(":"))) & (F.trim(F.regexp_replace(F.split_part(ln, F.lit(":"), F.lit(2)), r"\*", "")) != "")))
         rules.append(Rule("conversation-digest-missing-resume-field", F.when(F.col("sections").isNotNull() & F.array_contains(F.map_keys("sections"), card), lacking).otherwise(F.array().cast("array<string>"))))
     return rules
+
+
+def duplicate_project_notes(notes: DataFrame, listed: int = 20) -> DataFrame:
+    """AGG-12: notes(path, entity_folder, instance) of which several stand in one instance directory: a finding for each
+    directory with the first paths. Paths are gathered up to the bound; the count is of all."""
+    place = Window.partitionBy("entity_folder", "instance").orderBy("path")
+    several = notes.groupBy("entity_folder", "instance").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = notes.join(several, ["entity_folder", "instance"]).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= listed)
+    named = first.groupBy("entity_folder", "instance", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("path")), lambda p: p.cast("string")), ", ").alias("paths"))
+    return named.select(F.lit("duplicate-project-note").alias("code"), F.lit(severity("duplicate-project-note")).alias("severity"), F.concat_ws("/", "entity_folder", "instance").alias("path"), F.concat(F.col("n").cast("string"), F.lit(" notes: "), F.col("paths")).alias("message"))
+
+
+CAPTURE_DEPTHS = ("standard", "verified")
+
+
+def web_clip_rules() -> list[Rule]:
+    """Rules of web clips for notes with columns type, source and meta (a variant): each required field must say something."""
+    clip = F.col("type") == "web-clip"
+    value = lambda key: F.try_variant_get("meta", f"$.{key}", "string")
+    kind = lambda key: F.schema_of_variant(F.try_variant_get("meta", f"$.{key}", "variant"))
+    empty = lambda key: receipts.placeholder_metadata(value(key)) | F.coalesce(kind(key) == "BOOLEAN", F.lit(False))
+    depth = value("capture_depth")
+    return [
+        once("web-clip-missing-source", clip & (empty("source") | F.coalesce(kind("source") != "STRING", F.lit(True))), "no source"),
+        once("web-clip-missing-author", clip & empty("author"), "no author"),
+        once("web-clip-missing-published", clip & empty("published"), "no date of publication"),
+        once("web-clip-invalid-capture-depth", clip & depth.isNotNull() & ~depth.isin(*CAPTURE_DEPTHS), "capture_depth is standard or verified"),
+    ]

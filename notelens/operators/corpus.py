@@ -131,3 +131,31 @@ def suggest_links(seed: DataFrame, candidates: DataFrame, related: DataFrame, ge
     drop = F.concat("common", F.array(*map(F.lit, generic)).cast("array<string>"))
     score = pair_score(F.array_except("seed_tags", drop), F.col("tags"), F.col("seed_type"), F.col("type"), F.col("seed_title"), F.col("title"))
     return pairs.select("path", score.alias("score")).filter(F.col("score") >= min_score).orderBy(F.col("score").desc(), "path").limit(limit)
+
+
+def scope_terms(title: Column, tags: Column) -> Column:
+    """The tokens of a note's title and tags."""
+    return F.array_distinct(F.concat(title_tokens(title), F.flatten(F.transform(F.coalesce(tags, F.array().cast("array<string>")), title_tokens))))
+
+
+def candidate_folders(notes: DataFrame, folders: DataFrame, siblings: int = 2) -> DataFrame:
+    """RNK-24: for each note(path, title, tags) the folders in which candidates are sought: its own, and the first
+    siblings by path whose name shares a token with its title or tags; folders(folder). Folders meet notes by parent
+    and token, so no note is held against all folders."""
+    parent = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
+    placed = notes.select("path", parent(F.col("path")).alias("own"), scope_terms(F.col("title"), F.col("tags")).alias("terms")).withColumn("parent", F.when(F.col("own") == "", "").otherwise(parent(F.col("own"))))
+    named = folders.select("folder", parent(F.col("folder")).alias("parent"), F.explode(title_tokens(F.element_at(F.split("folder", "/"), -1))).alias("token"))
+    near = placed.select("path", "own", "parent", F.explode("terms").alias("token")).join(named, ["parent", "token"]).filter("folder <> own").select("path", "folder").distinct()
+    order = Window.partitionBy("path").orderBy("folder")
+    kept = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= siblings)
+    return placed.select("path", F.col("own").alias("folder"), F.lit(0).alias("place")).unionByName(kept)
+
+
+def vault_summary(notes: DataFrame, at_least: int = 20, limit: int = 20) -> DataFrame:
+    """QRY-12: what a vault holds, one row for each fact: notes in all, by type, by crowded folder and by tag, each
+    dimension in its own order and within its limit; notes(path, type, folder, tags)."""
+    total = notes.agg(F.count(F.lit(1)).alias("notes")).select(F.lit("all").alias("facet"), F.lit("").alias("name"), "notes")
+    types = notes.groupBy(F.coalesce("type", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("notes")).select(F.lit("type").alias("facet"), "name", "notes")
+    folders = crowded_folders(notes, at_least, limit).select(F.lit("folder").alias("facet"), F.col("folder").alias("name"), F.col("direct_notes").alias("notes"))
+    tags = tag_vocabulary(notes).select(F.lit("tag").alias("facet"), F.col("tag").alias("name"), "notes")
+    return total.unionByName(types).unionByName(folders).unionByName(tags)

@@ -137,3 +137,36 @@ def nearest_rank(df: DataFrame, by: str, value: str, shares: tuple[float, ...])
     order = Window.partitionBy(by).orderBy(value)
     ranked = counted.withColumns({"_upto": F.sum("_c").over(order), "_n": F.sum("_c").over(Window.partitionBy(by))})
     return ranked.groupBy(by).agg(*[F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_n") * s), F.lit(1)), F.col(value))).alias(f"p{round(100 * s)}") for s in shares])
+
+
+def family_occupancy(results: DataFrame, families: DataFrame) -> DataFrame:
+    """AGG-20: how many of the results of a case each family takes; results(id, path), families(path, family)."""
+    return results.join(families, "path").groupBy("id", "family").agg(F.count(F.lit(1)).alias("places"))
+
+
+def case_report(cases: DataFrame, results: DataFrame, must_see: DataFrame, hard: DataFrame, expected: DataFrame, at: int = 5) -> DataFrame:
+    """AGG-19, one row for each case(id, group): rank of the first expected path, results returned, required paths that
+    are not among them and hard negatives that are. results(id, path, rank); the others (id, path)."""
+    held = results.filter(F.col("rank") <= at).select("id", "path", "rank")
+    ranks = held.join(expected, ["id", "path"]).groupBy("id").agg(F.min("rank").alias("rank"))
+    returned = held.groupBy("id").agg(F.count(F.lit(1)).alias("returned"))
+    missing = must_see.distinct().join(held, ["id", "path"], "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("must_see_missing"))
+    hits = hard.distinct().join(held, ["id", "path"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hard_negative_hits"))
+    out = cases.select("id", "group")
+    for part in (ranks, returned, missing, hits):
+        out = out.join(part, "id", "left")
+    return out.fillna(0, ["returned", "must_see_missing", "hard_negative_hits"])
+
+
+def case_groups(report: DataFrame, unanswerable: str = "no-answer") -> DataFrame:
+    """AGG-19: the report by group and over all (group 'all'): recall and MRR of answerable cases, false positives of the
+    others, and the cases that show a limitation."""
+    summed = report.withColumn("open", F.col("group") != unanswerable).rollup("group").agg(
+        F.grouping("group").alias("g"), F.count(F.lit(1)).alias("cases"),
+        F.round(F.avg(F.when(F.col("open"), F.col("rank").isNotNull().cast("double"))), 3).alias("recall"),
+        F.round(F.avg(F.when(F.col("open"), F.coalesce(1 / F.col("rank"), F.lit(0.0)))), 3).alias("mrr"),
+        F.sum("must_see_missing").alias("must_see_misses"), F.sum("hard_negative_hits").alias("hard_negative_hits"),
+        F.round(F.avg(F.when(~F.col("open"), (F.col("returned") > 0).cast("double"))), 3).alias("false_positive_rate"),
+        F.count_if((F.col("must_see_missing") > 0) | (F.col("hard_negative_hits") > 0)).alias("limited"),
+    )
+    return summed.withColumn("group", F.when(F.col("g") == 1, "all").otherwise(F.col("group"))).drop("g")

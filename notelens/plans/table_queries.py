@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelens.functions.text import normal_name, note_date, tag_key
@@ -320,6 +320,52 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.evaluate(results, cases, at=2).withColumnRenamed("group", "priority")
 
 
+def _ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases: their parts as results, by price."""
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("path")).agg(F.max("l_extendedprice").alias("price"))
+    order = Window.partitionBy("id").orderBy(F.col("price").desc(), "path")
+    return parts.withColumn("rank", F.row_number().over(order)).select("id", "path", "rank")
+
+
+def case_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-19: orders as cases by priority, of which the last has no answer; the first line's part is expected, returned
+    ones must be seen, and those of large quantity are hard negatives."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "id", "l_partkey": "path"})
+    group = F.when(F.col("o_orderpriority").startswith("5"), "no-answer").otherwise(F.col("o_orderpriority"))
+    cases = orders.select(F.col("o_orderkey").alias("id"), group.alias("group"))
+    seen, hard = lines.filter("l_returnflag = 'R'").select("id", "path"), lines.filter("l_quantity > 45").select("id", "path")
+    report = workflow.case_report(cases, _ranked_parts(spark, sf_dir), seen, hard, lines.filter("l_linenumber = 1").select("id", "path").distinct(), at=3)
+    return workflow.case_groups(report)
+
+
+def family_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-20: brands as families of the three dearest parts of an order."""
+    results = _ranked_parts(spark, sf_dir).filter("rank <= 3").select("id", "path")
+    families = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("family"))
+    return workflow.family_occupancy(results, families).withColumnRenamed("id", "o_orderkey")
+
+
+def duplicate_project_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: urgent orders as project notes, in a directory for each customer."""
+    from notelens.operators import audit
+
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority like '1%'")
+    return audit.duplicate_project_notes(orders.select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("entity_folder"), F.col("o_custkey").cast("string").alias("instance")))
+
+
+def vault_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-12 over the documents: languages as types, sources as folders."""
+    return corpus.vault_summary(adapters.notes(spark, sf_dir).withColumn("folder", F.col("tags")[1]))
+
+
+def candidate_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-24: parts as notes in a folder for each type, types as folders named by their part names."""
+    parts = table(spark, sf_dir, "part")
+    notes = parts.select(F.concat(F.lit("p/"), F.col("p_type"), F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_name").alias("title"), F.array("p_brand").alias("tags"))
+    folders = parts.select(F.concat(F.lit("p/"), F.col("p_name")).alias("folder")).unionByName(parts.select(F.concat(F.lit("p/"), F.col("p_type")).alias("folder"))).distinct()
+    return corpus.candidate_folders(notes, folders)
+
+
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "n_chars")
     return workflow.nearest_rank(docs, "lang", "n_chars", (0.5, 0.95))
@@ -486,11 +532,46 @@ SQL["audit_findings"] = _AUDIT + "SELECT code, severity, count(*) AS findings, c
 SQL["table_audit_worst"] = _AUDIT + "SELECT doc_id, code, severity FROM f ORDER BY CASE severity WHEN 'defect' THEN 0 WHEN 'hygiene' THEN 1 ELSE 2 END, doc_id, code LIMIT 40"
 
 
+_CASES = """
+WITH r AS (SELECT l_orderkey AS id, l_partkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, l_partkey) AS rank FROM lineitem GROUP BY l_orderkey, l_partkey),
+held AS (SELECT * FROM r WHERE rank <= 3)"""
+SQL["case_metrics"] = _CASES + """,
+e AS (SELECT l_orderkey AS id, min(rank) AS rank FROM lineitem JOIN held ON id = l_orderkey AND path = l_partkey WHERE l_linenumber = 1 GROUP BY l_orderkey),
+n AS (SELECT id, count(*) AS returned FROM held GROUP BY id),
+m AS (SELECT id, count(*) AS missing FROM (SELECT DISTINCT l_orderkey AS id, l_partkey AS path FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT id, path FROM held) GROUP BY id),
+h AS (SELECT id, count(*) AS hits FROM (SELECT DISTINCT l_orderkey AS id, l_partkey AS path FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT id, path FROM held) GROUP BY id),
+c AS (SELECT CASE WHEN o_orderpriority LIKE '5%' THEN 'no-answer' ELSE o_orderpriority END AS grp, e.rank, coalesce(returned, 0) AS returned, coalesce(missing, 0) AS missing, coalesce(hits, 0) AS hits
+  FROM orders o LEFT JOIN e ON e.id = o_orderkey LEFT JOIN n ON n.id = o_orderkey LEFT JOIN m ON m.id = o_orderkey LEFT JOIN h ON h.id = o_orderkey)
+SELECT coalesce(grp, 'all') AS "group", count(*) AS cases, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (grp0 <> 'no-answer'), 3) AS recall,
+  round(avg(coalesce(1.0 / rank, 0.0)) FILTER (grp0 <> 'no-answer'), 3) AS mrr, CAST(sum(missing) AS BIGINT) AS must_see_misses, CAST(sum(hits) AS BIGINT) AS hard_negative_hits,
+  round(avg(CASE WHEN returned > 0 THEN 1.0 ELSE 0.0 END) FILTER (grp0 = 'no-answer'), 3) AS false_positive_rate, count(*) FILTER (missing > 0 OR hits > 0) AS limited
+FROM (SELECT *, grp AS grp0 FROM c) GROUP BY ROLLUP (grp)"""
+SQL["family_occupancy"] = _CASES + "SELECT id AS o_orderkey, p_brand AS family, count(*) AS places FROM held JOIN part ON p_partkey = path GROUP BY ALL"
+SQL["duplicate_project_notes"] = """
+WITH u AS (SELECT o_orderkey, o_orderstatus, o_custkey, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderkey) AS place
+  FROM orders WHERE o_orderpriority LIKE '1%' WINDOW w AS (PARTITION BY o_orderstatus, o_custkey))
+SELECT 'duplicate-project-note' AS code, 'defect' AS severity, o_orderstatus || '/' || o_custkey AS path, any_value(n) || ' notes: ' || string_agg(CAST(o_orderkey AS VARCHAR), ', ' ORDER BY o_orderkey) AS message
+FROM u WHERE n > 1 AND place <= 20 GROUP BY o_orderstatus, o_custkey"""
+SQL["vault_summary"] = """
+SELECT 'all' AS facet, '' AS name, count(*) AS notes FROM documents
+UNION ALL SELECT 'type', coalesce(lang, ''), count(*) FROM documents GROUP BY ALL
+UNION ALL (SELECT 'folder', source, count(*) FROM documents GROUP BY source HAVING count(*) >= 20 ORDER BY count(*) DESC, source LIMIT 20)
+UNION ALL (SELECT 'tag', tag, count(*) FROM (SELECT doc_id, unnest(list_distinct([lang, source])) AS tag FROM documents) GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 40)"""
+_GENERAL = "('guide', 'tutorial', 'overview', 'introduction', 'intro', 'practice', 'explained', 'article', 'note', 'notes', 'post', 'summary')"
+SQL["candidate_folders"] = f"""
+WITH n AS (SELECT 'p/' || p_type || '/' || p_partkey AS path, 'p/' || p_type AS own, regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+') AS t FROM part),
+w AS (SELECT DISTINCT path, own, unnest(t) AS token FROM n),
+f AS (SELECT DISTINCT 'p/' || name AS folder, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS token FROM (SELECT p_name AS name FROM part UNION SELECT p_type FROM part)),
+near AS (SELECT DISTINCT path, folder FROM w JOIN f USING (token) WHERE folder <> own AND length(token) >= 2 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN {_GENERAL})
+SELECT path, own AS folder, 0 AS place FROM n
+UNION ALL SELECT * FROM (SELECT path, folder, CAST(row_number() OVER (PARTITION BY path ORDER BY folder) AS INT) AS place FROM near) WHERE place <= 2"""
+
+
 def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
         board_fold, board_spoken_sections, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
-        audit_findings, table_audit_worst, note_dates,
+        audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )
     return {f.__name__: f for f in found}
