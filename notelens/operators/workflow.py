@@ -170,3 +170,13 @@ def case_groups(report: DataFrame, unanswerable: str = "no-answer") -> DataFrame
         F.count_if((F.col("must_see_missing") > 0) | (F.col("hard_negative_hits") > 0)).alias("limited"),
     )
     return summed.withColumn("group", F.when(F.col("g") == 1, "all").otherwise(F.col("group"))).drop("g")
+
+
+def memos(rows: DataFrame) -> DataFrame:
+    """SRT-13: notes of a board, the latest first; rows(at, line, text), at may be null."""
+    return rows.orderBy(F.coalesce("at", F.lit("")).desc(), F.col("line").desc())
+
+
+def as_payload(rows: DataFrame) -> DataFrame:
+    """SNK-1: each row as one JSON text (payload), null fields kept."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("payload"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,43 @@ def scan_counts(files: DataFrame, notes: DataFrame) -> DataFrame:
 def scope_stats(files: DataFrame) -> DataFrame:
     """SRC-25: notes by top folder."""
     return search_scan(files).groupBy(F.coalesce(F.get("folder_parts", F.lit(0)), F.lit(".")).alias("folder")).agg(F.count(F.lit(1)).alias("notes"))
+
+
+def _glob(pattern: str) -> str:
+    """A shell pattern as an expression over a whole name; a star crosses folders."""
+    return "^" + fnmatch.translate(pattern).removesuffix(r"\Z").removesuffix(r"\z") + r"\z"
+
+
+def index_excluded(folder: Column, folders: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> Column:
+    """FLT-11: whether a folder needs no index: it is or lies in one of these folders, or it or its name fits a pattern."""
+    name = F.element_at(F.split(folder, "/"), -1)
+    out = F.lit(False)
+    for f in folders:
+        out = out | (folder == f) | folder.startswith(f + "/")
+    for p in patterns:
+        out = out | folder.rlike(_glob(p)) | name.rlike(_glob(p))
+    return out
+
+
+# Stems that some systems keep for devices, and signs that no portable name has.
+RESERVED_STEMS = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
+INVALID_SIGNS = r'[\x00-\x1f<>:"/\\|?*]'
+
+
+def portable_name(name: Column) -> Column:
+    """FLT-16: whether a name can be that of a visible folder on every system."""
+    bad = (name == "") | (name != F.trim(name)) | name.startswith(".") | name.endswith(".") | F.upper(F.split_part(name, F.lit("."), F.lit(1))).isin(*RESERVED_STEMS) | (F.octet_length(name) > 255) | name.rlike(INVALID_SIGNS)
+    return ~F.coalesce(bad, F.lit(True))
+
+
+def inside(path: Column) -> Column:
+    """FLT-4, FLT-5: whether a path relative to the vault stays below it: not absolute, and no step leaves it."""
+    parts = F.filter(F.split(path, "[/\\\\]"), lambda p: ~p.isin("", "."))
+    depth = F.aggregate(parts, F.lit(0), lambda d, p: F.when(d < 0, d).when(p == "..", d - 1).otherwise(d + 1))
+    return F.coalesce(~path.rlike(r"^([/\\\\]|[A-Za-z]:)") & (depth > 0), F.lit(False))
+
+
+def attachments(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-11: files that are no notes, by path, size and time; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/")).select("path", "length", "modificationTime")
+    return files.filter(~F.lower("path").endswith(".md")).select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
