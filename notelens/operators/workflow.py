@@ -48,11 +48,20 @@ def retention(backups: DataFrame, keep: int, protected: Column | None = None) ->
 
 def cache_prune(entries: DataFrame, max_entries: int, max_bytes: int, oldest: Column) -> DataFrame:
     """WIN-11: newest first within each cache; entries before ``oldest`` go, then those beyond the count or the
-    bytes. entries(cache, key, staged, bytes)."""
+    bytes. entries(cache, key, staged, bytes) with kept. Sums by hour find the one hour of a cache in which the bounds are
+    passed; only its entries are put in order."""
+    live = entries.filter(F.col("staged") >= oldest).withColumn("_hour", F.date_trunc("hour", "staged"))
+    newer = Window.partitionBy("cache").orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = live.groupBy("cache", "_hour").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"))
+    hours = hours.withColumns({"_n0": F.coalesce(F.sum("_n").over(newer), F.lit(0)), "_b0": F.coalesce(F.sum("_b").over(newer), F.lit(0))})
+    whole = (F.col("_n0") + F.col("_n") <= max_entries) & (F.col("_b0") + F.col("_b") <= max_bytes)
+    partly = ~whole & (F.col("_n0") < max_entries) & (F.col("_b0") <= max_bytes)
+    placed = live.join(hours.withColumns({"_whole": whole, "_partly": partly}), ["cache", "_hour"])
     order = Window.partitionBy("cache").orderBy(F.col("staged").desc(), "key")
-    live = entries.filter(F.col("staged") >= oldest)
-    ranked = live.withColumns({"place": F.row_number().over(order), "running": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return ranked.withColumn("kept", (F.col("place") <= max_entries) & (F.col("running") <= max_bytes))
+    running = F.col("_b0") + F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    bounds = placed.filter("_partly").withColumn("kept", (F.col("_n0") + F.row_number().over(order) <= max_entries) & (running <= max_bytes))
+    clear = placed.filter("not _partly").withColumn("kept", F.col("_whole"))
+    return clear.unionByName(bounds).select(*entries.columns, "kept")
 
 
 def log_cap(log: DataFrame, keep: int = 30) -> DataFrame:
