@@ -38,9 +38,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    # copies merge before the shuffle; where the largest payload of a digest is not the smallest, the digest lies
-    ends = rows.groupBy("digest").agg(F.max("payload").alias("payload"), F.min("payload").alias("least"))
-    one = F.when(F.col("payload") == F.col("least"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest"))).cast("binary"))
+    # copies merge before the shuffle; payloads of one digest that differ in length or SHA-1 are no copies
+    other = F.concat(F.octet_length("payload").cast("string"), F.lit(":"), F.sha1("payload"))
+    ends = rows.withColumn("other", other).groupBy("digest").agg(F.max("payload").alias("payload"), F.min("other").alias("low"), F.max("other").alias("high"))
+    one = F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest"))).cast("binary"))
     ends.select("digest", one.alias("payload")).write.parquet(f"{path}/payloads")
 
     small = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("b32")).join(first, "digest")
