@@ -44,10 +44,11 @@ def queue_order(queue: DataFrame, limit: int) -> DataFrame:
     return queue.orderBy("priority", F.coalesce("age_days", F.lit(-1)).desc(), F.col("ranking_tasks").desc(), "path").limit(limit)
 
 
-def open_loops(tasks: DataFrame, notes: DataFrame) -> DataFrame:
-    """QRY-5: open tasks under an action heading, with the note's type and date; SRT-3 by date (none last), path, line."""
+def open_loops(tasks: DataFrame, notes: DataFrame, board_type: str = "todo-board") -> DataFrame:
+    """QRY-5: open tasks under an action heading, with the note's type and date; SRT-3 by date (none last), path, line.
+    A board has its own queue, so its tasks are none of these."""
     kept = tasks.filter("not checked and in_next_actions and trim(text) <> ''")
-    return kept.join(notes.select("path", "type", "date"), "path").select("path", "line", "text", "type", "date")
+    return kept.join(notes.filter(~F.col("type").eqNullSafe(board_type)).select("path", "type", "date"), "path").select("path", "line", "text", "type", "date")
 
 
 def loop_summary(loops: DataFrame) -> DataFrame:

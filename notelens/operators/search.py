@@ -68,6 +68,10 @@ class Filters:
             reason = F.when(rule, name).otherwise(reason)
         return reason
 
+    def applied(self) -> dict[str, tuple[str, ...] | str]:
+        """FLT-2: the dimensions that hold, as a result echoes them."""
+        return {name: value for name, value in vars(self).items() if value}
+
     def select(self, notes: DataFrame) -> DataFrame:
         return notes.filter(self.reject_reason().isNull())
 

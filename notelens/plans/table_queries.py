@@ -380,12 +380,12 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_audit_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-9: the first findings in order of severity, path and code."""
+    """SRT-9: the first findings in order of severity, path, code and message."""
     from notelens.operators import audit
 
     found = audit.table_findings(adapters.labelled(spark, sf_dir))
     rank = F.when(F.col("severity") == "defect", 0).when(F.col("severity") == "hygiene", 1).otherwise(2)
-    return found.orderBy(rank, "path", "code").limit(40).select(F.col("path").alias("doc_id"), "code", "severity")
+    return found.orderBy(rank, "path", "code", "message").limit(40).select(F.col("path").alias("doc_id"), "code", "severity")
 
 
 def note_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

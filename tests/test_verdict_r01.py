@@ -77,3 +77,15 @@ def test_generic_title_tokens(spark):
 
     row = spark.range(1).select(title_tokens(F.lit("The cache guide 缓存指南 and index")).alias("t"), tokenize(F.lit("x")).alias("u")).first()
     assert set(row.t) == {"the", "cache", "缓存", "存指", "and", "index"}
+
+
+def test_boards_have_no_open_loops(spark):
+    notes = spark.createDataFrame([("a.md", "note"), ("b.md", "todo-board"), ("c.md", None)], "path string, type string").withColumn("date", F.lit(None).cast("date"))
+    tasks = notes.select("path", F.lit(1).alias("line"), F.lit("do").alias("text"), F.lit(False).alias("checked"), F.lit(True).alias("in_next_actions"))
+    assert {r.path for r in reviews.open_loops(tasks, notes).collect()} == {"a.md", "c.md"}
+
+
+def test_filters_say_what_holds():
+    from notelens.operators.search import Filters
+
+    assert Filters(types=("en",), before="2024-01-01").applied() == {"types": ("en",), "before": "2024-01-01"} and Filters().applied() == {}
