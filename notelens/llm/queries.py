@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, substring_dedup, warc
+from notelens.llm import chat_format, decontaminate, divergence, exact_dedup, filter_audit, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, substring_dedup, warc
 from notelens.sources.tables import shared_dir, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,6 +73,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL = {
     "op2_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -104,6 +112,50 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n + 8 + CASE WHEN same THEN 0 ELSE 6 + length(role) END) AS BIGINT) AS formatted_chars
 FROM esc GROUP BY conv_id
+""",
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+lang_total AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(s.total, 0) + 2 * l.v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * l.v))::BIGINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN lang_total l USING (lang) LEFT JOIN totals s USING (lang, source) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+             FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+marks AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM marks) WHERE rank <= 10
+""",
+    "op12_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+d AS (
+  SELECT part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+               + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS fails,
+         coalesce(g.good, false) AS good, coalesce(g.toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) g USING (doc_id)),
+n AS (SELECT part, fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+o AS (SELECT a || b || c || x || y AS filter_order FROM unnest(['A','B','C','D','E']) t1(a), unnest(['A','B','C','D','E']) t2(b), unnest(['A','B','C','D','E']) t3(c), unnest(['A','B','C','D','E']) t4(x), unnest(['A','B','C','D','E']) t5(y)
+      WHERE len(list_distinct([a, b, c, x, y])) = 5),
+s AS (SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65)) AS bit, list_sum([0] || [1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step)]) AS before
+      FROM o, unnest([1, 2, 3, 4, 5]) t(step)),
+r AS (
+  SELECT part, filter_order, step, bit,
+         sum(n * ((fails & (before::BIGINT | bit)) = 0)::INT)::BIGINT AS kept, sum(n * ((fails & bit) > 0 AND (fails & before::BIGINT) = 0)::INT)::BIGINT AS removed,
+         sum(n * ((fails & bit) > 0 AND (fails & before::BIGINT) > 0)::INT)::BIGINT AS redundant, sum(n * (fails = bit)::INT)::BIGINT AS unique_fails,
+         sum(n * ((fails & bit) > 0 AND (fails & before::BIGINT) = 0 AND good)::INT)::BIGINT AS good_lost, sum(n * ((fails & bit) > 0 AND (fails & before::BIGINT) = 0 AND toxic)::INT)::BIGINT AS toxic_lost
+  FROM n, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
 """,
 }
 
@@ -115,7 +167,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, op11_divergence, op12_filter_audit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
