@@ -18,7 +18,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,22 +58,26 @@ def document_verdicts(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> D
 
 
 def _walk(state: frozenset, survivors: DataFrame, filters: str, seen: dict[frozenset, DataFrame], visit: Callable) -> None:
-    """Depth first over the states below this one; one that another prefix has reached is not entered again."""
-    seen[state] = survivors.persist()
+    """Depth first over the states below this one that have a filter left; one that another prefix has reached is not
+    entered again. A state read more than once, by its count and by those below it, is persisted."""
+    rest = [name for name in filters if name not in state]
+    seen[state] = survivors.persist() if len(rest) > 1 else survivors
     visit(state, seen[state])
-    for name in filters:
-        if name not in state and state | {name} not in seen:
-            _walk(state | {name}, seen[state].filter(~F.col(name)), filters, seen, visit)
+    for name in rest if len(rest) > 1 else []:
+        if state | {name} not in seen:
+            _walk(state | {name}, seen[state].filter(f"NOT {name}"), filters, seen, visit)
 
 
 def _edges(survivors: DataFrame, state: frozenset, filters: str) -> DataFrame:
     """part, state, filter and what the filter removes from the survivors of the state, for each filter not yet applied."""
-    def of(name: str) -> Column:
-        hit = lambda also: F.coalesce(F.sum(F.when(F.col(name) & also, F.col("n"))), F.lit(0))
-        return F.struct(F.lit(name).alias("filter"), hit(F.lit(True)).alias("removed"), hit(F.col("good")).alias("good_lost"), hit(F.col("toxic")).alias("toxic_lost"), F.sum("n").alias("before"))
+    counts = [f"struct('{f}' AS filter, sum(n) AS before, sum(if({f}, n, 0)) AS removed, sum(if({f} AND good, n, 0)) AS good_lost, sum(if({f} AND toxic, n, 0)) AS toxic_lost)" for f in filters if f not in state]
+    return survivors.groupBy("part").agg(F.expr(f"array({', '.join(counts)}) AS edge")).selectExpr("part", f"'{''.join(sorted(state))}' AS state", "inline(edge)")
 
-    rest = [of(name) for name in filters if name not in state]
-    return survivors.groupBy("part").agg(F.array(*rest).alias("edge")).select("part", F.lit("".join(sorted(state))).alias("state"), F.explode("edge").alias("e")).select("part", "state", "e.*")
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """Halves first: each union analyses all below it anew."""
+    half = len(frames) // 2
+    return _union(frames[:half]).unionByName(_union(frames[half:])) if half else frames[0]
 
 
 def _orders(spark: SparkSession, filters: str) -> DataFrame:
@@ -94,19 +97,18 @@ def interactions(spark: SparkSession, verdicts: DataFrame, filters: str = "ABCDE
         profile = scratch.staged(verdicts.groupBy("part", *filters, "good", "toxic").agg(F.count("*").alias("n")), "profile")
         seen: dict[frozenset, DataFrame] = {}
         counted: list[DataFrame] = []
-        _walk(frozenset(), profile, filters, seen, lambda state, left: counted.append(_edges(left, state, filters)) if len(state) < n else None)
-        edges = scratch.staged(reduce(DataFrame.unionByName, counted), "edges")
+        _walk(frozenset(), profile, filters, seen, lambda state, left: counted.append(_edges(left, state, filters)))
+        edges = scratch.staged(_union(counted), "edges")
         for left in seen.values():
             left.unpersist()
 
-        alone = lambda name: reduce(Column.__and__, [F.col(f) if f == name else ~F.col(f) for f in filters])
-        count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
         states = {f: ["".join(s) for k in range(n) for s in itertools.combinations(sorted(set(filters) - {f}), k)] for f in filters}
-        whole = profile.groupBy("part").agg(F.array(*[F.struct(F.lit(f).alias("filter"), F.array(*map(F.lit, states[f])).alias("states"), count(F.col(f)).alias("fails"), count(alone(f)).alias("unique_fails")) for f in filters]).alias("f"))
-        whole = whole.select("part", F.explode("f").alias("f")).select("part", "f.filter", "f.fails", "f.unique_fails", F.explode("f.states").alias("state"))
+        alone = {f: " AND ".join(x if x == f else f"NOT {x}" for x in filters) for f in filters}
+        whole = [f"struct('{f}' AS filter, array({', '.join(map(repr, states[f]))}) AS states, sum(if({f}, n, 0)) AS fails, sum(if({alone[f]}, n, 0)) AS unique_fails)" for f in filters]
+        every = profile.groupBy("part").agg(F.expr(f"array({', '.join(whole)}) AS f")).selectExpr("part", "inline(f)").selectExpr("part", "filter", "fails", "unique_fails", "explode(states) AS state")
 
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)  # noqa: E731  a state that leaves nothing of a part has no edges for it
-        full = whole.join(edges, ["part", "state", "filter"], "left").select("part", "state", "filter", "fails", "unique_fails", *map(zero, ("before", "removed", "good_lost", "toxic_lost")))
+        full = every.join(edges, ["part", "state", "filter"], "left").select("part", "state", "filter", "fails", "unique_fails", *map(zero, ("before", "removed", "good_lost", "toxic_lost")))
         ways = F.element_at(F.array(*[F.lit(math.factorial(k) * math.factorial(n - 1 - k)) for k in range(n)]), F.length("state") + 1)
         full = full.withColumn("shapley", F.sum(F.col("removed") * ways).over(Window.partitionBy("part", "filter")))
         steps = full.join(F.broadcast(_orders(spark, filters)), ["state", "filter"])
