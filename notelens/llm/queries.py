@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.llm import chat_format, decontaminate, divergence, exact_dedup, filter_audit, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, substring_dedup, warc
+from notelens.llm import cap_filters, chat_format, decontaminate, divergence, exact_dedup, filter_audit, html_extract, jaccard_join, licenses, quality, sentencepiece_codec, substring_dedup, warc
 from notelens.sources.tables import shared_dir, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -81,6 +81,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.link_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 SQL = {
     "op2_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -156,6 +160,14 @@ r AS (
          sum(n * ((fails & bit) > 0 AND (fails & before::BIGINT) = 0 AND good)::INT)::BIGINT AS good_lost, sum(n * ((fails & bit) > 0 AND (fails & before::BIGINT) = 0 AND toxic)::INT)::BIGINT AS toxic_lost
   FROM n, s GROUP BY ALL)
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+""",
+    "op13_cap_filters": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(x, e -> e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, e -> e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c
 """,
 }
 
@@ -167,7 +179,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, op11_divergence, op12_filter_audit, pipeline)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_decontamination, op4_quality, op5_sentencepiece, op6_exact_dedup, op7_licenses, op8_html, op9_jaccard_join, op10_chat_format, op11_divergence, op12_filter_audit, op13_cap_filters, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
