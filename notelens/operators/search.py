@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelens.functions.markdown import cut_sections
 from notelens.functions.text import CJK, normal_name, tag_key, tokenize
 from notelens.sources.tables import staged
 
@@ -129,12 +130,16 @@ def idf(df: Column, n: Column) -> Column:
 
 def profile(notes: DataFrame, tokens: list[str], sections: bool = True) -> DataFrame:
     """Adds name_tf (weighted counts of each token in the names), name_length, and passages: (no, tf, length)
-    of each section with tokens. A section is a line here; without ``sections`` the whole body is one."""
+    of each section with tokens. Sections stand between visible headings where the notes have ``lines``; where not, each
+    line is one, and without ``sections`` the whole body."""
     fields = [(f, w) for f, w in FIELD_WEIGHTS.items() if f in notes.columns]
     as_text = lambda f: F.array_join(f, "\n") if dict(notes.dtypes)[f].startswith("array") else F.col(f)
     named = notes.select("*", *[tokenize(as_text(f)).alias(f"_{f}") for f, _ in fields])
     total = lambda of: sum((w * of(F.col(f"_{f}")) for f, w in fields), F.lit(0.0))
-    parts = F.split("body", "\n", -1) if sections else F.array("body")
+    if sections and "lines" in notes.columns:
+        parts = F.transform(cut_sections(F.col("lines")), lambda s: s["text"])
+    else:
+        parts = F.split("body", "\n", -1) if sections else F.array("body")
     cut = F.transform(parts, lambda p, i: F.struct(i.alias("no"), tokenize(p).alias("t")))
     cut = F.filter(cut, lambda p: F.size(p["t"]) > 0)
     # what the query asks for is picked out first, so that its tokens are counted among a few
@@ -157,14 +162,9 @@ def statistics(profiled: DataFrame, tokens: list[str]) -> DataFrame:
     )
 
 
-def bm25(notes: DataFrame, weights: dict[str, float], sections: bool = True) -> DataFrame:
-    """RNK-2: adds score (of the best section), passage_no (its place; the earliest on ties), df, n, and drops
-    scores of 0. ``weights`` is 1 for typed tokens and less for expanded ones. Texts are read once: the counts they give
-    are written to the shared folder, where notes without a hit take a few numbers. The body is not in the result."""
-    tokens = list(weights)
-    profiled = staged(notes.sparkSession, profile(notes, tokens, sections).drop("body"), "search-profile")
-    ready = profiled.crossJoin(F.broadcast(statistics(profiled, tokens)))  # one row
-
+def scored(ready: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """RNK-2 for rows with name_tf, name_length, mean_length, passages and the statistics n, df and average_length: adds
+    score and passage_no of the best section."""
     def score(p: Column) -> Column:
         length = F.col("name_length") + F.greatest(p["length"].cast("double"), F.col("mean_length"))
         norm = K1 * (1 - B + B * length / F.col("average_length"))
@@ -174,10 +174,19 @@ def bm25(notes: DataFrame, weights: dict[str, float], sections: bool = True) ->
             out = out + weight * idf(F.col("df")[i].cast("double"), F.col("n").cast("double")) * (f * (K1 + 1) / (f + norm))
         return F.struct(out.alias("score"), (-p["no"]).alias("minus"))
 
-    empty = F.array(F.struct(F.lit(0).alias("no"), F.array(*[F.lit(0)] * len(tokens)).alias("tf"), F.lit(0).alias("length")))
+    empty = F.array(F.struct(F.lit(0).alias("no"), F.array(*[F.lit(0)] * len(weights)).alias("tf"), F.lit(0).alias("length")))
     best = F.array_max(F.transform(F.when(F.size("passages") > 0, F.col("passages")).otherwise(empty), score))
-    scored = ready.withColumn("_best", best).withColumns({"score": F.col("_best.score"), "passage_no": -F.col("_best.minus")})
-    return scored.drop("_best", "average_length")
+    rated = ready.withColumn("_best", best).withColumns({"score": F.col("_best.score"), "passage_no": -F.col("_best.minus")})
+    return rated.drop("_best", "average_length")
+
+
+def bm25(notes: DataFrame, weights: dict[str, float], sections: bool = True) -> DataFrame:
+    """RNK-2: adds score (of the best section), passage_no (its place; the earliest on ties), df, n, and drops
+    scores of 0. ``weights`` is 1 for typed tokens and less for expanded ones. Texts are read once: the counts they give
+    are written to the shared folder, where notes without a hit take a few numbers. The body is not in the result."""
+    tokens = list(weights)
+    profiled = staged(notes.sparkSession, profile(notes, tokens, sections).drop("body", "lines"), "search-profile")
+    return scored(profiled.crossJoin(F.broadcast(statistics(profiled, tokens))), weights)  # one row
 
 
 def name_boost(query: str, title: Column) -> Column:
@@ -190,21 +199,24 @@ def _best_ratio(query: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([max((SequenceMatcher(None, q, n).ratio() for n in ns), default=0.0) for q, ns in zip(query, names, strict=True)], dtype="float64")
 
 
-def with_name_boost(notes: DataFrame, query: str) -> DataFrame:
-    """RNK-8, both arms over title and aliases: adds boost, for an equal name or else by the best ratio from the
-    floor on. Only names whose length lets them reach the floor are sent to the matcher."""
+def with_name_boost(notes: DataFrame, query: str, normal: str | None = None) -> DataFrame:
+    """RNK-8, both arms over title and aliases, or over the array of normal names that ``normal`` calls: adds boost, for an
+    equal name or else by the best ratio from the floor on. Only notes that have a name whose length lets it reach the
+    floor are sent to the matcher, and those names alone."""
     wanted = " ".join(query_tokens(query))
     parts = [F.array("title")] if "title" in notes.columns else []
     parts += [F.coalesce("aliases", F.array().cast("array<string>"))] if "aliases" in notes.columns else []
-    if not wanted or not parts:
+    if not wanted or not (parts or normal):
         return notes.withColumn("boost", F.lit(0.0))
-    named = notes.withColumn("_names", F.transform(F.flatten(F.array(*parts)), normal_name))
+    named = notes.withColumn("_names", F.col(normal) if normal else F.transform(F.flatten(F.array(*parts)), normal_name))
     # 2 min(a, b) / (a + b) >= 0.72, in integers
     near = F.filter("_names", lambda n: 50 * F.least(F.length(n), F.lit(len(wanted))) >= round(25 * FUZZY_FLOOR) * (F.length(n) + len(wanted)))
+    named = named.withColumn("_near", near)
+    far = named.filter(~F.coalesce(F.size("_near") > 0, F.lit(False))).withColumn("boost", F.lit(0.0))
     # not deterministic for the optimizer: it must not move the matcher into the join with the statistics
-    rated = named.withColumn("_ratio", _best_ratio.asNondeterministic()(F.lit(wanted), near))
-    boost = F.when(F.array_contains("_names", wanted), F.lit(EXACT_BOOST)).when(F.col("_ratio") >= FUZZY_FLOOR, FUZZY_BOOST * F.col("_ratio")).otherwise(F.lit(0.0))
-    return rated.withColumn("boost", boost).drop("_names", "_ratio")
+    rated = named.filter(F.size("_near") > 0).withColumn("_ratio", _best_ratio.asNondeterministic()(F.lit(wanted), F.col("_near")))
+    boost = F.when(F.array_contains("_near", wanted), F.lit(EXACT_BOOST)).when(F.col("_ratio") >= FUZZY_FLOOR, FUZZY_BOOST * F.col("_ratio")).otherwise(F.lit(0.0))
+    return rated.withColumn("boost", boost).drop("_ratio").unionByName(far).drop("_names", "_near")
 
 
 def ranked(notes: DataFrame, query: str, added: Iterable[str] = (), sections: bool = True) -> DataFrame:
@@ -221,12 +233,19 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def with_bodies(top_notes: DataFrame, notes: DataFrame) -> DataFrame:
     """The rows of a result with their bodies, in the same order; a result has a bounded number of rows."""
-    joined = notes.select("path", "body").join(F.broadcast(top_notes), "path")
+    held = [c for c in ("body", "lines", "body_start_line") if c in notes.columns and c not in top_notes.columns]
+    joined = notes.select("path", *held).join(F.broadcast(top_notes), "path")
     return joined.orderBy(F.col("score").desc(), F.lower(F.col("path").cast("string")), "path")
 
 
 def snippet(top_notes: DataFrame, tokens: list[str]) -> DataFrame:
-    """RNK-14 for the few rows of a result with bodies whose sections are lines: adds line (1-based), hits and snippet."""
+    """RNK-14 for the few rows of a result: adds line (1-based, of the file where body_start_line is known), heading, hits
+    and snippet. Notes with ``lines`` are cut at their headings; others at line feeds, where a line without a hit is no
+    snippet."""
+    if "lines" in top_notes.columns:
+        section = F.get(cut_sections(F.col("lines")), F.col("passage_no"))
+        found = section_snippet(top_notes.withColumns({"_from": section["start_line"], "_to": section["end_line"]}), tokens, "lines", "_from", "_to").drop("_from", "_to")
+        return found.withColumn("line", F.col("line") + F.col("body_start_line") - 1) if "body_start_line" in found.columns else found
     lines = F.array(F.struct(F.get(F.split("body", "\n", -1), F.col("passage_no")).alias("text"), F.lit(0).alias("heading_level"), F.lit(None).cast("string").alias("heading")))
     found = section_snippet(top_notes.withColumns({"_lines": lines, "_from": F.lit(0), "_to": F.lit(1)}), tokens, "_lines", "_from", "_to")
     return found.drop("_lines", "_from", "_to", "heading").withColumns({"line": F.col("passage_no") + 1, "snippet": F.when(F.col("hits") > 0, F.col("snippet")).otherwise(F.lit(""))})

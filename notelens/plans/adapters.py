@@ -5,9 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelens.sources.tables import table
+from notelens.functions.markdown import notes_of
+from notelens.operators import postings
+from notelens.sources.tables import shared_dir, state_of, table
 
 AS_OF = "2001-08-01"
+_INDEXES: dict[tuple, postings.NoteIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame) -> postings.NoteIndex:
+    """The posting table of notes made from a table: built once for a session and a state of the table's files."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, state_of(spark, f"{sf_dir}/{name}.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build(rows, shared_dir(spark, f"index-{name}"))
+    return _INDEXES[key]
+
+
+def note_index(spark: SparkSession, sf_dir: str) -> postings.NoteIndex:
+    """The index of documents as notes."""
+    return _index(spark, sf_dir, "documents", notes(spark, sf_dir))
+
+
+def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as Markdown files: a metadata block, a title, and a section for each turn."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    kind = F.when(F.exists("t", lambda t: t["role"] == "system"), "guided").otherwise("open")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 300).cast("int")), "yyyy-MM-dd")
+    head = F.concat(F.lit("---\ntype: "), kind, F.lit("\ndate: "), day, F.lit("\ntags: [chat, turns-"), F.size("t").cast("string"), F.lit("]\n---\n# Conversation "), F.col("conv_id").cast("string"), F.lit("\n"))
+    parts = F.transform("t", lambda t: F.concat(F.lit("## "), t["role"], F.lit(" "), t["turn"].cast("string"), F.lit("\n"), t["text"], F.lit("\n")))
+    return turns.select(F.concat(F.lit("chats/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.col("conv_id").cast("string").alias("stem"), F.concat(head, F.array_join(parts, "")).alias("text"))
+
+
+def chat_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown files of conversations, parsed; headings is a field of the search."""
+    parsed = notes_of(chat_files(spark, sf_dir))
+    return parsed.withColumn("headings", F.transform(F.filter("lines", lambda ln: ln["heading_level"] > 0), lambda ln: ln["heading"]))
+
+
+def chat_index(spark: SparkSession, sf_dir: str) -> postings.NoteIndex:
+    held = ("path", "title", "aliases", "tags", "headings", "type", "date", "updated", "lines")
+    return _index(spark, sf_dir, "conversations", chat_notes(spark, sf_dir).select(*held))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

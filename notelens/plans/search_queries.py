@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelens.functions.text import tokenize
+from notelens.operators import postings
 from notelens.operators import search as S
 from notelens.plans import adapters
+from notelens.sources.tables import table
 
 QUERY = "annt reed oure anst"
 CONCEPTS = (S.Concept("alpha", ("annt", "heat", "reor anor")), S.Concept("beta", ("reed oure", "innd")), S.Concept("gamma", ("zebra", "lion")))
@@ -24,11 +26,11 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_bm25_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(S.ranked(adapters.notes(spark, sf_dir).select("path", "body"), QUERY, sections=False))
+    return _result(postings.ranked(adapters.note_index(spark, sf_dir), QUERY, sections=False, names=False))
 
 
 def search_bm25_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(S.ranked(adapters.notes(spark, sf_dir), QUERY))
+    return _result(postings.ranked(adapters.note_index(spark, sf_dir), QUERY))
 
 
 def search_filtered_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +41,14 @@ def search_filtered_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_after_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies and lengths come from what the filters leave."""
-    good = adapters.labelled(spark, sf_dir).filter("quality = 1").drop("quality", "toxic")
-    return _result(S.ranked(S.Filters(types=("en",)).select(good), QUERY))
+    index = adapters.note_index(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("path"))
+    return _result(postings.ranked(index, QUERY, kept=S.Filters(types=("en",)).select(index.notes).join(good, "path", "left_semi")))
 
 
 def search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     added, _, _ = S.expand_query(QUERY, CONCEPTS)
-    return _result(S.ranked(adapters.notes(spark, sf_dir), QUERY, added))
+    return _result(postings.ranked(adapters.note_index(spark, sf_dir), QUERY, added))
 
 
 def expansion_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def expansion_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = "annt reed zebra"
-    best = S.top(S.ranked(adapters.notes(spark, sf_dir), query), 1)
+    best = S.top(postings.ranked(adapters.note_index(spark, sf_dir), query), 1)
     return S.confidence(best, list(dict.fromkeys(S.query_tokens(query)))).withColumnRenamed("path", "doc_id")
 
 
@@ -71,13 +74,12 @@ def search_zero_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = adapters.notes(spark, sf_dir)
-    best = S.with_bodies(S.top(S.ranked(notes, QUERY), 10), notes)
+    best = postings.bodies(adapters.notes(spark, sf_dir).select("path", "body"), S.top(postings.ranked(adapters.note_index(spark, sf_dir), QUERY), 10))
     return S.snippet(best, list(TYPED)).select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("hits").cast("long").alias("hits"), "snippet")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search(adapters.notes(spark, sf_dir), QUERY, 10, concepts=CONCEPTS)
+    return postings.search(adapters.note_index(spark, sf_dir), adapters.notes(spark, sf_dir), QUERY, 10, concepts=CONCEPTS)
 
 
 def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,24 +92,36 @@ def search_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select(F.col("path").alias("doc_id"), F.inline("expansion"))
 
 
+CHAT_QUERY = "thble onin ering assistant"
+CHAT_FILTERS = S.Filters(types=("open",), tags=("Chats", "turns-9"), after="2024-01-15")
+
+
+def _chat_top(spark: SparkSession, sf_dir: str, filters: S.Filters = S.Filters()) -> DataFrame:
+    index = adapters.chat_index(spark, sf_dir)
+    return S.top(postings.ranked(index, CHAT_QUERY, kept=filters.select(index.notes)), 10)
+
+
+def notes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as Markdown notes, ranked by their best section between headings, from the posting table."""
+    return _chat_top(spark, sf_dir).select("path", F.round("score", 6).alias("score"), F.col("passage_no").cast("long").alias("passage_no"))
+
+
+def notes_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under filters of type, tag and date from the metadata block; statistics are those of what is left."""
+    return _chat_top(spark, sf_dir, CHAT_FILTERS).select("path", F.round("score", 6).alias("score"), F.col("passage_no").cast("long").alias("passage_no"))
+
+
+def notes_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-14 over heading sections: the best line with its neighbours, its heading and its line in the file."""
+    found = postings.bodies(adapters.chat_notes(spark, sf_dir).select("path", "lines", "body_start_line"), _chat_top(spark, sf_dir))
+    return S.snippet(found, S.query_tokens(CHAT_QUERY)).select("path", F.col("line").cast("long").alias("line"), "heading", F.col("hits").cast("long").alias("hits"), "snippet")
+
+
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
-def _bm25_sql(where: str = "true", weights: dict[str, float] = TYPED, names: bool = True, sections: bool = True, notes: str = "documents") -> str:
-    """The ranking as joins and aggregations over exploded tokens. Ends with the relations ``scored``
-    (doc_id, passage_no, score), ``df`` (token, w, idf) and ``hits``."""
-    terms = ", ".join(f"('{t}', {w})" for t, w in weights.items())
-    cut = "string_split(text, chr(10))" if sections else "[text]"
-    title = TOK.format("split_part(text, chr(10), 1)")
-    tags = TOK.format("lang || chr(10) || source")
-    fields = f"SELECT doc_id, 6.0 AS w, unnest({title}) AS token FROM base UNION ALL SELECT doc_id, 3.0, unnest({tags}) FROM base" if names else "SELECT doc_id, 6.0 AS w, '' AS token FROM base WHERE false"
-    return f"""
-WITH q(token, w) AS (VALUES {terms}),
-base AS (SELECT doc_id, text, lang, source FROM {notes} WHERE {where}),
-parts AS (SELECT doc_id, i - 1 AS no, {TOK.format('l[i]')} AS toks FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {cut} AS l FROM base))),
-passages AS (SELECT doc_id, no, toks, len(toks) AS length FROM parts WHERE len(toks) > 0),
-fields AS ({fields}),
-names AS (SELECT doc_id, token, sum(w) AS tf FROM fields GROUP BY ALL),
+#: From passages (doc_id, no, toks, length), fields (doc_id, w, token), base (doc_id) and q (token, w) to the ten best.
+RANKED = """names AS (SELECT doc_id, token, sum(w) AS tf FROM fields GROUP BY ALL),
 name_length AS (SELECT doc_id, sum(w) AS name_length FROM fields GROUP BY ALL),
 mean AS (SELECT doc_id, avg(length) AS mean_length FROM passages GROUP BY doc_id),
 sized AS (SELECT b.doc_id, coalesce(n.name_length, 0) AS name_length, coalesce(m.mean_length, 0) AS mean_length FROM base b LEFT JOIN name_length n USING (doc_id) LEFT JOIN mean m USING (doc_id)),
@@ -126,6 +140,38 @@ top AS (SELECT * FROM scored ORDER BY score DESC, lower(CAST(doc_id AS VARCHAR))
 """
 
 
+def _bm25_sql(where: str = "true", weights: dict[str, float] = TYPED, names: bool = True, sections: bool = True, notes: str = "documents") -> str:
+    """The ranking as joins and aggregations over exploded tokens. Ends with the relations ``scored``
+    (doc_id, passage_no, score), ``df`` (token, w, idf) and ``hits``."""
+    terms = ", ".join(f"('{t}', {w})" for t, w in weights.items())
+    cut = "string_split(text, chr(10))" if sections else "[text]"
+    title = TOK.format("split_part(text, chr(10), 1)")
+    tags = TOK.format("lang || chr(10) || source")
+    fields = f"SELECT doc_id, 6.0 AS w, unnest({title}) AS token FROM base UNION ALL SELECT doc_id, 3.0, unnest({tags}) FROM base" if names else "SELECT doc_id, 6.0 AS w, '' AS token FROM base WHERE false"
+    return f"""
+WITH q(token, w) AS (VALUES {terms}),
+base AS (SELECT doc_id, text, lang, source FROM {notes} WHERE {where}),
+parts AS (SELECT doc_id, i - 1 AS no, {TOK.format('l[i]')} AS toks FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {cut} AS l FROM base))),
+passages AS (SELECT doc_id, no, toks, len(toks) AS length FROM parts WHERE len(toks) > 0),
+fields AS ({fields}),
+""" + RANKED
+
+
+def _chat_sql(where: str = "true") -> str:
+    """Sections of conversations as Markdown notes: 1 is the title, each turn is one below its heading."""
+    terms = ", ".join(f"('{t}', 1.0)" for t in S.query_tokens(CHAT_QUERY))
+    return f"""
+WITH q(token, w) AS (VALUES {terms}),
+turns AS (SELECT *, 'chats/' || conv_id || '.md' AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r, coalesce(text, '') AS said, coalesce(role, '') || ' ' || turn AS heading FROM conversations),
+chats AS (SELECT doc_id, any_value(conv_id) AS conv_id, count(*) AS n, CASE WHEN bool_or(role = 'system') THEN 'guided' ELSE 'open' END AS type, DATE '2024-01-01' + CAST(any_value(conv_id) % 300 AS INT) AS date FROM turns GROUP BY doc_id),
+base AS (SELECT * FROM chats WHERE {where}),
+sections AS (SELECT doc_id, 1 AS no, 'Conversation ' || conv_id AS heading, '# Conversation ' || conv_id AS body, 0 AS start FROM base
+  UNION ALL SELECT doc_id, r + 1, heading, '## ' || heading || chr(10) || said, 1 + coalesce(sum(3 + length(said) - length(replace(said, chr(10), '')) - 1) OVER (PARTITION BY doc_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) FROM turns SEMI JOIN base USING (doc_id)),
+passages AS (SELECT *, len(toks) AS length FROM (SELECT doc_id, no, {TOK.format('body')} AS toks FROM sections) WHERE len(toks) > 0),
+fields AS (SELECT doc_id, 6.0 AS w, unnest(['conversation', CAST(conv_id AS VARCHAR)]) AS token FROM base UNION ALL SELECT doc_id, 3.0, unnest(['chat', 'turns', CAST(n AS VARCHAR)]) FROM base UNION ALL SELECT doc_id, 2.0, unnest({TOK.format('heading')}) FROM sections),
+""" + RANKED
+
+
 FINAL = "SELECT doc_id, round(score, 6) AS score, passage_no FROM top"
 _ADDED = dict.fromkeys(S.expand_query(QUERY, CONCEPTS)[0], S.EXPANDED_WEIGHT)
 
@@ -133,6 +179,15 @@ SQL = {
     "tokenize_counts": f"SELECT lang AS type, count(*) AS distinct_tokens, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS most FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL) GROUP BY lang",
     "search_bm25_flat": _bm25_sql(names=False, sections=False) + FINAL,
     "search_bm25_sections": _bm25_sql() + FINAL,
+    "notes_search": _chat_sql() + "SELECT doc_id AS path, round(score, 6) AS score, passage_no FROM top",
+    "notes_filtered_search": _chat_sql("type = 'open' AND date >= DATE '2024-01-15' AND (n >= 0 OR n = 9)") + "SELECT doc_id AS path, round(score, 6) AS score, passage_no FROM top",
+    "notes_snippet": _chat_sql() + f""",
+ln AS (SELECT t.doc_id, s.heading, s.start, i - 1 AS i, trim(l[i]) AS line, {TOK.format('l[i]')} AS toks FROM top t JOIN sections s ON s.doc_id = t.doc_id AND s.no = t.passage_no, LATERAL (SELECT string_split(s.body, chr(10)) AS l), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+rated AS (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR t IN [{', '.join(f"'{t}'" for t in S.query_tokens(CHAT_QUERY))}]]) AS hits FROM ln),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits > 0 DESC, hits DESC, i = 0, i) AS k FROM rated WHERE hits > 0 OR (i > 0 AND line <> ''))
+SELECT b.doc_id AS path, CAST(6 + b.start + b.i AS BIGINT) AS line, b.heading, CAST(b.hits AS BIGINT) AS hits, CASE WHEN length(w.text) > 480 THEN rtrim(substr(w.text, 1, 479)) || '…' ELSE coalesce(w.text, '') END AS snippet
+FROM best b LEFT JOIN (SELECT b.doc_id, trim(regexp_replace(string_agg(n.line, ' ' ORDER BY n.i), '\\s+', ' ', 'g')) AS text FROM best b JOIN ln n ON n.doc_id = b.doc_id AND abs(n.i - b.i) <= 1 AND n.i > 0 AND n.line <> '' WHERE b.k = 1 GROUP BY b.doc_id) w ON w.doc_id = b.doc_id
+WHERE b.k = 1""",
     "search_filtered_tally": """
 SELECT reason, count(*) AS excluded FROM (SELECT CASE WHEN lang NOT IN ('en', 'de') THEN 'type' WHEN source NOT IN ('src1', 'src2') AND lang NOT IN ('src1', 'src2') THEN 'tag' END AS reason FROM documents)
 WHERE reason IS NOT NULL GROUP BY reason""",
@@ -172,5 +227,5 @@ FROM (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR
 
 
 def queries() -> dict:
-    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals)
+    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet)
     return {f.__name__: f for f in found}

@@ -33,6 +33,13 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(there, True)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: what tells whether something made from it is still right."""
+    there, store = _in_store(spark, path)
+    files = store.listStatus(there)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
