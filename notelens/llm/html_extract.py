@@ -4,6 +4,12 @@ Markup is cut into blocks at block-level tags. The first pass decides a block by
 stands in, its link density, its length and its density of stop words; short blocks stay ambiguous.
 In the second pass an ambiguous block takes the label of its nearest decided neighbour.
 
+A container is boilerplate by its tag (a menu, a footer) or by its class, id, role or being a form. Of
+class and id whole words count, and compounds that end in one (site-footer) unless they tell of a
+layout (no-sidebar, has-menu). What a class says does not stand against the page: such a container is
+none if all articles of the page are inside, or, on a page without an article, most of its text and no
+good block is outside. An unclosed boilerplate container ends where an article opens.
+
 Defined cases: null or empty html gives an empty text; markup cut off anywhere is read as far as it
 goes; a page of any length is read whole; repeated rows give repeated rows; other columns stay as they
 are, but for columns named text or n_chars, which the result replaces.
@@ -11,6 +17,7 @@ are, but for columns named text or n_chars, which the result replaces.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 
@@ -48,46 +55,133 @@ LINKS, LONG, STOP_HIGH, STOP_LOW = 0.5, 70, 0.15, 0.05
 BAD, SHORT, GOOD = 0, 1, 2
 
 
-def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
-    if name in BOILER_TAGS or (name == "header" and not in_main):
-        return True
-    if not attrs or name in MAIN_TAGS or name == "body":
-        return False
+#: Parts of a class name that tell of a layout, not of what the container is.
+LAYOUT_WORDS = {"no", "not", "non", "has", "have", "with", "without", "hide", "hidden", "show", "is", "are", "under", "above", "below", "after", "before"}
+TAG, WORDS = "by its tag", "by its words"
+
+
+def _names_boilerplate(value: str) -> bool:
+    for word in value.split():
+        parts = re.split("[_-]+", word.strip("_-"))
+        if word in BOILER_WORDS or (parts[-1] in BOILER_WORDS and not LAYOUT_WORDS.intersection(parts)):
+            return True
+    return False
+
+
+def _boilerplate(name: str, attrs: str, in_main: bool) -> str | None:
+    """Whether a container is boilerplate: by its tag, by its words, or not."""
+    if (name in BOILER_TAGS and name != "form") or (name == "header" and not in_main):
+        return TAG
+    if name in MAIN_TAGS or name == "body":
+        return None
     if HIDDEN.search(attrs):
-        return True
+        return TAG
     for key, value in ATTR.findall(attrs):
         value, key = value.strip("\"'").lower(), key.lower()
-        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and any(w in BOILER_WORDS for w in re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        if key == "aria-hidden" and value == "true":
+            return TAG
+        if (key == "role" and value in ROLES) or (key in ("class", "id") and _names_boilerplate(value)):
+            return WORDS
+    return WORDS if name == "form" else None
+
+
+class _Containers:
+    """The open containers of a page, and a tree of those that look like boilerplate: node 0 is the page itself."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.stack: list[tuple[str, int, bool]] = []  # tag, innermost boilerplate node before it, and whether it is one itself
+        self.open: dict[str, int] = {}
+        self.node = 0
+        self.parent, self.kind, self.articles = [0], [None], [0]
+        self.main = 0
+        self.marks: dict[str, tuple[list[int], list[int]]] = {}
+
+    def enter(self, name: str, attrs: str, at: int) -> None:
+        if name in MAIN_TAGS:
+            self._end_unclosed(at)
+            self.main += 1
+            self.articles[self.node] += 1
+        kind = _boilerplate(name, attrs, self.main > 0)
+        self.stack.append((name, self.node, kind is not None))
+        self.open[name] = self.open.get(name, 0) + 1
+        if kind:
+            self.parent.append(self.node)
+            self.kind.append(kind)
+            self.articles.append(0)
+            self.node = len(self.kind) - 1
+
+    def leave(self, name: str) -> None:
+        """A closing tag ends the last container of its name and all inside; one that closes nothing is passed over."""
+        if self.open.get(name):
+            while self._pop() != name:
+                pass
+
+    def _pop(self) -> str:
+        name, self.node, _ = self.stack.pop()
+        self.open[name] -= 1
+        self.main -= name in MAIN_TAGS
+        return name
+
+    def _left(self, name: str, at: int) -> int:
+        """How many containers of this name that are open at a place the rest of the page closes."""
+        if name not in self.marks:
+            found = [(m.start(), m[0][1] == "/") for m in re.finditer(rf"</?{name}(?=[\s/>]|\Z)", self.page, re.I)]
+            self.marks[name] = ([i for i, closes in found if not closes], [i for i, closes in found if closes])
+        opens, closes = self.marks[name]
+        return (len(closes) - bisect.bisect_left(closes, at)) - (len(opens) - bisect.bisect_left(opens, at))
+
+    def _end_unclosed(self, at: int) -> None:
+        if not self.node:
+            return
+        met: dict[str, int] = {}
+        for place, (name, _, boiler) in enumerate(self.stack):
+            met[name] = met.get(name, 0) + 1
+            # the last ones opened are closed first, so what is never closed is the outermost
+            if boiler and met[name] <= self.open[name] - max(0, self._left(name, at)):
+                while len(self.stack) > place:
+                    self._pop()
+                return
+
+
+def _stands(tree: _Containers, found: list[tuple[str, int, int, bool]]) -> list[bool]:
+    """Whether each node is boilerplate, its own or that of a node around it, after what the page says against it."""
+    n = len(tree.kind)
+    size, articles = [0] * n, tree.articles[:]
+    for text, _, node, _ in found:
+        size[node] += len(text)
+    for i in range(n - 1, 0, -1):
+        size[tree.parent[i]] += size[i]
+        articles[tree.parent[i]] += articles[i]
+    good_outside = any(node == 0 and first_pass((text, linked, False, main)) == GOOD for text, linked, node, main in found)
+    out = [False] * n
+    for i in range(1, n):
+        spoken_against = articles[i] == articles[0] if articles[0] else not good_outside and 2 * size[i] > size[0]
+        out[i] = out[tree.parent[i]] or not (tree.kind[i] == WORDS and spoken_against)
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters inside links, in a boilerplate container, in an article) in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open containers, and whether boilerplate begins there
+    out: list[tuple[str, int, int, bool]] = []
+    tree = _Containers(page)
     parts: list[str] = []
-    state = {"boiler": 0, "main": 0, "linked": 0}
-    link = breaks = 0
+    linked = link = breaks = 0
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, state["linked"], state["boiler"] > 0, state["main"] > 0 and not state["boiler"]))
+            out.append((text, linked, tree.node, tree.main > 0))
         parts.clear()
-        state["linked"] = 0
-
-    def leave(entry: tuple[str, bool]) -> None:
-        state["boiler"] -= entry[1]
-        state["main"] -= entry[0] in MAIN_TAGS
+        linked = 0
 
     def say(raw: str) -> None:
+        nonlocal linked
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if link:
-            state["linked"] += len(text.strip())
+            linked += len(text.strip())
 
     at, end = 0, len(page)
     while at < end:
@@ -125,18 +219,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             flush()
             link = breaks = 0
             if name in CONTAINERS:
-                if closing:
-                    if any(x[0] == name for x in stack):
-                        while (top := stack.pop())[0] != name:
-                            leave(top)
-                        leave(top)
-                else:
-                    entry = (name, _boilerplate(name, attrs, state["main"] > 0))
-                    stack.append(entry)
-                    state["boiler"] += entry[1]
-                    state["main"] += name in MAIN_TAGS
+                tree.leave(name) if closing else tree.enter(name, attrs, at)
     flush()
-    return out
+    boiler = _stands(tree, out)
+    return [(text, linked, boiler[node], main and not boiler[node]) for text, linked, node, main in out]
 
 
 def first_pass(block: tuple[str, int, bool, bool]) -> int:

@@ -283,3 +283,33 @@ def test_chats(spark):
         assert [r.role for r in got[c].runs] == runs
         assert got[c].formatted.count("### ") == len(runs) and got[c].formatted.count("</turn>") == len(rows)
     assert chat_format.format_chats(frame.limit(0)).count() == 0
+
+
+STORY = " ".join(["This is the story that the page was made for, and it is long enough to be read as one."] * 4)
+AD = " ".join(["Buy it now from us and get the second one for free, this is an offer that ends at the end of the day."] * 3)
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="page no-sidebar"><article><p>{}</p></article></div>', '<div class="has-menu"><article><p>{}</p></article></div>', '<div class="content search-results"><p>{}</p></div>',
+    '<div class="post share-buttons-on"><p>{}</p></div>', '<form id="aspnet"><div><article><p>{}</p></article></div></form>', "<nav><a href=x>Home</a><article><p>{}</p></article>",
+    '<form id="aspnet"><p>{}</p></form>', '<div class="modal"><article><p>{}</p></article></div>', '<div id="sidebar"><p>{}</p></div>', "<nav><ul><li><a href=x>Home</a><main><p>{}</p></main>",
+])
+def test_html_loses_no_main_text(page):
+    assert html_extract.main_text(f"<html><body>{page.format(STORY)}<footer>Imprint</footer></body></html>") == STORY
+
+
+@pytest.mark.parametrize("other", [
+    '<div class="site-footer"><p>{}</p></div>', '<div class="ad"><p>{}</p></div>', '<section class="comments"><article><p>{}</p></article></section>', '<div class="cookie-banner x"><p>{}</p></div>',
+    "<aside><article><p>{}</p></article></aside>", '<form class="a"><p>{}</p></form>', '<div role="complementary"><p>{}</p></div>', '<div id="main_nav"><p>{}</p></div>', "<nav><p>{}</p></nav>", '<div hidden><p>{}</p></div>',
+])
+def test_html_leaves_out_what_is_no_article(other):
+    for page in ("<article><p>{}</p></article>" + other, other + "<article><p>{}</p></article>"):
+        texts = [STORY, AD] if page.startswith("<article>") else [AD, STORY]
+        assert html_extract.main_text(page.format(*texts)) == STORY
+
+
+def test_html_stray_and_unclosed_tags_take_linear_time():
+    started = time.monotonic()
+    assert html_extract.main_text("<div>" * 60_000 + "</section>" * 60_000 + f"<p>{STORY}") == STORY
+    assert html_extract.main_text('<div class="ad">' * 20_000 + "<nav>" * 20_000 + "<article>" * 200 + f"<p>{STORY}") == STORY
+    assert time.monotonic() - started < 5
