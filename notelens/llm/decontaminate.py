@@ -234,31 +234,27 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def align(item: np.ndarray, text: np.ndarray, k: int, low: int = 0, width: int | None = None) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of a text nearest to an item, if within k edits, over ``width`` diagonals from
-    ``low`` on: fewest edits, then earliest end, then latest start. Row after row of the item, each cell stands for a
-    diagonal: the text position less the place in the item."""
+    ``low`` on: fewest edits, then earliest start, then earliest end. Row after row of the item, each cell stands for a
+    diagonal, the text position less the place in the item, and holds edits and start in one number, so that the least
+    number is the best of both."""
     n, m = len(text), len(item)
     width = n + m + 1 if width is None else width
-    steps = np.arange(width)
-    far = m + n + 1
+    steps, edit = np.arange(width), width + 1
+    far = (m + n + 1) * edit
     padded = np.concatenate([np.full(max(0, -low), 0xFFFFFFFF, np.uint32), text[max(0, low) :], np.full(max(0, low + width + m - n), 0xFFFFFFFF, np.uint32)])
-    cost = np.where((steps + low >= 0) & (steps + low <= n), 0, far)
-    start = steps + low
+    best = np.where((steps + low >= 0) & (steps + low <= n), steps, far)
     for i, c in enumerate(item.tolist(), 1):
-        across = cost + (padded[i - 1 : i - 1 + width] != c)
-        down = np.append(cost[1:] + 1, far)  # a place of the item is left out
-        better = across < down
-        new, origin = np.where(better, across, down), np.where(better, start, np.append(start[1:], 0))
+        across = best + (padded[i - 1 : i - 1 + width] != c) * edit
+        down = np.append(best[1:] + edit, far)  # a place of the item is left out
         inside = (steps + low + i >= 0) & (steps + low + i <= n)
-        new[~inside] = far
-        # a run of insertions: new[j] = min over l <= j of new[l] + j - l
-        shifted = new - steps
-        lowest = np.minimum.accumulate(shifted)
-        source = np.maximum.accumulate(np.where(shifted == lowest, steps, 0))
-        cost, start = np.where(inside, lowest + steps, far), origin[source]
-        if cost.min() > k:
+        new = np.where(inside, np.minimum(across, down), far)
+        # a run of insertions: new[j] = min over l <= j of new[l] + j - l edits
+        best = np.where(inside, np.minimum.accumulate(new - steps * edit) + steps * edit, far)
+        if best.min() // edit > k:
             return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(start[end]), end + low + m) if cost[end] <= k else None
+    end = int(np.argmin(best))
+    edits, start = divmod(int(best[end]), edit)
+    return (edits, start + low, end + low + m) if edits <= k else None
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:

@@ -313,3 +313,55 @@ def test_html_stray_and_unclosed_tags_take_linear_time():
     assert html_extract.main_text("<div>" * 60_000 + "</section>" * 60_000 + f"<p>{STORY}") == STORY
     assert html_extract.main_text('<div class="ad">' * 20_000 + "<nav>" * 20_000 + "<article>" * 200 + f"<p>{STORY}") == STORY
     assert time.monotonic() - started < 5
+
+
+def nearest_parts(item, text, k):
+    """(edits, start, end) for every start by the full table: the least of them, by edits, start and end."""
+    best = None
+    for start in range(len(text) + 1):
+        row = list(range(len(item) + 1))  # row[j]: distance of item[:j] to text[start:end]
+        for end in range(start, len(text) + 1):
+            if end > start:
+                new = [end - start]
+                for j, c in enumerate(item, 1):
+                    new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != text[end - 1])))
+                row = new
+            if row[-1] <= k and (best is None or (row[-1], start, end) < best):
+                best = (row[-1], start, end)
+    return best
+
+
+def test_alignment_of_ties_is_earliest():
+    code = lambda t: decontaminate.codes(t)
+    assert decontaminate.align(code("abcdef"), code("zzzzz?bcdefzz"), 1) == (1, 5, 11)
+    rng = random.Random(4)
+    for _ in range(150):
+        item = "".join(rng.choice("ab") for _ in range(rng.randint(4, 9)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 24)))
+        for k in (0, 1, 2):
+            assert decontaminate.align(code(item), code(text), k, -k, len(text) + len(item) + 1 + k) == nearest_parts(item, text, k), (item, text, k)
+
+
+def test_contamination_spans_of_ties(spark):
+    """Items with edits, several times in a text, some across windows: the span is the earliest of the fewest edits."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(6)]
+
+    def bent(t):
+        at = rng.randrange(len(t))
+        return rng.choice([t[:at] + "?" + t[at + 1 :], t[:at] + t[at + 1 :], t[:at] + "?" + t[at:], t, "?" + t[1:]])
+
+    docs = []
+    for d in range(12):
+        _, t = items[d % 6]
+        docs.append((d, " ".join([word() for _ in range(rng.randint(0, 9))] + [bent(t)] + [word() for _ in range(5)] + [bent(bent(t))])))
+    docs += [(None, docs[0][1]), (77, docs[0][1]), (78, "")]
+    got = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in decontaminate.find_contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in docs:
+        for i, t in items:
+            k = max(0, min(int(len(t) * decontaminate.RATE), (len(t) - decontaminate.Q) // decontaminate.Q))
+            if found := nearest_parts(t, text, k):
+                want[d, i] = found
+    assert got == want and len(want) >= 13
