@@ -9,7 +9,8 @@ from notelens.functions.text import tokenize
 from notelens.operators import postings
 from notelens.operators import search as S
 from notelens.plans import adapters
-from notelens.sources.tables import table
+from notelens.sources import note_files
+from notelens.sources.tables import shared_dir, table
 
 QUERY = "annt reed oure anst"
 CONCEPTS = (S.Concept("alpha", ("annt", "heat", "reor anor")), S.Concept("beta", ("reed oure", "innd")), S.Concept("gamma", ("zebra", "lion")))
@@ -117,6 +118,14 @@ def notes_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.snippet(found, S.query_tokens(CHAT_QUERY)).select("path", F.col("line").cast("long").alias("line"), "heading", F.col("hits").cast("long").alias("hits"), "snippet")
 
 
+def note_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7: conversations written as note files, and their metadata by type from the first chunks of the files."""
+    folder = shared_dir(spark, "vault")
+    note_files.write_notes(adapters.chat_files(spark, sf_dir), folder)
+    known = note_files.head_metadata(note_files.read_heads(spark, folder, chunk=512))
+    return known.groupBy("type").agg(F.count("*").alias("notes"), F.sum("size").alias("bytes"), F.sum("bytes_read").alias("bytes_read"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
@@ -188,6 +197,11 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits > 0 DESC
 SELECT b.doc_id AS path, CAST(6 + b.start + b.i AS BIGINT) AS line, b.heading, CAST(b.hits AS BIGINT) AS hits, CASE WHEN length(w.text) > 480 THEN rtrim(substr(w.text, 1, 479)) || '…' ELSE coalesce(w.text, '') END AS snippet
 FROM best b LEFT JOIN (SELECT b.doc_id, trim(regexp_replace(string_agg(n.line, ' ' ORDER BY n.i), '\\s+', ' ', 'g')) AS text FROM best b JOIN ln n ON n.doc_id = b.doc_id AND abs(n.i - b.i) <= 1 AND n.i > 0 AND n.line <> '' WHERE b.k = 1 GROUP BY b.doc_id) w ON w.doc_id = b.doc_id
 WHERE b.k = 1""",
+    "note_heads": """
+WITH turns AS (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS guided, sum(5 + octet_length(encode(coalesce(role, ''))) + length(CAST(turn AS VARCHAR)) + 1 + octet_length(encode(coalesce(text, '')))) AS said FROM conversations GROUP BY conv_id),
+files AS (SELECT CASE WHEN guided THEN 'guided' ELSE 'open' END AS type, DATE '2024-01-01' + CAST(conv_id % 300 AS INT) AS date,
+  length('---' || chr(10) || 'type: ' || CASE WHEN guided THEN 'guided' ELSE 'open' END || chr(10) || 'date: 2024-01-01' || chr(10) || 'tags: [chat, turns-' || n || ']' || chr(10) || '---' || chr(10) || '# Conversation ' || conv_id || chr(10)) + said AS size FROM turns)
+SELECT type, count(*) AS notes, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(least(size, 512)) AS BIGINT) AS bytes_read, min(date) AS first_date, max(date) AS last_date FROM files GROUP BY type""",
     "search_filtered_tally": """
 SELECT reason, count(*) AS excluded FROM (SELECT CASE WHEN lang NOT IN ('en', 'de') THEN 'type' WHEN source NOT IN ('src1', 'src2') AND lang NOT IN ('src1', 'src2') THEN 'tag' END AS reason FROM documents)
 WHERE reason IS NOT NULL GROUP BY reason""",
@@ -227,5 +241,5 @@ FROM (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR
 
 
 def queries() -> dict:
-    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet)
+    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet, note_heads)
     return {f.__name__: f for f in found}
