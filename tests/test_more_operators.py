@@ -38,3 +38,8 @@ def test_duplicate_project_notes_name_the_first_paths(spark):
     notes = spark.createDataFrame([(f"p{i:02d}.md", "30-Projects", "one") for i in range(30)] + [("q.md", "30-Projects", "two")], "path string, entity_folder string, instance string")
     row = audit.duplicate_project_notes(notes, listed=3).collect()
     assert [(r.path, r.message, r.severity) for r in row] == [("30-Projects/one", "30 notes: p00.md, p01.md, p02.md", "defect")]
+
+
+def test_clauses_end_before_a_conjunction_that_follows_a_sign(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(receipts.clauses(F.lit("Saved it；但是 not the note. Yet 2.5 holds, however: a！b"))) == ["saved it；", "not the note.", "2.5 holds,", ": a！", "b"]
