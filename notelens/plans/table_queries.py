@@ -513,7 +513,7 @@ SQL["cold_captures"] = _CAPTURES + "SELECT o_orderkey, type, date_diff('day', to
 SQL["capture_revisit_rates"] = _CAPTURES + "SELECT coalesce(type, 'all') AS type, count(*) AS captures, count(*) FILTER (cold) AS never_reopened, round(1 - count(*) FILTER (cold) / count(*), 3) AS revisit_rate FROM c GROUP BY ROLLUP (type)"
 _QUEUE = SQL["project_queue"].replace("SELECT * FROM q ORDER BY priority, coalesce(age_days, -1) DESC, ranking_tasks DESC, o_orderkey LIMIT 20", "")
 SQL["project_reasons"] = _QUEUE + "SELECT priority, status, count(*) AS projects, CAST(sum(ranking_tasks) AS BIGINT) AS tasks, max(age_days) AS oldest FROM q GROUP BY ALL"
-_DENIED = " OR ".join([f"regexp_matches(c, '{receipts.NEGATION.replace(chr(39), chr(39) * 2)}')", *(f"contains(c, '{m.replace(chr(39), chr(39) * 2)}')" for m in receipts.NEGATION_MARKERS)])
+_DENIED = " OR ".join([f"regexp_matches(c, '{receipts.denial().replace(chr(39), chr(39) * 2)}')", *(f"contains(c, '{m.replace(chr(39), chr(39) * 2)}')" for m in receipts.NEGATION_MARKERS)])
 SQL["declared_outcome"] = rf"""
 WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(\.)\s+', '\1' || chr(1), 'g'), '([!?;。！？；，、])\s*', '\1' || chr(1), 'g'), '\b(?:but|however|yet)\b|但是|但|然而|不过', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
 c AS (SELECT conv_id, turn, list_filter(parts, lambda c: regexp_matches(c, '(?:^|\s)(?:die|the|que)(?:\s|$)') AND NOT ({_DENIED})) AS said FROM p),
