@@ -70,14 +70,18 @@ def log_cap(log: DataFrame, keep: int = 30) -> DataFrame:
     return log.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).drop("place")
 
 
-def spoken_section(due: Column, done: Column, today: Column) -> Column:
-    """QRY-15: where an item belongs on the day."""
-    return F.when(done, "done").when(due.isNull(), "someday").when(due < today, "overdue").when(due == today, "today").otherwise("upcoming")
+def spoken_section(due: Column, today: Column) -> Column:
+    """QRY-15: the section of a board that an open item belongs to on the day."""
+    from notelens.operators.boards import OPEN
+
+    return F.when(due.isNull(), OPEN[2]).when(due <= today, OPEN[0]).otherwise(OPEN[1])
 
 
 def board_view(items: DataFrame, today: str) -> DataFrame:
     """QRY-14: items(id, section, due, done) with the section they belong to and whether they stand elsewhere."""
-    spoken = spoken_section(F.col("due"), F.col("done"), F.lit(today).cast("date"))
+    from notelens.operators.boards import SECTIONS
+
+    spoken = F.when(F.col("done"), SECTIONS[4]).otherwise(spoken_section(F.col("due"), F.lit(today).cast("date")))
     return items.withColumn("spoken", spoken).withColumn("misplaced", F.col("section") != F.col("spoken"))
 
 
@@ -95,6 +99,32 @@ def board_fold(events: DataFrame) -> DataFrame:
     ).select("board", "item", F.col("last.action").alias("last_action"), F.when(F.col("last.action") == "tick", "done").when(F.col("last.action") == "cancel", "cancelled").otherwise("open").alias("state"), "duplicates", "no_match")
 
 
+def board_log(actions: DataFrame) -> DataFrame:
+    """QRY-15, QRY-16, JN-18 over a whole table of actions(board, item, at, seq, action, due) with actions capture, reschedule,
+    tick and cancel: board, item, at, seq, action, code, section and mark of each, and a row "rebucket" where an open row
+    comes to its day before anything else happens to it, or before the last action of the table. The exact text is the key: a capture of an open one is
+    board-duplicate, anything else on one that is not open board-no-match. A row is open if the last action on it other
+    than a reschedule was a capture, refused or not, so no fold is needed. Days are those of UTC."""
+    from notelens.operators.boards import CANCELLED, OPEN, SECTIONS, TICKED
+
+    order = Window.partitionBy("board", "item").orderBy("at", "seq")
+    turning = F.last(F.when(F.col("action") != "reschedule", F.col("action")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.coalesce(turning == "capture", F.lit(False))
+    code = F.when((F.col("action") == "capture") & opened, "board-duplicate").when((F.col("action") != "capture") & ~opened, "board-no-match").otherwise("ok")
+    day = F.floor(F.unix_millis("at") / 86_400_000)
+    spoken = F.when(F.col("due").isNull(), OPEN[2]).when(F.unix_date("due") <= day, OPEN[0]).otherwise(OPEN[1])
+    placing = F.col("action").isin("capture", "reschedule")
+    section = F.when(F.col("code") == "ok", F.when(placing, spoken).otherwise(SECTIONS[4]))
+    mark = F.when(F.col("code") == "ok", F.when(F.col("action") == "tick", TICKED).when(F.col("action") == "cancel", CANCELLED))
+    judged = actions.withColumn("code", code).withColumns({"section": section, "mark": mark})
+    taken = judged.filter("code = 'ok'").withColumn("_next", F.lead("at").over(order))
+    end = actions.agg(F.max("at").alias("_end"))  # one row
+    moved = taken.filter(placing & (F.col("section") == OPEN[1])).crossJoin(F.broadcast(end))
+    moved = moved.withColumn("_day", F.timestamp_millis(F.unix_date("due").cast("long") * 86_400_000)).filter(F.coalesce(F.col("_day") <= F.col("_next"), F.col("_day") < F.col("_end")))
+    moved = moved.select("board", "item", F.col("_day").alias("at"), F.lit(None).cast("long").alias("seq"), F.lit("rebucket").alias("action"), F.lit("ok").alias("code"), F.lit(OPEN[0]).alias("section"), F.lit(None).cast("string").alias("mark"))
+    return judged.select("board", "item", "at", "seq", "action", "code", "section", "mark").unionByName(moved)
+
+
 def budget_skip(folders: list[tuple[str, int]], budget: int) -> list[str]:
     """WIN-7: folders in order, each taken if its cost still fits; a costly one is passed over, not the end."""
     taken = []

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelens.functions.text import normal_name, note_date, tag_key
-from notelens.operators import corpus, links, receipts, resume, reviews, search, workflow
+from notelens.operators import boards, corpus, links, receipts, resume, reviews, search, workflow
 from notelens.plans import adapters
 from notelens.sources.config import load_views
-from notelens.sources.tables import table
+from notelens.sources.tables import shared_dir, table
+from notelens.streaming import board
 
 AS_OF = adapters.AS_OF
 
@@ -236,10 +237,40 @@ def board_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def board_spoken_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-16: orders as dated items; where they stand and where they belong."""
-    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority").startswith("1"), "overdue").when(F.col("o_orderpriority").startswith("2"), "today").otherwise("upcoming").alias("section"), F.when(F.col("o_orderkey") % 11 != 0, F.to_date("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("done"))
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority").startswith("1"), boards.OPEN[0]).when(F.col("o_orderpriority").startswith("2"), boards.OPEN[1]).otherwise(boards.OPEN[2]).alias("section"), F.when(F.col("o_orderkey") % 11 != 0, F.to_date("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("done"))
     return workflow.board_view(items, "1998-06-01").groupBy("spoken").agg(F.count(F.lit(1)).alias("items"), F.count_if("misplaced").alias("misplaced"))
 
 
+def _board_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as actions on rows of boards: user 10 x board + row, due some days on."""
+    action = F.lit("reschedule")
+    for kind, name in ACTIONS.items():
+        action = F.when(F.col("event_type") == kind, name).otherwise(action)
+    k = F.get_json_object("props", "$.k").cast("int")
+    at = F.timestamp_millis(F.floor(F.expr("unix_micros(CAST(CAST(ts AS STRING) || 'Z' AS TIMESTAMP))") / 1000))
+    due = F.when(k % 7 != 0, F.date_add(F.to_date("ts"), k % 5))
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).alias("board"), F.concat(F.lit("row "), F.col("user_id").cast("string")).alias("item"), at.alias("at"), F.col("event_id").alias("seq"), action.alias("action"), due.alias("due"))
+
+
+BOARD_LOG = ("board", "item", "at_ms", "seq", "action", "code", "section", "mark")
+
+
+def board_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-16 over the whole table: what becomes of every action, and every move to today's section."""
+    return workflow.board_log(_board_actions(spark, sf_dir)).withColumn("at_ms", F.unix_millis("at")).select(*BOARD_LOG)
+
+
+def board_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream: actions in two parts, with a new start from the checkpoint between them."""
+    actions = _board_actions(spark, sf_dir)
+    folder, out, state = (shared_dir(spark, f"board-{n}") for n in ("in", "out", "state"))
+    middle = actions.agg(F.median(F.unix_millis("at")).cast("long").alias("m")).first().m or 0
+    for part in (F.unix_millis("at") <= middle, F.unix_millis("at") > middle):
+        actions.filter(part).write.mode("append").parquet(folder)
+        board.follow_boards(spark, spark.readStream.schema(actions.schema).parquet(folder), out, state)
+    return spark.read.parquet(out).select(*BOARD_LOG)
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamic metadata: one field of the JSON of each event."""
     meta = F.try_parse_json("props")
@@ -441,9 +472,10 @@ j AS (SELECT *, lag(action) OVER (PARTITION BY item ORDER BY ts, event_id) AS pr
 g AS (SELECT board, item, arg_max(action, struct_pack(ts := ts, e := event_id)) AS last_action, count(*) FILTER (action = 'capture' AND prev IN ('capture', 'reschedule')) AS duplicates, count(*) FILTER (action <> 'capture' AND caps = 0) AS no_match FROM j GROUP BY ALL)
 SELECT board, item, last_action, CASE last_action WHEN 'tick' THEN 'done' WHEN 'cancel' THEN 'cancelled' ELSE 'open' END AS state, duplicates, no_match FROM g""",
     "board_spoken_sections": """
-WITH i AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'overdue' WHEN o_orderpriority LIKE '2%' THEN 'today' ELSE 'upcoming' END AS section, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS due, o_orderstatus = 'F' AS done FROM orders),
-s AS (SELECT *, CASE WHEN done THEN 'done' WHEN due IS NULL THEN 'someday' WHEN due < DATE '1998-06-01' THEN 'overdue' WHEN due = DATE '1998-06-01' THEN 'today' ELSE 'upcoming' END AS spoken FROM i)
-SELECT spoken, count(*) AS items, count(*) FILTER (section <> spoken) AS misplaced FROM s GROUP BY spoken""",
+WITH i AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN '今天' WHEN o_orderpriority LIKE '2%' THEN '之后' ELSE '没定日子' END AS section, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS due, o_orderstatus = 'F' AS done FROM orders),
+s AS (SELECT *, CASE WHEN done THEN '已完成' WHEN due IS NULL THEN '没定日子' WHEN due <= DATE '1998-06-01' THEN '今天' ELSE '之后' END AS spoken FROM i)
+SELECT spoken, count(*) AS items, count(*) FILTER (section <> spoken) AS misplaced FROM s GROUP BY spoken
+""",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, count(DISTINCT k) AS distinct_k FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "project_queue": """
 WITH p AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'blocked' WHEN 'F' THEN 'closed' ELSE 'active' END AS status, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS activity FROM orders),
@@ -519,6 +551,16 @@ WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_
 c AS (SELECT conv_id, turn, list_filter(parts, lambda c: regexp_matches(c, '(?:^|\s)(?:die|the|que)(?:\s|$)') AND NOT ({_DENIED})) AS said FROM p),
 o AS (SELECT conv_id, regexp_extract(coalesce(said[-1], ''), '.*(?:^|\s)(die|the|que)(?:\s|$)', 1) AS outcome FROM c)
 SELECT outcome, count(*) AS messages, count(DISTINCT conv_id) AS conversations FROM o WHERE outcome <> '' GROUP BY outcome"""
+_KINDS = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in ACTIONS.items())
+SQL["board_log"] = SQL["board_stream"] = f"""
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+a AS (SELECT user_id // 10 AS board, 'row ' || user_id AS item, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, CASE event_type {_KINDS} ELSE 'reschedule' END AS action, CASE WHEN k % 7 <> 0 THEN CAST(ts AS DATE) + k % 5 END AS due FROM e),
+o AS (SELECT *, coalesce(last_value(CASE WHEN action <> 'reschedule' THEN action END IGNORE NULLS) OVER (PARTITION BY board, item ORDER BY at_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'capture', false) AS opened FROM a),
+c AS (SELECT *, CASE WHEN action = 'capture' AND opened THEN 'board-duplicate' WHEN action <> 'capture' AND NOT opened THEN 'board-no-match' ELSE 'ok' END AS code,
+  CASE WHEN action IN ('tick', 'cancel') THEN '已完成' WHEN due IS NULL THEN '没定日子' WHEN due <= CAST(epoch_ms(at_ms) AS DATE) THEN '今天' ELSE '之后' END AS place FROM o),
+t AS (SELECT *, lead(at_ms) OVER (PARTITION BY board, item ORDER BY at_ms, seq) AS next_ms, epoch_ms(CAST(due AS TIMESTAMP)) AS day_ms FROM c WHERE code = 'ok')
+SELECT CAST(board AS BIGINT) AS board, item, at_ms, seq, action, code, CASE WHEN code = 'ok' THEN place END AS section, CASE WHEN code = 'ok' AND action = 'tick' THEN '勾掉' WHEN code = 'ok' AND action = 'cancel' THEN '取消' END AS mark FROM c
+UNION ALL SELECT CAST(board AS BIGINT), item, day_ms, NULL, 'rebucket', 'ok', '今天', NULL FROM t WHERE place = '之后' AND coalesce(day_ms <= next_ms, day_ms < (SELECT max(at_ms) FROM a))"""
 _AUDIT = """
 WITH n AS (SELECT d.doc_id, lang, source, split_part(text, chr(10), 1) AS title, text, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
 f AS (SELECT doc_id, 'missing-type' AS code, 'defect' AS severity FROM n WHERE lang IS NULL OR lang = ''
@@ -571,7 +613,7 @@ def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
-        board_fold, board_spoken_sections, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
+        board_fold, board_spoken_sections, board_log, board_stream, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )
     return {f.__name__: f for f in found}
