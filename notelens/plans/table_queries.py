@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelens.functions.text import normal_name, note_date, tag_key
@@ -10,7 +10,7 @@ from notelens.operators import boards, corpus, links, receipts, resume, reviews,
 from notelens.plans import adapters
 from notelens.sources.config import load_views
 from notelens.sources.tables import shared_dir, table
-from notelens.streaming import board
+from notelens.streaming import board, staging
 
 AS_OF = adapters.AS_OF
 
@@ -264,13 +264,39 @@ def board_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream: actions in two parts, with a new start from the checkpoint between them."""
     actions = _board_actions(spark, sf_dir)
     folder, out, state = (shared_dir(spark, f"board-{n}") for n in ("in", "out", "state"))
-    middle = actions.agg(F.median(F.unix_millis("at")).cast("long").alias("m")).first().m or 0
+    middle = actions.agg(F.percentile_approx(F.unix_millis("at"), 0.5).alias("m")).first().m or 0
     for part in (F.unix_millis("at") <= middle, F.unix_millis("at") > middle):
         actions.filter(part).write.mode("append").parquet(folder)
         board.follow_boards(spark, spark.readStream.schema(actions.schema).parquet(folder), out, state)
     return spark.read.parquet(out).select(*BOARD_LOG)
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests to stores of fifty users: signups and clicks stage a content of the user, the rest loads one; some
+    ask for another type, title or vault, some by no hash."""
+    k, user = F.get_json_object("props", "$.k").cast("int"), F.col("user_id")
+    staging_now = F.col("event_type").isin("signup", "click")
+    at = F.timestamp_millis(F.floor(F.expr("unix_micros(CAST(CAST(ts AS STRING) || 'Z' AS TIMESTAMP))") / 1000))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return table(spark, sf_dir, "events").select(
+        F.floor(user / 50).alias("store"), at.alias("at"), F.col("event_id").alias("seq"), F.when(staging_now, "stage").otherwise("load").alias("kind"),
+        F.when(k % 17 == 0, "no hash").otherwise(F.sha2(text(user.cast("string"), "-", (k % 2).cast("string")), 256)).alias("sha256"),
+        F.when(~staging_now & (k % 13 == 0), "elsewhere").otherwise("vault").alias("vault"), text("type ", (F.col("event_id") % 2).cast("string")).alias("type"),
+        F.when(~staging_now & (k % 11 == 0), "other").otherwise(text("user ", user.cast("string"))).alias("title"), (400_000 + 100_000 * (user % 5)).alias("bytes"),
+    )
+
+
+def staged_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-5 and MSC-11: the answer to every request, with a new start from the checkpoint in between."""
+    asked = _requests(spark, sf_dir)
+    folder, out, state = (shared_dir(spark, f"staged-{n}") for n in ("in", "out", "state"))
+    middle = asked.agg(F.percentile_approx(F.unix_millis("at"), 0.5).alias("m")).first().m or 0
+    for part in (F.unix_millis("at") <= middle, F.unix_millis("at") > middle):
+        asked.filter(part).write.mode("append").parquet(folder)
+        staging.follow_requests(spark, spark.readStream.schema(asked.schema).parquet(folder), out, state)
+    return spark.read.parquet(out)
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamic metadata: one field of the JSON of each event."""
     meta = F.try_parse_json("props")
@@ -561,6 +587,20 @@ c AS (SELECT *, CASE WHEN action = 'capture' AND opened THEN 'board-duplicate' W
 t AS (SELECT *, lead(at_ms) OVER (PARTITION BY board, item ORDER BY at_ms, seq) AS next_ms, epoch_ms(CAST(due AS TIMESTAMP)) AS day_ms FROM c WHERE code = 'ok')
 SELECT CAST(board AS BIGINT) AS board, item, at_ms, seq, action, code, CASE WHEN code = 'ok' THEN place END AS section, CASE WHEN code = 'ok' AND action = 'tick' THEN '勾掉' WHEN code = 'ok' AND action = 'cancel' THEN '取消' END AS mark FROM c
 UNION ALL SELECT CAST(board AS BIGINT), item, day_ms, NULL, 'rebucket', 'ok', '今天', NULL FROM t WHERE place = '之后' AND coalesce(day_ms <= next_ms, day_ms < (SELECT max(at_ms) FROM a))"""
+SQL["staged_content"] = """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type IN ('signup', 'click') AS st FROM events),
+r AS (SELECT user_id // 50 AS store, epoch_us(ts) // 1000 AS at_ms, event_id AS seq, CASE WHEN st THEN 'stage' ELSE 'load' END AS kind, CASE WHEN k % 17 = 0 THEN 'no hash' ELSE sha256(user_id || '-' || (k % 2)) END AS sha256,
+  CASE WHEN NOT st AND k % 13 = 0 THEN 'elsewhere' ELSE 'vault' END AS vault, 'type ' || (event_id % 2) AS type, CASE WHEN NOT st AND k % 11 = 0 THEN 'other' ELSE 'user ' || user_id END AS title, 400000 + 100000 * (user_id % 5) AS bytes, at_ms * 1000000 + event_id AS pos FROM e),
+s AS (SELECT *, lead(pos) OVER (PARTITION BY store, sha256 ORDER BY pos) AS next_pos FROM r WHERE kind = 'stage' AND sha256 <> 'no hash'),
+l AS (SELECT r.*, (SELECT max(pos) FROM s WHERE s.store = r.store AND s.pos < r.pos) AS last_pos FROM r WHERE kind = 'load'),
+found AS (SELECT l.*, s.pos AS s_pos, s.at_ms AS s_at, s.seq AS s_seq, s.vault AS s_vault, s.type AS s_type, s.title AS s_title, s.bytes AS s_bytes FROM l LEFT JOIN s ON s.store = l.store AND s.sha256 = l.sha256 AND s.pos < l.pos AND (s.next_pos IS NULL OR s.next_pos > l.pos)),
+newer AS (SELECT f.pos, count(n.pos) AS n, coalesce(sum(n.bytes), 0) AS bytes FROM found f LEFT JOIN s n ON n.store = f.store AND n.pos > f.s_pos AND n.pos <= f.last_pos AND (n.next_pos IS NULL OR n.next_pos > f.last_pos) WHERE f.s_pos IS NOT NULL GROUP BY f.pos),
+kept AS (SELECT f.*, f.s_pos IS NOT NULL AND f.last_pos // 1000000 - f.s_at <= 86400000 AND w.n < 64 AND w.bytes + f.s_bytes <= 33554432 AS there FROM found f LEFT JOIN newer w USING (pos)),
+c AS (SELECT *, CASE WHEN sha256 = 'no hash' THEN 'invalid-preflight-reference' WHEN NOT coalesce(there, false) THEN 'unknown-preflight-content' WHEN s_vault <> vault THEN 'preflight-vault-mismatch' WHEN s_type <> type OR s_title <> title THEN 'preflight-context-mismatch' ELSE 'ok' END AS code FROM kept)
+SELECT CAST(store AS BIGINT) AS store, at_ms, seq, kind, sha256, code, CASE code WHEN 'unknown-preflight-content' THEN 'sha256' WHEN 'preflight-vault-mismatch' THEN 'vault'
+  WHEN 'preflight-context-mismatch' THEN array_to_string(list_filter([CASE WHEN s_type <> type THEN 'type' END, CASE WHEN s_title <> title THEN 'title' END], lambda x: x IS NOT NULL), ',') END AS differs,
+  CASE WHEN code NOT IN ('invalid-preflight-reference', 'unknown-preflight-content') THEN s_seq END AS staged_seq FROM c
+UNION ALL SELECT CAST(store AS BIGINT), at_ms, seq, kind, sha256, CASE WHEN sha256 = 'no hash' THEN 'not-staged' ELSE 'staged' END, NULL, CASE WHEN sha256 <> 'no hash' THEN seq END FROM r WHERE kind = 'stage'"""
 _AUDIT = """
 WITH n AS (SELECT d.doc_id, lang, source, split_part(text, chr(10), 1) AS title, text, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
 f AS (SELECT doc_id, 'missing-type' AS code, 'defect' AS severity FROM n WHERE lang IS NULL OR lang = ''
@@ -613,7 +653,7 @@ def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
-        board_fold, board_spoken_sections, board_log, board_stream, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
+        board_fold, board_spoken_sections, board_log, board_stream, staged_content, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )
     return {f.__name__: f for f in found}
