@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelens.functions.text import normal_name, note_date, tag_key
-from notelens.operators import boards, corpus, links, receipts, resume, reviews, search, workflow
+from notelens.operators import boards, corpus, folders, links, receipts, resume, reviews, search, workflow
 from notelens.plans import adapters
 from notelens.sources.config import load_views
 from notelens.sources.tables import shared_dir, table
@@ -297,6 +297,37 @@ def staged_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+INDEX_CONFIGS = {
+    "own names": folders.IndexConfig(enabled=True, graph_overwrite=True, exclude_folders=("Brand#3",), exclude_patterns=("*/blue",)),
+    "one name": folders.IndexConfig(enabled=True, graph_overwrite=True, user_specified=True, index_filename="INDEX"),
+}
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as notes in folders of brand, type and the first word of the name; of three in four folders an index note is
+    there, under the folder's name, as INDEX.md, or both, by a digest of the folder."""
+    parts = table(spark, sf_dir, "part")
+    folder = F.concat_ws("/", "p_brand", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1)))
+    notes = parts.select(F.concat(folder, F.lit("/part-"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), F.lit(False).alias("declares"))
+    each = parts.select(F.explode(F.array(F.col("p_brand"), F.concat_ws("/", "p_brand", "p_type"), folder)).alias("f")).distinct()
+    digit = F.conv(F.substring(F.md5("f"), 1, 1), 16, 10).cast("int")
+    own = F.when(digit.between(4, 12) | (digit == 15), F.concat("f", F.lit("/"), F.element_at(F.split("f", "/"), -1), F.lit(".md")))
+    plain = F.when(digit >= 13, F.concat("f", F.lit("/INDEX.md")))
+    return notes.unionByName(each.select(F.explode(F.array_compact(F.array(own, plain))).alias("path"), F.lit(True).alias("declares")))
+
+
+def folder_graph_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder-index codes of parts as a vault, under two configurations of the plugin."""
+    files = _part_files(spark, sf_dir)
+    found = [folders.index_findings(files, config).withColumn("config", F.lit(name)) for name, config in INDEX_CONFIGS.items()]
+    return found[0].unionByName(found[1])
+
+
+def folder_graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each folder, whether the graph leads to it from the root, and where it breaks."""
+    return folders.graph_reach(_part_files(spark, sf_dir), INDEX_CONFIGS["own names"])
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamic metadata: one field of the JSON of each event."""
     meta = F.try_parse_json("props")
@@ -601,6 +632,28 @@ SELECT CAST(store AS BIGINT) AS store, at_ms, seq, kind, sha256, code, CASE code
   WHEN 'preflight-context-mismatch' THEN array_to_string(list_filter([CASE WHEN s_type <> type THEN 'type' END, CASE WHEN s_title <> title THEN 'title' END], lambda x: x IS NOT NULL), ',') END AS differs,
   CASE WHEN code NOT IN ('invalid-preflight-reference', 'unknown-preflight-content') THEN s_seq END AS staged_seq FROM c
 UNION ALL SELECT CAST(store AS BIGINT), at_ms, seq, kind, sha256, CASE WHEN sha256 = 'no hash' THEN 'not-staged' ELSE 'staged' END, NULL, CASE WHEN sha256 <> 'no hash' THEN seq END FROM r WHERE kind = 'stage'"""
+_FOLDERS = """
+WITH RECURSIVE p AS (SELECT p_brand AS a, p_brand || '/' || p_type AS b, p_brand || '/' || p_type || '/' || split_part(p_name, ' ', 1) AS c, p_partkey FROM part),
+f AS (SELECT a AS folder FROM p UNION SELECT b FROM p UNION SELECT c FROM p),
+d AS (SELECT folder, string_split(folder, '/')[-1] AS name, ('0x' || substr(md5(folder), 1, 1))::INT AS digit FROM f),
+files AS (SELECT c || '/part-' || p_partkey || '.md' AS path, false AS declares, c AS folder FROM p
+  UNION ALL SELECT folder || '/' || name || '.md', true, folder FROM d WHERE digit BETWEEN 4 AND 12 OR digit = 15 UNION ALL SELECT folder || '/INDEX.md', true, folder FROM d WHERE digit >= 13),
+s AS (SELECT folder, 'own names' AS config, folder || '/' || name || '.md' AS expected, folder || '/' || name || '.md' AS target FROM d WHERE NOT (folder = 'Brand#3' OR folder LIKE 'Brand#3/%' OR folder LIKE '%/blue')
+  UNION ALL SELECT folder, 'one name', folder || '/INDEX.md', folder || '/' || name || '.md' FROM d),
+"""
+SQL["folder_graph_findings"] = _FOLDERS + """
+x AS (SELECT config, folder AS path, 'missing-folder-index' AS code FROM s WHERE expected NOT IN (SELECT path FROM files)
+  UNION ALL SELECT DISTINCT config, '.', 'missing-folder-index' FROM s
+  UNION ALL SELECT config, path, 'misnamed-folder-index' FROM files JOIN s USING (folder) WHERE declares AND path <> expected
+  UNION ALL SELECT config, expected, 'broken-folder-graph-chain' FROM s WHERE expected <> target AND expected IN (SELECT path FROM files)
+  UNION ALL SELECT 'one name', '.obsidian/plugins/obsidian-folder-index/data.json', 'graph-incompatible-index-config' FROM (SELECT 1 FROM s LIMIT 1))
+SELECT *, CASE WHEN code IN ('missing-folder-index', 'misnamed-folder-index') THEN 'hygiene' ELSE 'defect' END AS severity FROM x"""
+SQL["folder_graph_reach"] = _FOLDERS + """
+k AS (SELECT folder, len(string_split(folder, '/')) AS depth, target IN (SELECT path FROM files) AS linked FROM s WHERE config = 'own names'),
+walk(folder, depth, broken_at, next) AS (
+  SELECT folder, depth, CASE WHEN NOT linked THEN folder END, regexp_replace(folder, '/?[^/]*$', '') FROM k
+  UNION ALL SELECT w.folder, w.depth, coalesce(CASE WHEN NOT k.linked THEN k.folder END, w.broken_at), regexp_replace(w.next, '/?[^/]*$', '') FROM walk w LEFT JOIN k ON k.folder = w.next WHERE w.next <> '')
+SELECT folder, CAST(depth AS INT) AS depth, broken_at, broken_at IS NULL AS reached FROM walk WHERE next = ''"""
 _AUDIT = """
 WITH n AS (SELECT d.doc_id, lang, source, split_part(text, chr(10), 1) AS title, text, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
 f AS (SELECT doc_id, 'missing-type' AS code, 'defect' AS severity FROM n WHERE lang IS NULL OR lang = ''
@@ -653,7 +706,7 @@ def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
-        board_fold, board_spoken_sections, board_log, board_stream, staged_content, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
+        board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )
     return {f.__name__: f for f in found}
