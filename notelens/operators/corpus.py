@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelens.functions.text import tag_key, title_tokens
+from notelens.sources.tables import Scratch, staged
 
 
 def duplicate_titles(notes: DataFrame) -> DataFrame:
@@ -48,30 +49,45 @@ def subject_clusters(notes: DataFrame, at_least: int = 5, limit: int = 6) -> Dat
     return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("folder", "kind", "term", "notes", "place")
 
 
+def _chains(terms: list[str]) -> list[str]:
+    """The pairs of one component joined: from each pair that none leads to, in order, to the least pair not yet taken that
+    goes on from it. Each pair is looked at once."""
+    after: dict[str, list[str]] = {}
+    for term in sorted(terms, reverse=True):
+        after.setdefault(term[0], []).append(term)  # the least is last
+    ends = {t[1] for t in terms}
+    left, out = set(terms), []
+    for head in sorted(t for t in terms if t[0] not in ends):
+        chain, term = [head[0]], head
+        while term is not None:
+            left.discard(term)
+            chain.append(term[1])
+            rest = after.get(term[1], [])
+            term = rest.pop() if rest else None
+        out.append("".join(chain))
+    return out + sorted(left)
+
+
 def merge_pairs(counts: DataFrame) -> DataFrame:
-    """AGG-9: pairs of CJK characters with equal counts that overlap by one character join into longer terms;
-    counts(folder, term, notes). Each group of equal counts is a small vocabulary of one folder's terms."""
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(rows["term"])
-        done = []
-        while left:
-            term = left.pop(0)
-            while True:
-                after = next((t for t in left if t[0] == term[-1]), None)
-                before = next((t for t in left if t[-1] == term[0]), None)
-                if after is not None:
-                    term += after[1:]
-                    left.remove(after)
-                elif before is not None:
-                    term = before[:-1] + term
-                    left.remove(before)
-                else:
-                    break
-            done.append(term)
-        return pd.DataFrame({"folder": rows["folder"].iloc[0], "term": done, "notes": rows["notes"].iloc[0]})
-
-    return counts.groupBy("folder", "notes").applyInPandas(chain, "folder string, term string, notes long")
+    """AGG-9: pairs of characters with equal counts that overlap by one character join into longer terms; of counts(folder,
+    term, notes) the terms of two characters are pairs, others stay. A term is a step from its first character to its second
+    in the graph of one folder and count; only the steps of one component can follow each other, so components are found
+    first, distributed, and each is walked through on its own, in time that grows with its pairs. These are bounded by the
+    square of the alphabet, whatever the corpus."""
+    from notelens.operators.graph import weak_components
+
+    keys = ["folder", "notes"]
+    with Scratch(counts.sparkSession, "pairs") as scratch:
+        every = scratch.staged(counts.select(*keys, "term").distinct(), "terms")
+        pairs = every.filter(F.length("term") == 2).select(*keys, "term", F.substring("term", 1, 1).alias("a"), F.substring("term", 2, 1).alias("b"))
+        comps = weak_components(scratch, pairs, keys).withColumnRenamed("node", "a")
+
+        def chain(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"folder": rows["folder"].iloc[0], "term": _chains(list(rows["term"])), "notes": rows["notes"].iloc[0]})
+
+        merged = pairs.join(comps, [*keys, "a"]).groupBy(*keys, "comp").applyInPandas(chain, "folder string, term string, notes long")
+        others = every.filter(F.length("term") != 2).select("folder", "term", F.col("notes").cast("long").alias("notes"))
+        return staged(counts.sparkSession, merged.unionByName(others), "merged")
 
 
 #: Bounds that are whole numbers may come out slightly above in floating point.

@@ -328,6 +328,15 @@ def folder_graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.graph_reach(_part_files(spark, sf_dir), INDEX_CONFIGS["own names"])
 
 
+def character_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-9: pairs of adjacent letters in the words of documents, by language and by how many documents have them; pairs of
+    one count that overlap are joined."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))
+    pairs = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2))))))
+    held = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("folder"), F.explode(pairs).alias("term"))
+    return corpus.merge_pairs(held.groupBy("folder", "term").agg(F.count("*").alias("notes")))
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamic metadata: one field of the JSON of each event."""
     meta = F.try_parse_json("props")
@@ -706,7 +715,7 @@ def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
-        board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
+        board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, character_chains, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )
     return {f.__name__: f for f in found}
