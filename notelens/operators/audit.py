@@ -105,29 +105,24 @@ def by_severity(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
-def table_findings(notes: DataFrame) -> DataFrame:
-    """The rules that notes of a table can break: notes(path, type, tags, title, body, quality)."""
-    kind = F.coalesce("type", F.lit(""))
-    rules = [
-        once("missing-type", kind == "", "no type"), once("invalid-type", (kind != "") & ~kind.isin("en", "fr", "de"), "unknown type"), once("missing-tags", F.col("quality").isNull(), "no label"),
-        once("web-clip-captured-nothing", F.length(F.regexp_replace("body", "[ \\t\\n\\r\\f]", "")) < 400, "under 400 characters"),
-        once("invalid-tag", F.exists("tags", lambda t: ~t.rlike(TAG)), "a tag that is not kebab-case"),
-    ]
+def duplicate_titles(notes: DataFrame) -> DataFrame:
+    """code, severity, path, message: notes(path, title) that share a title with others."""
     key = F.lower(F.trim("title"))
     several = notes.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    twice = notes.withColumn("key", key).join(several, "key").select(F.lit("duplicate-title").alias("code"), F.lit(severity("duplicate-title")).alias("severity"), "path", F.col("key").alias("message"))
-    return findings(notes, rules).unionByName(twice)
+    return notes.withColumn("key", key).join(several, "key").select(F.lit("duplicate-title").alias("code"), F.lit(severity("duplicate-title")).alias("severity"), "path", F.col("key").alias("message"))
 
 
 def template_rules(required: dict[str, list[str]], contracts: dict[str, str], labels: tuple[str, ...] = (), card: str | None = None, card_lines: int = 12) -> list[Rule]:
     """Rules of template contracts for notes with columns type, date, headings (names in order), sections (map of name
     to visible text) and comments. ``required`` gives the headings of a type; FLT-10: a note dated before its type's
     contract date is exempt, one without a date is not."""
+    from notelens.operators.contracts import instruction_left
+
     rules = []
     for kind, headings in required.items():
         early = F.coalesce(F.col("date") < F.lit(contracts.get(kind, "0001-01-01")).cast("date"), F.lit(False))
         rules.append(once("missing-template-heading", (F.col("type") == kind) & ~early & ~ordered_headings(F.col("headings"), headings), f"headings of {kind} are missing or out of order"))
-    rules.append(once("residual-template-instruction", F.exists("comments", lambda c: F.lower(c).contains("instruction")), "an instruction of the template is left"))
+    rules.append(once("residual-template-instruction", F.exists("comments", instruction_left), "an instruction of the template is left"))
     if card:
         text = F.coalesce(F.element_at("sections", F.lit(card)), F.lit(""))
         shown = F.size(F.filter(F.split(text, "\n", -1), lambda ln: F.trim(ln) != ""))

@@ -81,6 +81,20 @@ def neighbourhood(resolved: DataFrame, seed, direction: str = "both", max_nodes:
     return grouped.orderBy("neighbour").limit(max_nodes)
 
 
+def neighbourhood_edges(resolved: DataFrame, seed, direction: str = "both", max_nodes: int = 20) -> DataFrame:
+    """QRY-8: the edges behind ``neighbourhood``: neighbour (null where a name of the seed resolves to none or to several),
+    name, direction, origin, line, state. Edges to neighbours beyond the bound are left out, unresolved ones never; order:
+    resolved first, then by neighbour or name, direction, origin, line."""
+    out = resolved.filter((F.col("source") == seed) & ~F.coalesce(F.col("target") == seed, F.lit(False)))
+    out = out.select(F.when(F.col("state") == "resolved", F.col("target")).alias("neighbour"), "name", F.lit("out").alias("direction"), "origin", "line", "state")
+    back = resolved.filter((F.col("target") == seed) & (F.col("state") == "resolved") & (F.col("source") != seed)).select(F.col("source").alias("neighbour"), "name", F.lit("in").alias("direction"), "origin", "line", "state")
+    edges = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+    kept = neighbourhood(resolved, seed, direction, max_nodes).select("neighbour")
+    named = edges.filter("neighbour IS NOT NULL").join(F.broadcast(kept), "neighbour", "left_semi")  # max_nodes rows at most
+    shown = F.coalesce(F.col("neighbour").cast("string"), "name")
+    return named.unionByName(edges.filter("neighbour IS NULL").select(*named.columns)).orderBy(F.col("neighbour").isNull(), shown, "direction", "origin", F.coalesce("line", F.lit(-1)))
+
+
 def degrees(resolved: DataFrame) -> DataFrame:
     """Distinct neighbours of each note: path, n_out, n_in, and both."""
     known = resolved.filter("state = 'resolved' and source <> target").select("source", "target").distinct()

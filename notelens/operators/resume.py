@@ -125,16 +125,19 @@ def archived_content(text: Column) -> Column:
 
 
 def git_path(quoted: Column) -> Column:
-    """SRC-18: a C-quoted path: octal escapes are UTF-8 bytes. Plain paths come back as they are."""
+    """SRC-18: a path that the log quotes: octal escapes are bytes of its UTF-8 form, letters after a backslash signs. Plain
+    paths come back as they are; bytes that are no text are replaced."""
     inner = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-    tokens = F.regexp_extract_all(inner, F.lit(r"(\\[0-7]{3}|\\.|[^\\]+)"), F.lit(1))
+    tokens = F.regexp_extract_all(inner, F.lit(r"(?s)(\\[0-7]{3}|\\.|[^\\]+)"), F.lit(1))
+    signs = F.create_map(*[F.lit(x) for sign, code in zip("abtnvfr", range(7, 14), strict=True) for x in (sign, f"{code:02X}")])
 
     def bytes_of(t: Column) -> Column:
         octal = F.lpad(F.conv(F.substr(t, F.lit(2)), 8, 16), 2, "0")
-        named = F.when(t == "\\n", "0A").when(t == "\\t", "09").otherwise(F.hex(F.encode(F.substr(t, F.lit(2)), "UTF-8")))
-        return F.when(t.rlike(r"^\\[0-7]{3}$"), octal).when(t.startswith("\\"), named).otherwise(F.hex(F.encode(t, "UTF-8")))
+        named = F.coalesce(signs[F.substr(t, F.lit(2))], F.hex(F.encode(F.substr(t, F.lit(2)), "UTF-8")))
+        return F.when(t.rlike(r"^\\[0-7]{3}$"), F.right(octal, F.lit(2))).when(t.startswith("\\"), named).otherwise(F.hex(F.encode(t, "UTF-8")))
 
-    return F.when(quoted.startswith('"'), F.unhex(F.array_join(F.transform(tokens, bytes_of), "")).cast("string")).otherwise(quoted)
+    whole = (F.length(quoted) >= 2) & quoted.startswith('"') & quoted.endswith('"')
+    return F.when(whole, F.make_valid_utf8(F.unhex(F.array_join(F.transform(tokens, bytes_of), "")).cast("string"))).otherwise(quoted)
 
 
 def first_refusal(rules: list[tuple[str, Column]]) -> Column:

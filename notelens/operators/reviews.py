@@ -11,21 +11,44 @@ CLOSED = (
     "中止", "关闭", "取消", "完成", "已中止", "已关闭", "已取消", "已完成", "已归档", "已结束", "归档", "结束",
 )
 
+# Statuses of notes that are no project of their own.
+NON_INSTANCE = ("template", "模板")
+
+
+def _instances(projects: DataFrame) -> DataFrame:
+    """Projects with their plain status and the day of their last activity; templates are none. Where type is known, only
+    notes of type project are."""
+    plain = F.coalesce(F.nullif(F.lower(F.trim("status")), F.lit("")), F.lit("unknown"))
+    known = projects.filter(F.col("type") == "project") if "type" in projects.columns else projects
+    return known.withColumn("status", plain).filter(~F.col("status").isin(*NON_INSTANCE)).withColumn("activity", F.coalesce("updated", "date"))
+
+
+def project_issues(projects: DataFrame, as_of: str) -> DataFrame:
+    """QRY-1: path, code, message of projects that the queue passes over: their activity is dated after the day."""
+    late = _instances(projects).filter(F.col("activity") > F.lit(as_of).cast("date"))
+    return late.select("path", F.lit("future-activity-date").alias("code"), F.concat(F.lit("activity date "), F.col("activity").cast("string"), F.lit(f" is after {as_of}")).alias("message"))
+
+
+def queue_summary(projects: DataFrame, queue: DataFrame, as_of: str) -> DataFrame:
+    """One row: projects (closed ones count), skipped (dated after the day) and candidates."""
+    day = F.lit(as_of).cast("date")
+    counted = _instances(projects).agg(F.count("*").alias("projects"), F.count_if(F.col("activity") > day).alias("skipped"), F.count_if(F.col("status").isin(*CLOSED)).alias("closed"))
+    return counted.crossJoin(queue.agg(F.count("*").alias("candidates")))  # one row each
+
 
 def project_queue(projects: DataFrame, tasks: DataFrame, as_of: str, stale_days: int = 30) -> DataFrame:
     """QRY-1 to QRY-4: projects that are blocked, undated or stale, with reasons, priority and next action.
 
     projects(path, status, updated, date); tasks(path, line, text, checked, in_next_actions). A project with
     tasks in a next-actions section counts and takes its next action from there; one without such a section
-    from all its open tasks. Order (SRT-2): priority, oldest first, most tasks first, path.
+    from all its open tasks. One dated after the day is in ``project_issues``. Order (SRT-2): priority, oldest first, most tasks first, path.
     """
     day = F.lit(as_of).cast("date")
     opened = tasks.groupBy("path").agg(
         F.count_if(F.expr("not checked")).alias("open_tasks"), F.count_if(F.expr("not checked and in_next_actions")).alias("scoped"), F.bool_or("in_next_actions").alias("has_section"),
         F.min(F.when(~F.col("checked"), F.struct("line", "text"))).alias("any_first"), F.min(F.when(~F.col("checked") & F.col("in_next_actions"), F.struct("line", "text"))).alias("scoped_first"),
     )
-    activity = F.coalesce("updated", "date")
-    open_ = projects.filter(~F.coalesce(F.lower(F.trim("status")).isin(*CLOSED), F.lit(False))).withColumn("activity", activity).filter(F.col("activity").isNull() | (F.col("activity") <= day))
+    open_ = _instances(projects).filter(~F.col("status").isin(*CLOSED)).filter(F.col("activity").isNull() | (F.col("activity") <= day))
     aged = open_.withColumn("age_days", F.datediff(day, "activity")).filter((F.col("status") == "blocked") | F.col("activity").isNull() | (F.col("age_days") >= stale_days))
     joined = aged.join(opened, "path", "left")
     section = F.coalesce("has_section", F.lit(False))

@@ -43,6 +43,28 @@ def chat_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.withColumn("headings", F.transform(F.filter("lines", lambda ln: ln["heading_level"] > 0), lambda ln: ln["heading"]))
 
 
+#: Types that documents as files have by language; es has none, de one that no vault knows.
+FILE_TYPES = {"en": "guide", "fr": "web-clip", "de": "unheard"}
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as Markdown files that break rules now and then, by number: without or with an unclosed metadata block, date,
+    tags or fence, with a placeholder left, web clips without a source, author or day."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    every = lambda n: F.col("doc_id") % n == 0
+    line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\n"))
+    kind = F.create_map(*[F.lit(x) for pair in FILE_TYPES.items() for x in pair])[F.col("lang")]
+    tags = F.when(every(29), F.lit("[]")).when(every(31), F.lit("[a, b, c, d, e, f]")).when(every(37), F.lit("[Bad Tag]")).otherwise(F.concat(F.lit("["), "source", F.lit(", x]")))
+    clip = F.concat(
+        line("source", F.when(every(7), F.lit("unknown source")).otherwise(F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")))), line("author", F.when(every(11), F.lit("TBD")).otherwise("Ann")),
+        F.when(every(13), F.lit("")).otherwise("published: 2024-01-02\n"), F.when(every(47), F.lit("capture_depth: deep\n")).otherwise(""),
+    )
+    block = F.concat(F.lit("---\n"), F.coalesce(line("type", kind), F.lit("")), F.when(every(17), F.lit("")).otherwise("date: 2024-03-04\n"), line("tags", tags), F.when(F.col("lang") == "fr", clip).otherwise(""), F.when(every(23), F.lit("")).otherwise("---\n"))
+    title = F.coalesce(F.nullif(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit("")), F.lit("Untitled"))
+    body = F.concat(F.lit("# "), title, F.lit("\n\n"), "text", F.when(every(43), F.lit("\n{{date}}")).otherwise(""), F.when(every(41), F.lit("\n```\ncode")).otherwise(""), F.lit("\n"))
+    return docs.select(F.col("doc_id").alias("path"), F.col("doc_id").cast("string").alias("stem"), F.concat(F.when(every(19), F.lit("")).otherwise(block), body).alias("text"))
+
+
 def chat_index(spark: SparkSession, sf_dir: str) -> postings.NoteIndex:
     held = ("path", "title", "aliases", "tags", "headings", "type", "date", "updated", "lines")
     return _index(spark, sf_dir, "conversations", chat_notes(spark, sf_dir).select(*held))

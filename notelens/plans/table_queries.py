@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelens.functions.text import normal_name, note_date, tag_key
-from notelens.operators import boards, corpus, folders, links, receipts, resume, reviews, search, workflow
+from notelens.functions.markdown import notes_of
+from notelens.functions.text import content_chars, normal_name, note_date, tag_key
+from notelens.operators import audit, boards, corpus, folders, links, receipts, resume, reviews, search, workflow
 from notelens.plans import adapters
 from notelens.sources.config import load_views
-from notelens.sources.tables import shared_dir, table
+from notelens.sources.tables import shared_dir, staged, table
 from notelens.streaming import board, staging
 
 AS_OF = adapters.AS_OF
@@ -52,6 +53,26 @@ def page_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("neighbour").alias("page_id"), F.array_join("directions", "+").alias("directions"), "edges")
 
 
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-8: the edges of that page, with the names that resolve to no page or to several."""
+    _, edges, keys = _page_graph(spark, sf_dir)
+    resolved = links.resolve_names(edges, keys)
+    ranked = resolved.filter("state = 'resolved' and source <> target").groupBy("target").agg(F.count_distinct("source").alias("n"))
+    seed = ranked.orderBy(F.col("n").desc(), "target").limit(1).collect()
+    found = links.neighbourhood_edges(resolved, seed[0]["target"] if seed else None)
+    return found.select(F.col("neighbour").alias("page_id"), "name", "direction", "line", "state")
+
+
+def project_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects that the queue of an early day passes over, as they are dated after it."""
+    return reviews.project_issues(adapters.projects(spark, sf_dir), "1998-06-01").withColumnRenamed("path", "o_orderkey")
+
+
+def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    projects = adapters.projects(spark, sf_dir)
+    return reviews.queue_summary(projects, reviews.project_queue(projects, adapters.tasks(spark, sf_dir), AS_OF, stale_days=60), AS_OF)
+
+
 def page_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that nothing refers to; every third page is indexed."""
     nodes, edges, keys = _page_graph(spark, sf_dir)
@@ -468,21 +489,22 @@ def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.nearest_rank(docs, "lang", "n_chars", (0.5, 0.95))
 
 
-def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that tables can break, counted by code and severity."""
-    from notelens.operators import audit
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of documents as Markdown files: the rules on one note, and equal titles."""
+    parsed = notes_of(adapters.document_files(spark, sf_dir)).withColumn("content_chars", content_chars(F.col("body")))
+    notes = staged(spark, parsed.drop("text", "body", "lines", "aliases", "related"), "audited")  # each file is parsed once
+    return audit.findings(notes, audit.metadata_rules(("guide", "web-clip", "log"))).unionByName(audit.duplicate_titles(notes))
 
-    found = audit.table_findings(adapters.labelled(spark, sf_dir))
-    return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("path").alias("notes"))
+
+def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the audit on documents as files, counted by code and severity."""
+    return _audited(spark, sf_dir).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("path").alias("notes"))
 
 
 def table_audit_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-9: the first findings in order of severity, path, code and message."""
-    from notelens.operators import audit
-
-    found = audit.table_findings(adapters.labelled(spark, sf_dir))
     rank = F.when(F.col("severity") == "defect", 0).when(F.col("severity") == "hygiene", 1).otherwise(2)
-    return found.orderBy(rank, "path", "code", "message").limit(40).select(F.col("path").alias("doc_id"), "code", "severity")
+    return _audited(spark, sf_dir).orderBy(rank, "path", "code", "message").limit(40).select(F.col("path").alias("doc_id"), "code", "severity")
 
 
 def note_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,6 +633,17 @@ SQL["cold_captures"] = _CAPTURES + "SELECT o_orderkey, type, date_diff('day', to
 SQL["capture_revisit_rates"] = _CAPTURES + "SELECT coalesce(type, 'all') AS type, count(*) AS captures, count(*) FILTER (cold) AS never_reopened, round(1 - count(*) FILTER (cold) / count(*), 3) AS revisit_rate FROM c GROUP BY ROLLUP (type)"
 _QUEUE = SQL["project_queue"].replace("SELECT * FROM q ORDER BY priority, coalesce(age_days, -1) DESC, ranking_tasks DESC, o_orderkey LIMIT 20", "")
 SQL["project_reasons"] = _QUEUE + "SELECT priority, status, count(*) AS projects, CAST(sum(ranking_tasks) AS BIGINT) AS tasks, max(age_days) AS oldest FROM q GROUP BY ALL"
+_SEED = """, seed AS (SELECT target AS s FROM (SELECT target, count(DISTINCT source) AS n FROM known GROUP BY target) ORDER BY n DESC, target LIMIT 1)"""
+SQL["page_edges"] = _GRAPH + _SEED + """,
+l2 AS (SELECT page_id AS source, CAST(i - 1 AS INT) AS line, lower(h[i]) AS name FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS h FROM pages))),
+r2 AS (SELECT DISTINCT l2.*, r.state, r.target FROM l2 JOIN resolved r USING (source, name)),
+best20 AS (SELECT page_id FROM (SELECT target AS page_id FROM known, seed WHERE source = s UNION SELECT source FROM known, seed WHERE target = s) ORDER BY page_id LIMIT 20)
+SELECT target AS page_id, name, 'out' AS direction, line, state FROM r2, seed WHERE source = s AND state = 'resolved' AND target <> s AND target IN (SELECT page_id FROM best20)
+UNION ALL SELECT NULL, name, 'out', line, state FROM r2, seed WHERE source = s AND state <> 'resolved'
+UNION ALL SELECT source, name, 'in', line, state FROM r2, seed WHERE target = s AND state = 'resolved' AND source <> s AND source IN (SELECT page_id FROM best20)"""
+_PROJECTS = "WITH p AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS activity FROM orders) "
+SQL["project_issues"] = _PROJECTS + "SELECT o_orderkey, 'future-activity-date' AS code, 'activity date ' || activity || ' is after 1998-06-01' AS message FROM p WHERE activity > DATE '1998-06-01'"
+SQL["project_summary"] = _PROJECTS + "SELECT count(*) AS projects, count(*) FILTER (activity > DATE '2001-08-01') AS skipped, count(*) FILTER (o_orderstatus = 'F') AS closed, count(*) FILTER (o_orderstatus <> 'F' AND (o_orderstatus = 'P' AND (activity IS NULL OR activity <= DATE '2001-08-01') OR activity IS NULL OR date_diff('day', activity, DATE '2001-08-01') >= 60)) AS candidates FROM p"
 _DENIED = " OR ".join([f"regexp_matches(c, '{receipts.denial().replace(chr(39), chr(39) * 2)}')", *(f"contains(c, '{m.replace(chr(39), chr(39) * 2)}')" for m in receipts.NEGATION_MARKERS)])
 SQL["declared_outcome"] = rf"""
 WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '(\.)\s+', '\1' || chr(1), 'g'), '([!?;。！？；，、])\s*', '\1' || chr(1), 'g'), '\b(?:but|however|yet)\b|但是|但|然而|不过', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
@@ -663,13 +696,27 @@ walk(folder, depth, broken_at, next) AS (
   SELECT folder, depth, CASE WHEN NOT linked THEN folder END, regexp_replace(folder, '/?[^/]*$', '') FROM k
   UNION ALL SELECT w.folder, w.depth, coalesce(CASE WHEN NOT k.linked THEN k.folder END, w.broken_at), regexp_replace(w.next, '/?[^/]*$', '') FROM walk w LEFT JOIN k ON k.folder = w.next WHERE w.next <> '')
 SELECT folder, CAST(depth AS INT) AS depth, broken_at, broken_at IS NULL AS reached FROM walk WHERE next = ''"""
-_AUDIT = """
-WITH n AS (SELECT d.doc_id, lang, source, split_part(text, chr(10), 1) AS title, text, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
-f AS (SELECT doc_id, 'missing-type' AS code, 'defect' AS severity FROM n WHERE lang IS NULL OR lang = ''
-  UNION ALL SELECT doc_id, 'invalid-type', 'defect' FROM n WHERE lang <> '' AND lang NOT IN ('en', 'fr', 'de')
-  UNION ALL SELECT doc_id, 'missing-tags', 'hygiene' FROM n WHERE quality IS NULL
-  UNION ALL SELECT doc_id, 'web-clip-captured-nothing', 'defect' FROM n WHERE length(regexp_replace(text, '[ \\t\\n\\r\\f]', '', 'g')) < 400
-  UNION ALL SELECT doc_id, 'invalid-tag', 'hygiene' FROM n WHERE NOT regexp_full_match(source, '[a-z0-9]+(-[a-z0-9]+)*') OR NOT regexp_full_match(lang, '[a-z0-9]+(-[a-z0-9]+)*')
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+n AS (SELECT *, doc_id % 19 <> 0 AS has_meta, doc_id % 19 <> 0 AND doc_id % 23 <> 0 AS known, coalesce(nullif(trim(split_part(text, chr(10), 1)), ''), 'Untitled') AS title,
+  length(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), ''), '\s', '', 'g')) + CASE WHEN doc_id % 43 = 0 THEN 8 ELSE 0 END + CASE WHEN doc_id % 41 = 0 THEN 7 ELSE 0 END
+    + CASE WHEN doc_id % 19 <> 0 AND doc_id % 23 = 0 THEN 1000 ELSE 0 END AS chars FROM d),
+f AS (SELECT doc_id, 'missing-frontmatter' AS code, 'defect' AS severity FROM n WHERE NOT has_meta
+  UNION ALL SELECT doc_id, 'invalid-frontmatter', 'defect' FROM n WHERE has_meta AND NOT known
+  UNION ALL SELECT doc_id, 'missing-type', 'defect' FROM n WHERE known AND lang NOT IN ('en', 'fr', 'de')
+  UNION ALL SELECT doc_id, 'invalid-type', 'defect' FROM n WHERE known AND lang = 'de'
+  UNION ALL SELECT doc_id, 'missing-date', 'defect' FROM n WHERE known AND doc_id % 17 = 0
+  UNION ALL SELECT doc_id, 'missing-tags', 'hygiene' FROM n WHERE known AND doc_id % 29 = 0
+  UNION ALL SELECT doc_id, 'too-many-tags', 'hygiene' FROM n WHERE known AND doc_id % 29 <> 0 AND doc_id % 31 = 0
+  UNION ALL SELECT doc_id, 'invalid-tag', 'hygiene' FROM n WHERE known AND doc_id % 29 <> 0 AND doc_id % 31 <> 0 AND (doc_id % 37 = 0 OR NOT regexp_full_match(source, '[a-z0-9]+(-[a-z0-9]+)*'))
+  UNION ALL SELECT doc_id, 'unclosed-fence', 'defect' FROM n WHERE doc_id % 41 = 0
+  UNION ALL SELECT doc_id, 'unresolved-template-placeholder', 'defect' FROM n WHERE doc_id % 43 = 0
+  UNION ALL SELECT doc_id, 'empty-template-note', 'defect' FROM n WHERE chars = 0
+  UNION ALL SELECT doc_id, 'web-clip-captured-nothing', 'defect' FROM n WHERE known AND lang = 'fr' AND chars < 400
+  UNION ALL SELECT doc_id, 'web-clip-missing-source', 'hygiene' FROM n WHERE known AND lang = 'fr' AND doc_id % 7 = 0
+  UNION ALL SELECT doc_id, 'web-clip-missing-author', 'hygiene' FROM n WHERE known AND lang = 'fr' AND doc_id % 11 = 0
+  UNION ALL SELECT doc_id, 'web-clip-missing-published', 'hygiene' FROM n WHERE known AND lang = 'fr' AND doc_id % 13 = 0
+  UNION ALL SELECT doc_id, 'web-clip-invalid-capture-depth', 'defect' FROM n WHERE known AND lang = 'fr' AND doc_id % 47 = 0
   UNION ALL SELECT doc_id, 'duplicate-title', 'hygiene' FROM (SELECT doc_id, count(*) OVER (PARTITION BY lower(trim(title))) AS c FROM n) WHERE c > 1)
 """
 SQL["audit_findings"] = _AUDIT + "SELECT code, severity, count(*) AS findings, count(DISTINCT doc_id) AS notes FROM f GROUP BY ALL"
@@ -713,8 +760,8 @@ UNION ALL SELECT * FROM (SELECT path, folder, CAST(row_number() OVER (PARTITION
 
 def queries() -> dict:
     found = (
-        page_links, page_backlinks, page_neighbourhood, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
-        crowded_folders, subject_clusters, project_queue, project_reasons, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
+        page_links, page_backlinks, page_neighbourhood, page_edges, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
+        crowded_folders, subject_clusters, project_queue, project_reasons, project_issues, project_summary, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
         board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, character_chains, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )

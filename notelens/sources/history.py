@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from notelens.operators.resume import git_path
 
 #: How the log is to be written: a zero byte and the day of each commit, then the names it touched, one to a line.
 LOG_FORMAT = "git log --name-only --format=%x00%cs -- '*.md'"
-ESCAPED = re.compile(r"\\([0-7]{3}|.)", re.S)
-SIGNS = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
-
-
-def unquoted(name: str | None) -> str | None:
-    """A path as it is on disk, from one that the log quotes: octal escapes are bytes of its UTF-8 form."""
-    if name is None or len(name) < 2 or name[0] != '"' or name[-1] != '"':
-        return name
-    out, at = bytearray(), 0
-    inner = name[1:-1]
-    for m in ESCAPED.finditer(inner):
-        out += inner[at : m.start()].encode()
-        code = m[1]
-        out += bytes([int(code, 8) & 255]) if len(code) == 3 else bytes([SIGNS[code]]) if code in SIGNS else code.encode()
-        at = m.end()
-    return (out + inner[at:].encode()).decode("utf-8", "replace")
-
-
-@F.pandas_udf(T.StringType())
-def unquoted_path(name: pd.Series) -> pd.Series:
-    return name.map(unquoted, na_action="ignore")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +16,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     which the zero byte parts, so a log of any length is read in splits."""
     commits = spark.read.option("lineSep", "\0").text(path).filter("value <> ''")
     lines = F.split("value", "\n", -1)
-    named = commits.select(F.try_to_date(F.trim(lines[0]), "yyyy-MM-dd").alias("revised"), F.explode(F.slice(lines, 2, 1 << 20)).alias("name"))
-    return named.filter("trim(name) <> ''").select(unquoted_path("name").alias("path"), "revised").distinct()
+    named = commits.select(F.try_to_date(F.trim(lines[0]), "yyyy-MM-dd").alias("revised"), F.explode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("name"))
+    return named.filter("trim(name) <> ''").select(git_path(F.col("name")).alias("path"), "revised").distinct()
 
 
 def last_revisions(revisions: DataFrame) -> DataFrame:
