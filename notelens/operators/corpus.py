@@ -105,23 +105,25 @@ sequence_ratio = sequence_ratio.asNondeterministic()
 
 
 def similar_titles(titles: DataFrame, floor: float = 0.85) -> DataFrame:
-    """JN-8: pairs of distinct titles at or above a ratio, but for those equal without digits.
+    """JN-8: pairs of distinct titles at or above a ratio (over 2/3), but for those equal without digits.
 
-    The ratio is 2 M / (la + lb) and M is at most the number of shared characters, counted as a multiset. So
-    at least ceil(floor / 2 * (la + lb)) characters are shared; the rarest of a title's character counts that
-    must then be shared is the blocking key. Titles are dealt by (character, count) pairs of that prefix, in
-    one global order, and screened by length and shared characters before the matcher runs.
+    The ratio is 2 M / (la + lb), where M characters match in order. A pair of adjacent characters of one title is lost in
+    the other only by one of the la - M characters left out (two pairs each) or of the lb - M put in (one each), so at least
+    3 M - la - lb - 1 pairs are shared, counted as a multiset. Of a title's pairs so many of the rarest are keys that a
+    partner must share one of them; titles that share a key are screened by length before the matcher runs. Titles of one
+    or two characters have no partner.
     """
-    chars = F.split("title", "")
-    counted = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.struct(c.alias("c"), F.size(F.filter(F.split("title", ""), lambda x: x == c)).alias("k")))
-    each = F.flatten(F.transform(counted, lambda p: F.transform(F.sequence(F.lit(1), p["k"]), lambda i: F.concat(p["c"], F.lit("#"), i.cast("string")))))
-    base = titles.select("title").distinct().withColumn("n", F.length("title")).filter("n > 0").withColumn("bag", F.array_sort(each))
-    frequency = base.select(F.explode("bag").alias("item")).groupBy("item").count()
-    ranked = base.select("title", "n", F.explode("bag").alias("item")).join(frequency, "item")
-    # a partner of length m has 2 M >= floor (n + m) and m >= M, so M >= floor n / (2 - floor)
-    need = F.ceil(F.col("n") * floor / (2 - floor) - SLACK)
+    if floor <= 2 / 3:
+        raise ValueError("the bound on shared pairs needs a floor over 2/3")
+    base = titles.select("title").distinct().withColumn("n", F.length("title")).filter("n > 2")
+    grams = base.select("title", "n", F.explode(F.regexp_extract_all("title", F.lit("(?s)(?=(..))"), F.lit(1))).alias("gram")).groupBy("title", "n", "gram").count()
+    each = grams.select("title", "n", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("i"), "gram").select("title", "n", F.concat("gram", F.lit("#"), F.col("i").cast("string")).alias("item"))
+    frequency = each.groupBy("item").count()
+    # a partner of length m has 2 M >= floor (n + m) and m >= M, so m >= floor n / (2 - floor)
+    shared = (1.5 * floor - 1) * (F.col("n") + F.col("n") * floor / (2 - floor)) - 1
+    need = F.greatest(F.ceil(shared - SLACK), F.lit(1))
     order = Window.partitionBy("title").orderBy("count", "item")
-    prefix = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - need + 1).select("title", "n", "item")
+    prefix = each.join(frequency, "item").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - need).select("title", "n", "item")
     a, b = prefix.select(F.col("title").alias("a"), F.col("n").alias("na"), "item"), prefix.select(F.col("title").alias("b"), F.col("n").alias("nb"), "item")
     pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= floor * (F.col("na") + F.col("nb")) - SLACK)).select("a", "b").distinct()
     bare = lambda c: F.regexp_replace(c, "[0-9]+", "")

@@ -387,19 +387,26 @@ def declared_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("outcome")).filter("outcome is not null").groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("conv_id").alias("conversations"))
 
 
+#: Characters at the start of a short excerpt that key it.
+START = 8
+
+
 def _held_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, excerpt, text of every body that holds an excerpt. Excerpts of six words or more are keyed by
-    their second to fifth word, which stand whole in a body, so bodies are searched by equality on word runs; the
-    ends of shorter ones may be parts of words, and these are held against each body."""
+    their second to fifth word, which stand whole in a body, so bodies are searched by equality on word runs. The ends of
+    shorter ones may be parts of words: these are keyed by their first characters, and bodies by all runs of so many."""
     words = lambda c: F.filter(F.split(c, r"[ \n]+", -1), lambda w: w != "")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("excerpt")).withColumn("w", words(F.col("excerpt")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = items.filter(F.size("w") >= 6).select("item_id", "excerpt", F.xxhash64(*[F.get("w", F.lit(i)) for i in range(1, 5)]).alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", words(F.col("text")))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(4)]))
-    candidates = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed, "key").select("doc_id", "item_id", "excerpt").distinct()
-    long = candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "excerpt"))
-    short = docs.select("doc_id", "text").join(items.filter(F.size("w") < 6).select("item_id", "excerpt"), F.contains("text", "excerpt"))
-    return long.select("doc_id", "item_id", "excerpt", "text").unionByName(short)
+    found = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed, "key").select("doc_id", "item_id", "excerpt")
+    short = items.filter((F.size("w") < 6) & (F.length("excerpt") > 0)).withColumn("size", F.least(F.length("excerpt"), F.lit(START)))
+    for size in sorted(r["size"] for r in short.select("size").distinct().collect()):  # START values at most
+        starts = short.filter(F.col("size") == size).select("item_id", "excerpt", F.xxhash64(F.substring("excerpt", 1, size)).alias("key"))
+        pieces = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))), lambda x: F.xxhash64(x))
+        found = found.unionByName(docs.select("doc_id", F.explode(pieces).alias("key")).join(starts, "key").select("doc_id", "item_id", "excerpt"))
+    return found.distinct().join(docs, "doc_id").filter(F.contains("text", "excerpt")).select("doc_id", "item_id", "excerpt", "text")
 
 
 def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
