@@ -20,14 +20,17 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files below root with path (relative), folder_parts, name, stem, size, mtime and text; a file over
     the size limit has no text and an issue instead."""
     root = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(root)
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(root)
+    # the reader takes a length as a filter, so the content of a file over the limit is never asked for
+    large = every.filter(F.col("length") > MAX_BYTES).select("path", "length", "modificationTime", F.lit(None).cast("binary").alias("content"))
+    files = every.filter(F.col("length") <= MAX_BYTES).select("path", "length", "modificationTime", "content").unionByName(large)
     bare = root.split("://", 1)[-1].rstrip("/") if "://" in root else root.removeprefix("file:").rstrip("/")
     at = F.instr("path", F.lit(bare)) + len(bare) + 1
     parts = F.split("p", "/")
     out = files.withColumn("p", F.substr("path", at))
     return out.select(
         F.col("p").alias("path"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("folder_parts"), F.element_at(parts, -1).alias("name"), F.regexp_replace(F.element_at(parts, -1), r"(?i)\.md$", "").alias("stem"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.when(F.col("length") <= MAX_BYTES, F.col("content").cast("string")).alias("text"), F.when(F.col("length") > MAX_BYTES, "note-too-large").alias("file_issue"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("text"), F.when(F.col("length") > MAX_BYTES, "note-too-large").alias("file_issue"),
     )
 
 

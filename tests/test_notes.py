@@ -152,7 +152,7 @@ def test_code_blocks_and_masks(spark):
 def test_template_contracts(spark):
     rows = [
         ("ok", "digest", "2024-06-01", ["A", "x", "B"], {"Card": "Goal: win\n- **Next:** go"}, []),
-        ("bad", "digest", None, ["B", "A"], {"Card": "Goal:\n" + "l\n" * 13}, ["Template instruction: delete"]),
+        ("bad", "digest", None, ["B", "A"], {"Card": "Goal:\n" + "l\n" * 13}, ["Write clear success criteria, then delete this"]),
         ("old", "digest", "2023-01-01", [], None, []),
     ]
     notes = spark.createDataFrame(rows, "path string, type string, date string, headings array<string>, sections map<string,string>, comments array<string>").withColumn("date", F.to_date("date"))
