@@ -8,14 +8,13 @@ only the best k rows are shuffled. Texts never are. Names alone go to Python, fo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from notelens.functions.markdown import cut_sections
 from notelens.functions.text import CJK, normal_name, tag_key, tokenize
@@ -194,29 +193,40 @@ def name_boost(query: str, title: Column) -> Column:
     return F.when(normal_name(title) == " ".join(query_tokens(query)), F.lit(EXACT_BOOST)).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(T.DoubleType())
-def _best_ratio(query: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([max((SequenceMatcher(None, q, n).ratio() for n in ns), default=0.0) for q, ns in zip(query, names, strict=True)], dtype="float64")
-
-
-def with_name_boost(notes: DataFrame, query: str, normal: str | None = None) -> DataFrame:
-    """RNK-8, both arms over title and aliases, or over the array of normal names that ``normal`` calls: adds boost, for an
-    equal name or else by the best ratio from the floor on. Only notes that have a name whose length lets it reach the
-    floor are sent to the matcher, and those names alone."""
+def name_boosts(notes: DataFrame, query: str, normal: str | None = None) -> DataFrame | None:
+    """RNK-8: path and boost of the notes that get one, by both arms over title and aliases, or over the array of normal
+    names that ``normal`` calls. Names go to the matcher alone, and only those whose length lets them reach the floor."""
     wanted = " ".join(query_tokens(query))
     parts = [F.array("title")] if "title" in notes.columns else []
     parts += [F.coalesce("aliases", F.array().cast("array<string>"))] if "aliases" in notes.columns else []
     if not wanted or not (parts or normal):
-        return notes.withColumn("boost", F.lit(0.0))
-    named = notes.withColumn("_names", F.col(normal) if normal else F.transform(F.flatten(F.array(*parts)), normal_name))
+        return None
+    names = F.col(normal) if normal else F.transform(F.flatten(F.array(*parts)), normal_name)
     # 2 min(a, b) / (a + b) >= 0.72, in integers
-    near = F.filter("_names", lambda n: 50 * F.least(F.length(n), F.lit(len(wanted))) >= round(25 * FUZZY_FLOOR) * (F.length(n) + len(wanted)))
-    named = named.withColumn("_near", near)
-    far = named.filter(~F.coalesce(F.size("_near") > 0, F.lit(False))).withColumn("boost", F.lit(0.0))
-    # not deterministic for the optimizer: it must not move the matcher into the join with the statistics
-    rated = named.filter(F.size("_near") > 0).withColumn("_ratio", _best_ratio.asNondeterministic()(F.lit(wanted), F.col("_near")))
-    boost = F.when(F.array_contains("_near", wanted), F.lit(EXACT_BOOST)).when(F.col("_ratio") >= FUZZY_FLOOR, FUZZY_BOOST * F.col("_ratio")).otherwise(F.lit(0.0))
-    return rated.withColumn("boost", boost).drop("_ratio").unionByName(far).drop("_names", "_near")
+    near = F.filter(names, lambda n: 50 * F.least(F.length(n), F.lit(len(wanted))) >= round(25 * FUZZY_FLOOR) * (F.length(n) + len(wanted)))
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boosts = [_boost(wanted, ns) for ns in batch.column("near").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(boosts, pa.float64())], ["path", "boost"])
+
+    asked = notes.select("path", near.alias("near")).filter(F.size("near") > 0)
+    return asked.mapInArrow(rated, f"path {dict(notes.dtypes)['path']}, boost double").filter("boost > 0")
+
+
+def _boost(wanted: str, names: list[str]) -> float:
+    if wanted in names:
+        return EXACT_BOOST
+    ratio = max(SequenceMatcher(None, wanted, n).ratio() for n in names)
+    return FUZZY_BOOST * ratio if ratio >= FUZZY_FLOOR else 0.0
+
+
+def with_name_boost(notes: DataFrame, query: str, normal: str | None = None) -> DataFrame:
+    """Adds boost (0 for most); paths are distinct."""
+    boosts = name_boosts(notes, query, normal)
+    if boosts is None:
+        return notes.withColumn("boost", F.lit(0.0))
+    return notes.join(boosts, "path", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
 
 
 def ranked(notes: DataFrame, query: str, added: Iterable[str] = (), sections: bool = True) -> DataFrame:
