@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notelens.functions.markdown import notes_of
 from notelens.functions.text import content_chars, normal_name, note_date, tag_key
-from notelens.operators import audit, boards, corpus, folders, links, receipts, resume, reviews, search, workflow
+from notelens.operators import audit, boards, corpus, folders, links, receipt_rules, receipts, resume, reviews, search, workflow
 from notelens.plans import adapters
 from notelens.sources.config import load_views
 from notelens.sources.tables import shared_dir, staged, table
@@ -358,6 +358,31 @@ def character_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.merge_pairs(held.groupBy("folder", "term").agg(F.count("*").alias("notes")))
 
 
+def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as captured notes, each with a receipt; eleven in twelve receipts have a fault, by number."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    fault = F.col("conv_id") % 12
+    unless = lambda n, good, bad: F.when(fault == n, F.lit(bad)).otherwise(F.lit(good))
+    said = F.concat(F.lit("It took "), F.col("n").cast("string"), F.lit(" minutes, I infer."))
+    text = F.concat(F.lit("---\ntype: web-clip\n---\n# Conversation\n"), said, F.lit("\n"), F.array_join(F.transform("t", lambda t: t["text"]), "\n"))
+    source = F.concat(F.lit("https://example.org/"), F.col("conv_id").cast("string"))
+    item = lambda k, kind: F.struct(F.lit(f"m{k}").alias("id"), kind.alias("kind"), unless(11, "resolved", "open").alias("status"), source.alias("source"), unless(9, "It took", "It never took").alias("note_anchor"))
+    kinds = [F.lit("prerequisite"), F.lit("procedure"), F.lit("verification"), unless(4, "failure-mode", "risk")]
+    claim = F.struct(said.alias("note_excerpt"), unless(6, "primary-source", "hearsay").alias("provenance"), source.alias("source"), F.lit("one run").alias("measurement_context"))
+    receipt = F.to_json(F.struct(
+        F.lit(1).alias("schema_version"), F.when(fault == 1, F.sha2("rendered", 512)).otherwise(F.sha2("rendered", 256)).alias("content_sha256"), F.array(F.lit("tutorial-procedure")).alias("profiles"), unless(2, "complete", "partial").alias("source_access"),
+        F.array(F.when(fault == 10, F.lit("https://example.com/other")).otherwise(source)).alias("primary_sources"), F.array().cast("array<string>").alias("supplemental_sources"), F.when(fault == 3, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("unresolved_items"),
+        F.array(*[item(k, kind) for k, kind in enumerate(kinds)]).alias("material_items"), F.when(fault == 5, F.array().cast("array<struct<note_excerpt:string,provenance:string,source:string,measurement_context:string>>")).otherwise(F.array(claim)).alias("numeric_claims"),
+        F.array(F.struct(said.alias("note_excerpt"), F.lit("the text").alias("basis"), unless(7, "I infer", "a guess").alias("label"))).alias("inferences"), F.struct(unless(8, "reproducible-procedure", "poem").alias("kind"), F.lit("Conversation").alias("note_anchor")).alias("practical_artifact"),
+    ))
+    return turns.withColumn("rendered", text).select(F.col("conv_id").alias("path"), receipt.alias("receipt"), "rendered", F.lit("verified").alias("depth"), source.alias("source"))
+
+
+def receipt_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-26: the first refusal of every receipt."""
+    return receipt_rules.refuse(_receipts(spark, sf_dir)).select(F.col("path").alias("conv_id"), "code", "step", "entry")
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dynamic metadata: one field of the JSON of each event."""
     meta = F.try_parse_json("props")
@@ -703,6 +728,11 @@ walk(folder, depth, broken_at, next) AS (
   SELECT folder, depth, CASE WHEN NOT linked THEN folder END, regexp_replace(folder, '/?[^/]*$', '') FROM k
   UNION ALL SELECT w.folder, w.depth, coalesce(CASE WHEN NOT k.linked THEN k.folder END, w.broken_at), regexp_replace(w.next, '/?[^/]*$', '') FROM walk w LEFT JOIN k ON k.folder = w.next WHERE w.next <> '')
 SELECT folder, CAST(depth AS INT) AS depth, broken_at, broken_at IS NULL AS reached FROM walk WHERE next = ''"""
+SQL["receipt_refusals"] = """
+SELECT conv_id, CASE f WHEN 1 THEN 'capture-receipt-content-mismatch' WHEN 2 THEN 'incomplete-source-access' WHEN 3 THEN 'unresolved-material-items' WHEN 4 THEN 'incomplete-profile-evidence' WHEN 5 THEN 'uncovered-numeric-claim'
+    WHEN 6 THEN 'missing-numeric-provenance' WHEN 7 THEN 'unlabeled-inference' WHEN 8 THEN 'missing-practical-artifact' WHEN 9 THEN 'missing-receipt-anchor' WHEN 10 THEN 'source-receipt-mismatch' WHEN 11 THEN 'unresolved-material-items' END AS code,
+  CASE f WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 20 WHEN 4 THEN 23 WHEN 5 THEN 27 WHEN 6 THEN 26 WHEN 7 THEN 29 WHEN 8 THEN 30 WHEN 9 THEN 22 WHEN 10 THEN 11 WHEN 11 THEN 22 END AS step, CASE WHEN f > 0 THEN 0 END AS entry
+FROM (SELECT DISTINCT conv_id, conv_id % 12 AS f FROM conversations)"""
 _AUDIT = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 n AS (SELECT *, doc_id % 19 <> 0 AS has_meta, doc_id % 19 <> 0 AND doc_id % 23 <> 0 AS known, coalesce(nullif(trim(split_part(text, chr(10), 1)), ''), 'Untitled') AS title,
@@ -769,7 +799,7 @@ def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_edges, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
         crowded_folders, subject_clusters, project_queue, project_reasons, project_issues, project_summary, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
-        board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, character_chains, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
+        board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, character_chains, receipt_refusals, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )
     return {f.__name__: f for f in found}
