@@ -15,19 +15,41 @@ empty table gives no rows. Ids are not looked at, nor any other column.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from notelens.llm.workers import small_batches
 from notelens.sources.tables import Scratch, staged
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TERM = re.compile(rb"[a-z\x80-\xff]+")
 SCALE = 1_000_000_000
 
 
-def terms_of(text: Column) -> Column:
-    """All runs of letters A to Z and of characters beyond ASCII, A to Z in lower case."""
-    return F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), r"[\x00-\x60\x7B-\x7F]+"), "")
+def terms_of(text: str) -> list[bytes]:
+    """All runs of letters A to Z and of characters beyond ASCII, A to Z in lower case, as UTF-8."""
+    return TERM.findall(text.encode("utf-8", "surrogatepass").lower())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n and docs (documents that hold the term) of each batch."""
+    for batch in batches:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = terms_of(text)
+            if found:
+                n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+                n.update(found)
+                docs.update(set(found))
+        for (lang, source), (n, docs) in groups.items():
+            terms, size = list(n), len(n)
+            columns = [pa.repeat(lang, size), pa.repeat(source, size), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
 
 def _share(count: str, total: str, kept: str) -> Column:
@@ -40,11 +62,10 @@ def _apart(p: str, q: str) -> str:
 
 def index_terms(texts: DataFrame, min_docs: int) -> DataFrame:
     """lang, source, term, n (occurrences in the source) and lang_n (in the language) for each term that at least min_docs
-    documents of its language hold. A document emits each occurrence, and each different term once more to be counted."""
-    terms = texts.select("lang", "source", terms_of(F.col("text")).alias("terms"))
-    emitted = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))))
-    rows = terms.select("lang", "source", F.explode(emitted).alias("e")).select("lang", "source", "e.term", "e.n")
-    counted = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum(1 - F.col("n")).alias("docs"))
+    documents of its language hold. Terms are counted where the texts lie, a bounded batch at a time, before anything is
+    shuffled."""
+    rows = texts.select("lang", "source", "text").mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    counted = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     same = Window.partitionBy("lang", "term")
     return counted.withColumns({"lang_n": F.sum("n").over(same), "lang_docs": F.sum("docs").over(same)}).filter(F.col("lang_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n")
 
@@ -77,6 +98,7 @@ def _pairs(scratch: Scratch, postings: DataFrame, groups: DataFrame) -> DataFram
 def source_divergence(spark: SparkSession, docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     """lang, source, part, item, value, rank: every other source of the language ("pair"), and the terms ("term", ranks to
     top) that the source uses more than its language, by value."""
+    small_batches(spark)
     with Scratch(spark, "divergence") as scratch:
         texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
         index = scratch.staged(index_terms(texts, min_docs), "index")
