@@ -222,3 +222,45 @@ def test_op9_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_jaccard_join(spark, SMALL).collect()}
     assert got == brute_components(rows)
+
+
+def test_op5_against_another_implementation(spark, folder):
+    """Ids of every whole text, among them one of over a million characters, as another unigram lattice gives them."""
+    from notelens.llm import sentencepiece_codec
+    from tokenizers import Tokenizer, models
+
+    pieces, scores, kinds = sentencepiece_codec.load_pieces(queries.PIECES)
+    other = Tokenizer(models.Unigram([(p, s) if k != "none" else (f"\x01{i}", -1e9) for i, (p, s, k) in enumerate(zip(pieces, scores, kinds, strict=True))], unk_id=0, byte_fallback=True))
+    path, rows = folder
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append(other.encode("▁" + t.replace(" ", "▁")).ids if t else [])
+    got = queries.op5_sentencepiece(spark, path).collect()
+    assert len(got) == len(rows) and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    scored = lambda ids: sum(scores[i] for i in ids)  # noqa: E731  a tie may be cut another way
+    for r in got:
+        assert any(list(r.ids) == ids or (len(ids) and abs(scored(r.ids) - scored(ids)) < 1e-6 * len(ids)) for ids in want[r.doc_id]) or not r.ids, r.doc_id
+
+
+def test_op7_against_brute_force(spark, folder):
+    """Every document against every template by its shingles; some documents carry templates, one far into a long text."""
+    from notelens.llm import licenses
+    from tests.llm.test_text_ops import brute_licenses
+
+    _, rows = folder
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in rows if i is not None]
+    long = max(rows, key=lambda r: len(r[1] or ""))[1]
+    for n, (_, wording) in enumerate(licenses.TEMPLATES.items()):
+        rows.append((2 * 10**6 + n, f"{rng.choice(rows)[1] or ''} {wording} {rng.choice(rows)[1] or ''}"))
+    rows.append((3 * 10**6, long + " " + wording))
+    got = licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert {(r.doc_id, r.license, round(r.share, 6)) for r in got.collect()} == brute_licenses(rows, licenses.TEMPLATES)
+
+
+def test_op7_query_over_its_table(spark):
+    from notelens.llm import licenses
+    from tests.llm.test_text_ops import brute_licenses
+
+    rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
+    assert {(r.doc_id, r.license, round(r.share, 6)) for r in queries.op7_licenses(spark, SMALL).collect()} == brute_licenses(rows, licenses.TEMPLATES)
