@@ -50,6 +50,33 @@ def project_members(notes: DataFrame, projects: DataFrame, related: DataFrame) -
     return every.withColumn("place", F.row_number().over(order))
 
 
+def resume_pack(projects: DataFrame, fields: DataFrame, members: DataFrame, wanted: tuple[str, ...], max_sources: int = 5) -> DataFrame:
+    """QRY-9: one row for each of projects(project), whose own note has the project as its path: resume (field to text, of
+    its own note), from_sources (field to what the sources say, in their order), contested (fields that both answer),
+    missing (wanted fields that its own note lacks), sources (the first max_sources of project_members, in order of trust,
+    newest first), sources_available and truncated. fields(path, field, text) as of resume_fields. Nothing is gathered
+    beyond the bound: at most max_sources entries, and as many for each field."""
+    order = ("place", "path")
+    bounded = members.filter(F.col("place") <= max_sources).select("project", "path", "place", "origins", "date")
+    own = fields.join(projects.select(F.col("project").alias("path")), "path", "left_semi").groupBy(F.col("path").alias("project")).agg(F.array_sort(F.collect_list(F.struct("field", "text"))).alias("own"))
+    said = bounded.join(fields, "path").groupBy("project", "field").agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("said"))
+    said = said.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("field", F.transform("said", lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text"))).alias("said")))).alias("theirs"))
+    listed = bounded.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(*order, "origins", "date"))).alias("sources"))
+    counted = members.groupBy("project").agg(F.count("*").alias("sources_available"))
+    rows = projects.select("project").distinct()
+    for part in (own, said, listed, counted):
+        rows = rows.join(part, "project", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    names = lambda c: F.transform(c, lambda x: x["field"])
+    kinds = dict(rows.dtypes)
+    rows = rows.withColumns({c: empty(F.col(c), kinds[c]) for c in ("own", "theirs", "sources")}).withColumn("sources_available", F.coalesce("sources_available", F.lit(0)))
+    return rows.select(
+        "project", F.map_from_entries("own").alias("resume"), F.map_from_entries("theirs").alias("from_sources"), F.array_intersect(names(F.col("own")), names(F.col("theirs"))).alias("contested"),
+        F.array_except(F.array(*map(F.lit, wanted)), names(F.col("own"))).alias("missing"), F.transform("sources", lambda x: F.struct(x["path"].alias("path"), x["origins"].alias("origins"), x["date"].alias("date"))).alias("sources"),
+        "sources_available", (F.col("sources_available") > F.size("sources")).alias("truncated"),
+    )
+
+
 def folder_indexes(folders: DataFrame, files: DataFrame, mode: str = "folder-name") -> DataFrame:
     """JN-15, MSC-12, JN-17: folders(folder) without their expected index (folder name or INDEX.md), with one under the other
     name, or with both: missing-folder-index, misnamed-folder-index, duplicate-folder-index. files(path, folder, name, declares)."""

@@ -212,18 +212,40 @@ def resume_sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("path").alias("o_orderkey"), "trust", F.col("date").cast("string").alias("date"), "origins")
 
 
-def resume_project_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-12, SET-1 and SRT-8 over the whole tables: every customer is a project. Its own orders lie in its folder, those
-    of priority 1 name it, and items shipped by the supplier of its number are links that do."""
+def _customer_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as projects and their sources: own orders lie in the folder of a customer, those of priority 1 name it, and
+    items shipped by the supplier of its number are links that do."""
     customers = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
     notes = orders.select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("folder"), F.when(F.col("o_orderpriority").startswith("1"), F.col("c_name")).alias("project"), F.to_date("o_orderdate").alias("date"))
     projects = customers.select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("project"), F.col("c_name").alias("name"), F.col("c_custkey").alias("folder"))
     shipped = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_suppkey").alias("folder")).distinct()
-    members = resume.project_members(notes, projects, shipped.join(projects.select("folder", "name"), "folder").select("path", "name"))
+    return projects, resume.project_members(notes, projects, shipped.join(projects.select("folder", "name"), "folder").select("path", "name"))
+
+
+def resume_project_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-12, SET-1 and SRT-8 over the whole tables: the sources of every customer as a project."""
+    _, members = _customer_members(spark, sf_dir)
     return members.select("project", F.col("path").cast("long").alias("o_orderkey"), "trust", F.col("date").cast("string").alias("date"), F.array_join("origins", "+").alias("origins"))
 
 
+def resume_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QRY-9 for every customer: what its own note and its first sources say of six questions."""
+    projects, members = _customer_members(spark, sf_dir)
+    answers = lambda df, path, rules: df.select(path.alias("path"), F.explode(F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(name).alias("field"), F.concat(F.lit(f"{name} of "), path).alias("text"))) for name, rule in rules.items()]))).alias("f")).select("path", "f.*")
+    key = F.col("o_orderkey")
+    said = answers(table(spark, sf_dir, "orders"), key.cast("string"), {"goal": key % 2 == 0, "constraints": key % 7 == 0, "decisions": key % 3 == 0, "evidence": F.col("o_orderstatus") == "F", "next_actions": F.col("o_orderstatus") == "O"})
+    number = F.col("c_custkey")
+    own = answers(table(spark, sf_dir, "customer"), F.concat(F.lit("customer "), number.cast("string")), {"goal": number % 2 == 0, "decisions": number % 3 == 0, "blockers": F.col("c_mktsegment") == "BUILDING", "next_actions": number % 5 != 0})
+    packs = resume.resume_pack(projects, own.unionByName(said), members, ("goal", "decisions", "blockers", "next_actions"))
+    each = lambda entries, text: F.array_join(F.transform(entries, text), "; ")
+    return packs.select(
+        "project", each(F.map_entries("resume"), lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("resume"),
+        each(F.map_entries("from_sources"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda x: x["path"]), ","))).alias("from_sources"),
+        F.array_join("contested", ",").alias("contested"), F.array_join("missing", ",").alias("missing"), each("sources", lambda x: F.concat(x["path"], F.lit(":"), F.array_join(x["origins"], "+"))).alias("sources"), "sources_available", "truncated",
+    )
+
+
 # --- events -------------------------------------------------------------------------------------------
 
 def _seconds(column: str):
@@ -545,6 +567,14 @@ def note_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(note_date(F.col("d")).alias("date")).groupBy("date").agg(F.count(F.lit(1)).alias("n")).select(F.col("date").cast("string").alias("date"), "n")
 
 
+_MEMBERS = """
+WITH names AS (SELECT lower(c_name) AS key, any_value(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1),
+o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_custkey, o_orderpriority, lower(c_name) AS key FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+u AS (SELECT c_custkey AS c, o_orderkey, d, 0 AS trust, 'location' AS origin FROM o JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT c, o_orderkey, d, 1, 'project-field' FROM o JOIN names USING (key) WHERE o_orderpriority LIKE '1%'
+  UNION ALL SELECT n.c, o_orderkey, d, 2, 'related-link' FROM lineitem JOIN customer ON c_custkey = l_suppkey JOIN names n ON n.key = lower(c_name) JOIN o ON o_orderkey = l_orderkey),
+members AS (SELECT 'customer ' || c AS project, CAST(o_orderkey AS VARCHAR) AS path, min(trust) AS trust, max(d) AS date, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY c, o_orderkey)
+"""
 SQL = {
     "page_links": _GRAPH + "SELECT state, count(*) AS links, count(DISTINCT source) AS sources, CAST(sum(n) AS BIGINT) AS targets FROM resolved GROUP BY state",
     "page_backlinks": _GRAPH + ", e AS (SELECT DISTINCT * FROM known) SELECT path AS page_id, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT source AS path, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY path",
@@ -618,13 +648,20 @@ WITH u AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 0 AS trust, 'locat
   UNION ALL SELECT o_orderkey, CAST(o_orderdate AS DATE), 1, 'project-field' FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '5%'
   UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), 2, 'related-link' FROM lineitem)
 SELECT o_orderkey, min(trust) AS trust, CAST(max(d) AS VARCHAR) AS date, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY o_orderkey""",
-    "resume_project_members": """
-WITH names AS (SELECT lower(c_name) AS key, any_value(c_custkey) AS c FROM customer GROUP BY ALL HAVING count(*) = 1),
-o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_custkey, o_orderpriority, lower(c_name) AS key FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
-u AS (SELECT c_custkey AS c, o_orderkey, d, 0 AS trust, 'location' AS origin FROM o JOIN customer ON c_custkey = o_custkey
-  UNION ALL SELECT c, o_orderkey, d, 1, 'project-field' FROM o JOIN names USING (key) WHERE o_orderpriority LIKE '1%'
-  UNION ALL SELECT n.c, o_orderkey, d, 2, 'related-link' FROM lineitem JOIN customer ON c_custkey = l_suppkey JOIN names n ON n.key = lower(c_name) JOIN o ON o_orderkey = l_orderkey)
-SELECT 'customer ' || c AS project, o_orderkey, min(trust) AS trust, CAST(max(d) AS VARCHAR) AS date, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM u GROUP BY c, o_orderkey""",
+    "resume_project_members": _MEMBERS + "SELECT project, CAST(path AS BIGINT) AS o_orderkey, trust, CAST(date AS VARCHAR) AS date, origins FROM members",
+    "resume_packs": _MEMBERS + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY trust, date DESC NULLS LAST, path) AS place FROM members),
+bounded AS (SELECT * FROM placed WHERE place <= 5),
+said AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, unnest(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'goal' END, CASE WHEN o_orderkey % 7 = 0 THEN 'constraints' END, CASE WHEN o_orderkey % 3 = 0 THEN 'decisions' END, CASE WHEN o_orderstatus = 'F' THEN 'evidence' END, CASE WHEN o_orderstatus = 'O' THEN 'next_actions' END], lambda x: x IS NOT NULL)) AS field FROM orders),
+own AS (SELECT 'customer ' || c_custkey AS project, unnest(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'goal' END, CASE WHEN c_custkey % 3 = 0 THEN 'decisions' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'blockers' END, CASE WHEN c_custkey % 5 <> 0 THEN 'next_actions' END], lambda x: x IS NOT NULL)) AS field FROM customer),
+o1 AS (SELECT project, string_agg(field || '=' || field || ' of ' || project, '; ' ORDER BY field) AS resume, list(field) AS fields FROM own GROUP BY project),
+t0 AS (SELECT project, field, string_agg(path, ',' ORDER BY place) AS paths FROM bounded JOIN said USING (path) GROUP BY project, field),
+t1 AS (SELECT project, string_agg(field || '=' || paths, '; ' ORDER BY field) AS from_sources, list(field) AS fields FROM t0 GROUP BY project),
+s1 AS (SELECT project, string_agg(path || ':' || origins, '; ' ORDER BY place) AS sources FROM bounded GROUP BY project),
+n1 AS (SELECT project, count(*) AS n FROM members GROUP BY project)
+SELECT p.project, coalesce(resume, '') AS resume, coalesce(from_sources, '') AS from_sources, array_to_string(list_sort(list_filter(coalesce(o1.fields, []), lambda f: list_contains(coalesce(t1.fields, []), f))), ',') AS contested,
+  array_to_string(list_filter(['goal', 'decisions', 'blockers', 'next_actions'], lambda f: NOT list_contains(coalesce(o1.fields, []), f)), ',') AS missing, coalesce(sources, '') AS sources, coalesce(n, 0) AS sources_available, coalesce(n, 0) > 5 AS truncated
+FROM (SELECT 'customer ' || c_custkey AS project FROM customer) p LEFT JOIN o1 USING (project) LEFT JOIN t1 USING (project) LEFT JOIN s1 USING (project) LEFT JOIN n1 USING (project)""",
     "inbox_routes": r"""
 WITH i AS (SELECT CASE WHEN role = 'system' THEN '90-Meta' WHEN contains(lower(text), 'meeting') OR contains(lower(text), 'und ') THEN '10-Work' WHEN contains(lower(text), 'article') OR contains(lower(text), ' la ') THEN '20-Learning'
   WHEN contains(lower(text), 'idea') OR contains(lower(text), ' the ') THEN '30-Insights' END AS target, length(text) < 1200 AS readable, conv_id % 9 = 0 OR regexp_matches(text, '\{\{[^{}]*\}\}') AS draft FROM conversations)
@@ -798,7 +835,7 @@ UNION ALL SELECT * FROM (SELECT path, folder, CAST(row_number() OVER (PARTITION
 def queries() -> dict:
     found = (
         page_links, page_backlinks, page_neighbourhood, page_edges, page_orphans, page_visible_chars, name_exact_boost, name_fuzzy_boost, tag_normalise_groups, duplicate_titles, similar_titles, suggest_links, tag_vocabulary,
-        crowded_folders, subject_clusters, project_queue, project_reasons, project_issues, project_summary, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, retention_keep_n, cache_prune_budget,
+        crowded_folders, subject_clusters, project_queue, project_reasons, project_issues, project_summary, open_loops, open_loop_summary, cold_captures, capture_revisit_rates, view_window, resume_sources_union, resume_project_members, resume_packs, retention_keep_n, cache_prune_budget,
         board_fold, board_spoken_sections, board_log, board_stream, staged_content, folder_graph_findings, folder_graph_reach, character_chains, receipt_refusals, json_props, inbox_routes, required_kinds_missing, declared_outcome, evidence_containment, evidence_occurrences, metric_spans, metric_span_uncovered, eval_metrics, nearest_rank_percentile,
         audit_findings, table_audit_worst, note_dates, case_metrics, family_occupancy, duplicate_project_notes, vault_summary, candidate_folders,
     )

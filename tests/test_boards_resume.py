@@ -82,3 +82,17 @@ def test_columns(spark):
     assert kept.select(resume.archived_content(F.col("text"))).first()[0] == "one\r\n---\ntwo"
     files = spark.createDataFrame([("INDEX.md", "```dataview\n```")], "path string, text string")
     assert resume.index_mode(files).first()[0] == "dataview" and resume.index_mode(files.limit(0)).first()[0] == "static"
+
+
+def test_resume_pack_is_bounded_and_tells_what_is_contested(spark):
+    projects = spark.createDataFrame([("p",), ("q",), ("none",)], "project string")
+    members = spark.createDataFrame([("p", f"n{i}", i, ["location"], None) for i in range(1, 8)] + [("q", "n1", 1, ["related-link"], None)], "project string, path string, place int, origins array<string>, date date")
+    fields = spark.createDataFrame([("p", "goal", "own"), ("n1", "goal", "first"), ("n2", "goal", "second"), ("n2", "evidence", "e"), ("n6", "evidence", "beyond"), ("n7", "blockers", "beyond")], "path string, field string, text string")
+    got = {r.project: r for r in resume.resume_pack(projects, fields, members, ("goal", "decisions"), 5).collect()}
+    p = got["p"]
+    assert p.resume == {"goal": "own"} and p.contested == ["goal"] and p.missing == ["decisions"] and (p.sources_available, p.truncated) == (7, True)
+    assert [s.path for s in p.sources] == ["n1", "n2", "n3", "n4", "n5"]
+    assert {f: [(x.path, x.text) for x in xs] for f, xs in p.from_sources.items()} == {"goal": [("n1", "first"), ("n2", "second")], "evidence": [("n2", "e")]}
+    q, none = got["q"], got["none"]
+    assert q.resume == {} and q.contested == [] and q.missing == ["goal", "decisions"] and not q.truncated
+    assert none.sources == [] and none.from_sources == {} and none.sources_available == 0
