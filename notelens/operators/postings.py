@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from notelens.functions.markdown import cut_sections
 from notelens.functions.text import normal_name, tokenize
 from notelens.operators import search as S
+from notelens.sources.config import ConfigError, View
 from notelens.sources.tables import Scratch
 
 BUCKETS = 64  # raise with the vocabulary: a query reads a bucket for each of its tokens
@@ -144,10 +145,7 @@ def bodies(notes: DataFrame, best: DataFrame) -> DataFrame:
 
 def search(index: NoteIndex, notes: DataFrame, query: str, k: int = 5, filters: S.Filters | None = None, scope: str | None = None, concepts: tuple[S.Concept, ...] = ()) -> DataFrame:
     """RNK-1 on an index: as ``search.search``; of ``notes`` only the bodies of the k best are read."""
-    kept = index.notes
-    if scope not in (None, "", "."):
-        kept = kept.filter(F.col("path").startswith(scope.rstrip("/") + "/"))
-    kept = (filters or S.Filters()).select(kept)
+    kept = (filters or S.Filters()).select(_in_scope(index, scope))
     added, used, _ = S.expand_query(query, concepts)
     typed = list(dict.fromkeys(S.query_tokens(query)))
     tokens = typed + [t for t in added if t not in typed]
@@ -155,3 +153,46 @@ def search(index: NoteIndex, notes: DataFrame, query: str, k: int = 5, filters:
         raise ValueError("the query has no token")
     found = bodies(notes.select("path", *[c for c in ("body", "lines", "body_start_line") if c in notes.columns]), S.top(ranked(index, query, added, kept), k))
     return S.expansion_signals(S.matched_words(S.snippet(found, tokens), tokens, typed), tokens, used)
+
+
+@dataclass(frozen=True)
+class Diagnosis:
+    """RNK-17: why a search is empty: the reason that lies nearest, all counts behind it, and what its user may try."""
+
+    reason: str
+    facts: dict[str, int | bool]
+    retries: tuple[str, ...]
+
+
+def _in_scope(index: NoteIndex, scope: str | None) -> DataFrame:
+    return index.notes if scope in (None, "", ".") else index.notes.filter(F.col("path").startswith(scope.rstrip("/") + "/"))
+
+
+def diagnose(index: NoteIndex, query: str, filters: S.Filters | None = None, scope: str | None = None, concepts: tuple[S.Concept, ...] = (), skipped: int = 0) -> Diagnosis:
+    """What can be told of an empty result from counts of notes alone; ``skipped`` files in scope could not be read."""
+    filters = filters or S.Filters()
+    _, used, _ = S.expand_query(query, concepts)
+    rejected = filters.reject_reason()
+    counted = _in_scope(index, scope).agg(F.count("*").alias("candidates"), F.count_if(rejected.isNull()).alias("matched"))
+    row = counted.withColumn("reason", S.zero_reason(F.col("candidates"), F.col("matched"), F.lit(skipped))).first()
+    facts = {"candidates": row.candidates, "matched": row.matched, "files_skipped": skipped, "expansion_triggered": bool(used), "filters_active": bool(filters.applied())}
+    tries = {
+        "all-candidates-filtered": [f"drop or widen: {', '.join(sorted(filters.applied()))}", "search without filters to see what there is"],
+        "material-files-skipped": ["repair the files that could not be read"],
+        "no-searchable-documents": [f"search outside of {scope}"] * (scope not in (None, "", ".")) + ["see whether there are notes at all"],
+        "no-token-overlap": ["search without the lexicon, to see whether it changes anything" if used else "the lexicon knows none of these words", "use words that the notes use", "ask before a new pair of terms goes into the lexicon"],
+    }
+    return Diagnosis(row.reason, facts, tuple(tries[row.reason]))
+
+
+def run_view(index: NoteIndex, notes: DataFrame, views: dict[str, View], name: str, as_of: str, concepts: tuple[S.Concept, ...] = ()) -> tuple[dict, DataFrame]:
+    """RNK-26: a saved view as (the plan that it stands for on a day, its results). A name that is none of the views is
+    unknown-view; a scope without notes is invalid-view-scope, never the whole vault."""
+    if name not in views:
+        raise ConfigError(f"unknown-view: {name}; known are {', '.join(sorted(views)) or 'none'}")
+    view = views[name]
+    if view.scope not in ("", ".") and _in_scope(index, view.scope).isEmpty():
+        raise ConfigError(f"invalid-view-scope: {view.scope}")
+    filters = view.filters(as_of)
+    plan = {"query": view.query, "scope": view.scope, "top_k": view.top_k} | vars(filters)
+    return plan, search(index, notes, view.query, view.top_k, filters, view.scope, concepts)

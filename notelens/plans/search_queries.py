@@ -10,6 +10,7 @@ from notelens.operators import postings
 from notelens.operators import search as S
 from notelens.plans import adapters
 from notelens.sources import note_files
+from notelens.sources.config import View
 from notelens.sources.tables import shared_dir, table
 
 QUERY = "annt reed oure anst"
@@ -118,6 +119,31 @@ def notes_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.snippet(found, S.query_tokens(CHAT_QUERY)).select("path", F.col("line").cast("long").alias("line"), "heading", F.col("hits").cast("long").alias("hits"), "snippet")
 
 
+VIEWS = {"recent": View("recent", CHAT_QUERY, ("open",), scope="chats", top_k=5, date_field="date", window_days=60)}
+VIEW_DAY = "2024-04-30"
+
+
+def view_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-26: a saved view, run on a day."""
+    held = adapters.chat_notes(spark, sf_dir).select("path", "lines", "body_start_line")
+    _, found = postings.run_view(adapters.chat_index(spark, sf_dir), held, VIEWS, "recent", VIEW_DAY)
+    return found.select("path", F.round("score", 6).alias("score"), "heading", F.col("line").cast("long").alias("line"))
+
+
+CASES = {
+    "filtered": ("that", S.Filters(types=("none",)), None), "no overlap": ("zzzz qqqq", S.Filters(types=("open",)), None), "empty scope": ("that", S.Filters(), "nowhere"),
+    "broken filter": ("that", S.Filters(after="2999-01-01", tags=("chat",)), "chats"),
+}
+
+
+def search_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RNK-17: why four searches are empty, with the counts behind it."""
+    index = adapters.chat_index(spark, sf_dir)
+    found = {name: postings.diagnose(index, *case) for name, case in CASES.items()}
+    rows = [(name, d.reason, d.facts["candidates"], d.facts["matched"], d.facts["filters_active"], len(d.retries)) for name, d in found.items()]
+    return spark.createDataFrame(rows, "case string, reason string, candidates long, matched long, filters_active boolean, retries int")
+
+
 def note_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-7: conversations written as note files, and their metadata by type from the first chunks of the files."""
     folder = shared_dir(spark, "vault")
@@ -197,6 +223,16 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits > 0 DESC
 SELECT b.doc_id AS path, CAST(6 + b.start + b.i AS BIGINT) AS line, b.heading, CAST(b.hits AS BIGINT) AS hits, CASE WHEN length(w.text) > 480 THEN rtrim(substr(w.text, 1, 479)) || '…' ELSE coalesce(w.text, '') END AS snippet
 FROM best b LEFT JOIN (SELECT b.doc_id, trim(regexp_replace(string_agg(n.line, ' ' ORDER BY n.i), '\\s+', ' ', 'g')) AS text FROM best b JOIN ln n ON n.doc_id = b.doc_id AND abs(n.i - b.i) <= 1 AND n.i > 0 AND n.line <> '' WHERE b.k = 1 GROUP BY b.doc_id) w ON w.doc_id = b.doc_id
 WHERE b.k = 1""",
+    "view_search": _chat_sql("type = 'open' AND date BETWEEN DATE '2024-03-02' AND DATE '2024-04-30'") + f""",
+few AS (SELECT * FROM top ORDER BY score DESC, lower(doc_id), doc_id LIMIT 5),
+ln AS (SELECT t.doc_id, s.heading, s.start, i - 1 AS i, trim(l[i]) AS line, {TOK.format('l[i]')} AS toks FROM few t JOIN sections s ON s.doc_id = t.doc_id AND s.no = t.passage_no, LATERAL (SELECT string_split(s.body, chr(10)) AS l), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+rated AS (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR t IN [{', '.join(f"'{t}'" for t in S.query_tokens(CHAT_QUERY))}]]) AS hits FROM ln),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits > 0 DESC, hits DESC, i = 0, i) AS k FROM rated WHERE hits > 0 OR (i > 0 AND line <> ''))
+SELECT f.doc_id AS path, round(f.score, 6) AS score, b.heading, CAST(6 + b.start + b.i AS BIGINT) AS line FROM few f JOIN best b ON b.doc_id = f.doc_id AND b.k = 1""",
+    "search_diagnosis": """
+WITH c AS (SELECT conv_id, bool_or(role = 'system') AS guided FROM conversations GROUP BY conv_id), n AS (SELECT count(*) AS n, count(*) FILTER (NOT guided) AS plain FROM c)
+SELECT 'filtered' AS "case", 'all-candidates-filtered' AS reason, n AS candidates, 0::BIGINT AS matched, true AS filters_active, 2::INT AS retries FROM n
+UNION ALL SELECT 'no overlap', 'no-token-overlap', n, plain, true, 3 FROM n UNION ALL SELECT 'empty scope', 'no-searchable-documents', 0, 0, false, 2 FROM n UNION ALL SELECT 'broken filter', 'all-candidates-filtered', n, 0, true, 2 FROM n""",
     "note_heads": """
 WITH turns AS (SELECT conv_id, count(*) AS n, bool_or(role = 'system') AS guided, sum(5 + octet_length(encode(coalesce(role, ''))) + length(CAST(turn AS VARCHAR)) + 1 + octet_length(encode(coalesce(text, '')))) AS said FROM conversations GROUP BY conv_id),
 files AS (SELECT CASE WHEN guided THEN 'guided' ELSE 'open' END AS type, DATE '2024-01-01' + CAST(conv_id % 300 AS INT) AS date,
@@ -241,5 +277,5 @@ FROM (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR
 
 
 def queries() -> dict:
-    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet, note_heads)
+    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet, note_heads, view_search, search_diagnosis)
     return {f.__name__: f for f in found}
