@@ -27,6 +27,14 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("type", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("type").agg(F.count(F.lit(1)).alias("distinct_tokens"), F.sum("n").alias("tokens"), F.max("n").alias("most"))
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posting table that the searches read, built where it is not there yet: its notes, postings of bodies and tokens."""
+    index = adapters.note_index(spark, sf_dir)
+    held = spark.read.parquet(f"{index.root}/postings").filter(F.col("no") != postings.NAMES)
+    counted = held.agg(F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"), F.sum("tf").cast("long").alias("occurrences"))
+    return index.notes.agg(F.count("*").alias("notes")).crossJoin(counted)  # one row each
+
+
 def search_bm25_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(postings.ranked(adapters.note_index(spark, sf_dir), QUERY, sections=False, names=False))
 
@@ -212,6 +220,10 @@ _ADDED = dict.fromkeys(S.expand_query(QUERY, CONCEPTS)[0], S.EXPANDED_WEIGHT)
 
 SQL = {
     "tokenize_counts": f"SELECT lang AS type, count(*) AS distinct_tokens, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS most FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({TOK.format('text')}) AS token FROM documents) GROUP BY ALL) GROUP BY lang",
+    "search_index": f"""
+WITH t AS (SELECT doc_id, i, unnest({TOK.format('l[i]')}) AS token FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+p AS (SELECT doc_id, i, token, count(*) AS tf FROM t GROUP BY ALL)
+SELECT (SELECT count(*) FROM documents) AS notes, count(*) AS postings, count(DISTINCT token) AS tokens, CAST(sum(tf) AS BIGINT) AS occurrences FROM p""",
     "search_bm25_flat": _bm25_sql(names=False, sections=False) + FINAL,
     "search_bm25_sections": _bm25_sql() + FINAL,
     "notes_search": _chat_sql() + "SELECT doc_id AS path, round(score, 6) AS score, passage_no FROM top",
@@ -277,5 +289,5 @@ FROM (SELECT *, list_sum([least(len(list_filter(toks, lambda x: x = t)), 3) FOR
 
 
 def queries() -> dict:
-    found = (tokenize_counts, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet, note_heads, view_search, search_diagnosis)
+    found = (tokenize_counts, search_index, search_bm25_flat, search_bm25_sections, search_filtered_tally, search_after_filter_stats, search_expanded, expansion_concepts, search_confidence, search_zero_reason, search_snippet, search_matches, search_signals, notes_search, notes_filtered_search, notes_snippet, note_heads, view_search, search_diagnosis)
     return {f.__name__: f for f in found}
