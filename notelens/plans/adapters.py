@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from notelens.functions.markdown import notes_of
 from notelens.operators import postings
-from notelens.sources.tables import shared_dir, state_of, table
+from notelens.sources.tables import Scratch, shared_dir, state_of, table
 
 AS_OF = "2001-08-01"
 _INDEXES: dict[tuple, postings.NoteIndex] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame) -> postings.NoteIndex:
-    """The posting table of notes made from a table: built once for a session and a state of the table's files."""
+def _index(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, parsed: bool = False) -> postings.NoteIndex:
+    """The posting table of notes made from a table: built once for a session and a state of the table's files. Notes that
+    are parsed are written first, so that they are parsed once."""
     key = (spark.sparkContext.applicationId, sf_dir, name, state_of(spark, f"{sf_dir}/{name}.parquet"))
     if key not in _INDEXES:
-        _INDEXES[key] = postings.build(rows, shared_dir(spark, f"index-{name}"))
+        with Scratch(spark, "parsed") as scratch:
+            _INDEXES[key] = postings.build(scratch.staged(rows, "notes") if parsed else rows, shared_dir(spark, f"index-{name}"))
     return _INDEXES[key]
 
 
@@ -67,7 +69,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_index(spark: SparkSession, sf_dir: str) -> postings.NoteIndex:
     held = ("path", "title", "aliases", "tags", "headings", "type", "date", "updated", "lines")
-    return _index(spark, sf_dir, "conversations", chat_notes(spark, sf_dir).select(*held))
+    return _index(spark, sf_dir, "conversations", chat_notes(spark, sf_dir).select(*held), parsed=True)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

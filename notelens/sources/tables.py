@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +72,20 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Python workers get batches of no more than ``size`` bytes, or what the session allows, while the block runs."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(limit)
+    allowed = was.lower().removesuffix("b")
+    if not allowed.isdigit() or not 0 < int(allowed) <= size:
+        spark.conf.set(limit, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, was)
+
+
 class Scratch:
     """What an operator writes on its way to a result that it has staged elsewhere; removed when the block ends."""
 
